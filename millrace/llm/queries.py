@@ -51,7 +51,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i+4], ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[i:i+4], ' ') for i in range(1, len(words) - 3)]
                                       WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -70,6 +70,6 @@ g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE nth > 1
 gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
 t AS (SELECT doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(gone, i)), i -> words[i]), ' ')) AS kept_sha256
+  sha256(array_to_string([words[i] for i in range(1, len(words) + 1) if NOT list_contains(gone, i)], ' ')) AS kept_sha256
 FROM t""",
 }
