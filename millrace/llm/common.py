@@ -135,6 +135,16 @@ class Words:
         return out
 
 
+class Lines(Words):
+    """The lines of a run of texts: what line feeds separate. A text has one line more than line feeds; an empty line's hash is 0."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+        feeds = np.flatnonzero(buf == 10)
+        self.buf, self.offsets, self._lower = buf, offsets, False
+        self.starts, self.ends = np.sort(np.concatenate([offsets[:-1], feeds + 1])), np.sort(np.concatenate([offsets[1:], feeds]))
+        self.bounds = np.searchsorted(feeds, offsets) + np.arange(len(offsets))
+
+
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of hashes[i:i + n] for each i from 0 to len(hashes) - n."""
     if len(hashes) < n:

@@ -25,12 +25,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cotrain import score_quality
+
+    out = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_text", "p_meta", "p_quality", "keep")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_dedup
+
+    out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
@@ -40,7 +54,9 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
+    "op7_lines": op7_lines,
     "op9_substrings": op9_substrings,
 }
 
@@ -61,6 +77,16 @@ r(doc_id, reach) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FRO
 c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
+    "op7_lines": r"""
+WITH w AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(lines) - 1)) AS i, lines FROM w WHERE len(lines) >= 3),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY lines[i:i+2] ORDER BY doc_id, i) AS nth FROM v WHERE array_to_string(lines[i:i+2], '') <> ''),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM k WHERE nth > 1),
+gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+t AS (SELECT doc_id, text, lines, coalesce(gone, []) AS gone FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN len(gone) = 0 THEN text ELSE array_to_string([lines[i] for i in range(1, len(lines) + 1) if NOT list_contains(gone, i)], chr(10)) END) AS kept_sha256
+FROM t""",
     "op9_substrings": rf"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 v AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
