@@ -19,6 +19,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -45,6 +58,12 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
@@ -52,17 +71,36 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audio import audio_features, store_media
+
+    out = audio_features(store_media(_table(spark, sf_dir, "documents")))
+    loudest = F.coalesce(F.array_max(F.transform("segments", lambda s: s["energy"])), F.lit(-100.0))
+    feature = F.format_string("frames=%d segments=%d loudest=%.3f mel=%08x", "frames", F.size("segments"), loudest, "mel_crc32")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_lines": op7_lines,
+    "op8_licenses": op8_licenses,
     "op9_substrings": op9_substrings,
+    "op10_audio": op10_audio,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM p LEFT JOIN h ON h.payload_digest = p.payload_digest""",
     "op6_minhash": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
