@@ -26,6 +26,12 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -82,6 +88,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
