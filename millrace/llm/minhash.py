@@ -11,8 +11,9 @@ Two documents are linked if the Jaccard similarity of their sets of 5-word shing
 4. Pairs whose signatures agree on too few bins (four standard deviations below 0.75) go; the others are confirmed on
    the full sets, and components are formed.
 5. A star can miss a link between two members neither of which is linked to the centre. So the buckets that still hold
-   more than one component are searched again: in blocks of members, signatures are compared in the task, and only pairs
-   across components that pass the test of step 4 are put out and confirmed. No bucket is capped.
+   more than one component are searched again: the members outside a bucket's largest component are held against all of
+   it, in blocks of members, first by signature and then by the full sets, inside the task. A pair is tried in the first
+   band alone that both share, and only links that join components are put out. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .graph import components
 
 BINS, ROWS, SMALL = 128, 4, 64
 _SEEDS = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
-#: Members of a bucket that step 5 compares with as many others at once; rows that one of its groups gets on average.
-BLOCK, GROUP = 256, 20_000
+#: Members of a bucket that step 5 holds in one block; rows that one of its groups gets on average.
+BLOCK, GROUP = 256, 4_000
+#: Most ids that are broadcast, to find the texts to confirm without moving all texts (under 50 MB); more are joined by a shuffle.
+IDS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -107,13 +110,14 @@ def _buckets(batches):
     for batch in batches:
         ids, sig = batch.column(0).to_numpy(), _matrix(batch.column(1), np.uint32, BINS)
         keys = band_keys(sig)
-        out_id, out_key = [np.repeat(ids, keys.shape[1])], [keys.ravel()]
+        bands = np.arange(keys.shape[1], dtype=np.int32)
+        out = [(np.repeat(ids, len(bands)), keys.ravel(), np.tile(bands, len(ids)))]
         has = np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False))
         if len(has):
-            extra = _matrix(batch.column(2).take(pa.array(has)), np.uint64, 2 * BINS // ROWS)
-            out_id.append(np.repeat(ids[has], extra.shape[1]))
-            out_key.append(extra.ravel())
-        yield pa.record_batch({"key": pa.array(np.concatenate(out_key).view(np.int64)), "id": pa.array(np.concatenate(out_id))})
+            extra = _matrix(batch.column(2).take(pa.array(has)), np.uint64, 2 * len(bands))
+            out.append((np.repeat(ids[has], extra.shape[1]), extra.ravel(), np.tile(len(bands) + np.arange(extra.shape[1], dtype=np.int32), len(has))))
+        i, k, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.record_batch({"key": pa.array(k.view(np.int64)), "id": pa.array(i), "band": pa.array(b)})
 
 
 def _agree(threshold: float) -> float:
@@ -138,45 +142,62 @@ def _sets(batches):
             yield pa.record_batch({"id": piece.column(0).cast(pa.int64()), "elements": pa.array([s.tobytes() for s in shingle_sets(piece.column(1))], pa.binary())})
 
 
+def _similar(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
+    if min(len(x), len(y)) * 100 < hundredths * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= hundredths * (len(both) - shared)
+
+
 def _confirmed(hundredths: int):
     def confirmed(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(x), len(y)) * 100 < hundredths * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= hundredths * (len(both) - shared))
+            ok = [_similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), hundredths) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return confirmed
 
 
-def _across(threshold: float):
-    """Of the blocks of buckets in a group: pairs of members of different components whose signatures agree enough."""
-    least = _agree(threshold) * BINS
+def _across(threshold: float, hundredths: int):
+    """Of the blocks of buckets in a group: links between their probes and members that join components."""
+    least, bands = _agree(threshold) * BINS, BINS // ROWS
 
     def across(table: pa.Table) -> pa.Table:
-        key, i, j, chunk, ids, comp = (table[c].to_numpy() for c in ("key", "i", "j", "chunk", "id", "component"))
-        sig = _matrix(table["sig"].combine_chunks(), np.uint32, BINS)
-        order = np.lexsort((chunk, j, i, key))
-        key, i, j, chunk, ids, comp, sig = key[order], i[order], j[order], chunk[order], ids[order], comp[order], sig[order]
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        found = set()
-        for lo, hi in zip(new, [*new[1:], len(key)], strict=True):
-            s, c, g, k = sig[lo:hi], comp[lo:hi], ids[lo:hi], chunk[lo:hi]
-            for x in range(hi - lo - 1):
-                rest = slice(x + 1, None)
-                test = (c[rest] != c[x]) & ((k[rest] != k[x]) | (i[lo] == j[lo]))
-                if test.any():
-                    y = np.flatnonzero(test) + x + 1
-                    for z in y[(s[y] == s[x]).sum(axis=1) >= least]:
-                        found.add((min(g[x], g[z]), max(g[x], g[z])))
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        key, chunk, band, ids, comp = (table[c].to_numpy() for c in ("key", "chunk", "band", "id", "component"))
+        probe, outside = (table[c].to_numpy() for c in ("probe", "outside"))
+        sig, elements = _matrix(table["sig"].combine_chunks(), np.uint32, BINS), table["elements"]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        order = np.lexsort((ids, probe, chunk, key))
+        new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])]))
+        found, tried = [], set()
+        for rows in np.split(order, new[1:]):
+            members, probes = rows[~probe[rows]], rows[probe[rows]]
+            for p in probes:
+                m = members[(comp[members] != comp[p]) & (~outside[members] | (ids[members] < ids[p]))]
+                m = m[(sig[m] == sig[p]).sum(axis=1) >= least] if len(m) else m
+                if not len(m):
+                    continue
+                same = (sig[m].reshape(len(m), bands, ROWS) == sig[p].reshape(bands, ROWS)).all(axis=2)
+                for x, shared in zip(m, same, strict=True):
+                    if band[p] < bands and not shared[: band[p]].any() or band[p] >= bands and not shared.any():
+                        pair = (int(ids[p]), int(ids[x]))
+                        a, b = find(int(comp[p])), find(int(comp[x]))
+                        if a == b or pair in tried:
+                            continue
+                        tried.add(pair)
+                        if _similar(np.frombuffer(elements[int(p)].as_py(), np.uint64), np.frombuffer(elements[int(x)].as_py(), np.uint64), hundredths):
+                            root[max(a, b)] = min(a, b)
+                            found.append(pair)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return across
@@ -197,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = saved(first, "minhash_classes")
     nodes = classes.where("id is not null").select("id", "sig", "more")
 
-    buckets = nodes.mapInArrow(_buckets, "key long, id long")
+    buckets = nodes.mapInArrow(_buckets, "key long, id long, band int")
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("key", "centre")
     crowded = saved(buckets.join(centres, "key").distinct(), "minhash_buckets")
     sig = nodes.select("id", "sig")
@@ -206,30 +227,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
         return x.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(threshold), "a long, b long")
 
-    def confirm(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = saved(texts.join(needed, "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
-        x = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
-        return saved(x.select("a", "b", "of_a", "of_b").mapInArrow(_confirmed(hundredths), "a long, b long").distinct(), "minhash_links"), sets
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = saved(ids.distinct(), "minhash_ids")
+        ids = F.broadcast(ids) if ids.count() <= IDS else ids
+        return saved(texts.join(ids, "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
 
     star = crowded.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    tested = saved(likely(star), "minhash_pairs")
-    links, sets = confirm(tested)
-    forget(sets)
+    pairs = saved(likely(star), "minhash_pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+    x = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
+    links = saved(x.select("a", "b", "of_a", "of_b").mapInArrow(_confirmed(hundredths), "a long, b long").distinct(), "minhash_links")
+    forget(pairs, sets)
 
     label = components(links)
-    placed = crowded.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+    placed = crowded.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     # A bucket of two is its star, which step 4 has tested.
-    open_ = saved(placed.join(split.where("n > 2"), "key").withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "minhash_open")
-    groups = max(1, round((open_.agg(F.sum("chunks")).first()[0] or 0) / GROUP))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    spread = open_.withColumn("other", other).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component")
-    missed = spread.join(sig, "id").groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(_across(threshold), "a long, b long")
-    missed = saved(missed.distinct().join(tested, ["a", "b"], "left_anti"), "minhash_pairs")
-    more, sets = confirm(missed)
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+    open_ = placed.join(split.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "key").withColumn("outside", F.col("component") != F.col("main"))
+    open_ = saved(open_, "minhash_open")
+    column = ["key", "band", "id", "component", "outside"]
+    members = open_.select(*column, F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("probe"))
+    probes = open_.where("outside").select(*column, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
+    groups = max(1, round(open_.agg(F.sum(F.when(F.col("outside"), F.col("chunks") + 1).otherwise(1))).first()[0] or 0) // GROUP)
+    sets = sets_of(open_.select("id"))
+    spread = members.unionByName(probes).join(sig, "id").join(sets, "id")
+    more = saved(spread.groupBy(F.pmod(F.xxhash64("key", "chunk"), F.lit(groups)).alias("g")).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
     label = components(links.unionByName(more))
-    forget(sets, open_, crowded, tested, missed)
+    forget(sets, open_, crowded)
 
     named = classes.select("key_a", "key_b", "id").join(label, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("component_id"))
     return signed.select("id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left").select(
