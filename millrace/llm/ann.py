@@ -146,7 +146,7 @@ def _search(k: int, confidence: float, index):
                         some = order[done : done + 256]
                         done += len(some)
                         some = some[ids[some] != qid[j]]
-                        s = x[some] @ q[j]
+                        s = (x[some] * q[j]).sum(axis=1)  # the same for equal vectors, wherever they stand
                         fits = np.maximum(0, length[j] - 2 * s) <= limit + 1e-9 * length[j]
                         got_d, got_i = np.concatenate([got_d, s[fits]]), np.concatenate([got_i, ids[some[fits]]])
                         if len(got_d) > k:
