@@ -1 +1 @@
-
+"""Landed files in, tables out."""
