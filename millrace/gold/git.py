@@ -75,18 +75,18 @@ def git_evidence(commits: DataFrame, changes: DataFrame, pulls: DataFrame, links
     sized = commit_sizes(own, changes, unique)
     size = F.col("lines_added") + F.col("lines_removed")
     of_commits = evidence(
-        sized, "git", [measure("commits", F.lit(1)), measure("commit_lines_added", F.col("lines_added")), measure("commit_lines_removed", F.col("lines_removed")), measure("commit_change_size", size, size > 0)],
+        sized, "git", [measure("commit_count", F.lit(1)), measure("commit_lines_added", F.col("lines_added")), measure("commit_lines_removed", F.col("lines_removed")), measure("commit_change_size", size, size > 0)],
         F.concat_ws(":", "data_source", "commit_hash"), F.left("commit_hash", F.lit(12)), dimensions(*_place()),
     )
     days = own.groupBy("tenant_id", "entity_id", "metric_date").agg(F.min("observed_at").alias("observed_at"))
-    active = evidence(days, "git", [measure("active_day", F.lit(1))], F.col("metric_date").cast("string"), F.col("metric_date"))
+    active = evidence(days, "git", [measure("commit_day", F.lit(1))], F.col("metric_date").cast("string"), F.col("metric_date"))
     kind, kind_label = _known(F.col("change_type"), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CHANGES.items() for x in kv]), F.lower("change_type")), "change_type"))
     ext, ext_label = _known(F.col("file_extension"))
     files = unique.select(*COMMIT, "lines_added", "lines_removed", file_category(F.col("file_path")).alias("category"), ext.alias("ext"), ext_label.alias("ext_label"), kind.alias("kind"), kind_label.alias("kind_label"))
     keys = [*COMMIT, "category", "ext", "ext_label", "kind", "kind_label"]
     files = files.groupBy(*keys).agg(F.sum("lines_added").alias("added"), F.sum("lines_removed").alias("removed")).join(own.select(*COMMIT, "entity_id", "metric_date", "observed_at", "data_source"), COMMIT)
     by_file = dimensions(dimension("category", F.col("category"), F.initcap("category")), dimension("file_extension", F.col("ext"), F.col("ext_label")), dimension("change_type", F.col("kind"), F.col("kind_label")), *_place())
-    of_files = evidence(files, "git", [measure("lines_added", F.col("added")), measure("lines_removed", F.col("removed"))], F.concat_ws(":", "data_source", "commit_hash", "category", "ext", "kind"), F.col("commit_hash"), by_file)
+    of_files = evidence(files, "git", [measure("lines_added", F.col("added")), measure("lines_removed", F.col("removed")), measure("code_lines_added", F.col("added"), F.col("category") == "code")], F.concat_ws(":", "data_source", "commit_hash", "category", "ext", "kind"), F.col("commit_hash"), by_file)
     return of_commits.unionByName(active).unionByName(of_files).unionByName(pull_evidence(pull_authors(pulls, links, commits)))
 
 

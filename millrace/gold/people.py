@@ -53,4 +53,4 @@ def extra_usage(readings: DataFrame) -> DataFrame:
     keys = ["tenant_id", "source_id", "account_id", "period_month"]
     steps = cumulative_steps(readings.where("metric_date is not null and coalesce(entity_id, '') <> ''"), keys, "metric_date", "used_cents", F.date_sub("period_month", 1))
     rid = F.concat_ws(":", F.col("period_month").cast("string"), "source_id", "account_id", F.col("metric_date").cast("string"))
-    return evidence(steps, "ai_cost", [measure("extra_usage_daily_usd", F.col("step") / 100.0)], rid, F.date_format("period_month", "yyyy-MM"), dimensions(dimension("tool", F.col("tool"))))
+    return evidence(steps, "ai_cost", [measure("daily_extra_usage_usd", F.col("step") / 100.0)], rid, F.date_format("period_month", "yyyy-MM"), dimensions(dimension("tool", F.col("tool"))))

@@ -118,7 +118,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = spans.groupBy("d", "t").agg(F.collect_list("spans").alias("spans")).join(hashed.select("d", "t", (F.octet_length("hashes") / 8).cast("int").alias("n")), ["d", "t"])
     gone = saved(sized.select("d", "t", "n", "spans").mapInArrow(_marked, "d long, t long, gone array<boolean>"), "line_marks")
     forget(hashed)
-    out = keyed.join(gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone")), ["__d", "__t"], "left")
+    marks = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    out = keyed.join(marks.hint("shuffle_hash"), ["__d", "__t"], "left")  # the marks are hashed: texts move once and aren't sorted
     text = F.col(f"`{text_col}`")
     split = F.split(text, "\n", -1)
     left = F.array_join(F.filter(split, lambda x, i: ~F.get("__gone", i)), "\n")

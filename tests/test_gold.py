@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.gold import git, observations, people, resolved, tasks
 from millrace.plans import metrics
 from millrace.plans.metrics import Metric
+from millrace.plans.registry import METRICS
 
 
 def at(month, day, hour=0):
@@ -35,7 +36,7 @@ def repository(spark):
 
 def test_content_counts_once(repository):
     got = by_measure(git.git_evidence(*repository))
-    assert got["commits"] == [("a@x", 1, 1.0), ("a@x", 2, 1.0), ("a@x", 2, 1.0), ("a@x", 2, 1.0), ("b@x", 2, 1.0)]
+    assert got["commit_count"] == [("a@x", 1, 1.0), ("a@x", 2, 1.0), ("a@x", 2, 1.0), ("a@x", 2, 1.0), ("b@x", 2, 1.0)]
     assert got["lines_added"] == [("a@x", 1, 100.0), ("a@x", 2, 8.0), ("b@x", 2, 5.0)]
     assert got["lines_removed"] == [("a@x", 1, 0.0), ("a@x", 2, 3.0), ("b@x", 2, 0.0)]
     assert got["commit_lines_added"] == [("a@x", 1, 100.0), ("a@x", 2, 0.0), ("a@x", 2, 8.0), ("b@x", 2, 5.0)]
@@ -147,3 +148,20 @@ def test_cohorts_coverage_focus(spark):
     assert resolved(e, who).count() == 1
     days = spark.createDataFrame([(2.0, None), (None, 4.0), (9.0, 8.0), (1.0, 0.0)], "meeting_hours double, working_hours double")
     assert [r["focus_pct"] for r in people.focus(days).collect()] == [75.0, 100.0, 0.0, None]
+
+
+def test_registry_over_gold(tracker, repository):
+    """Every metric of tasks and of version control has a value for someone; a ratio's is within its bounds."""
+    assert len(METRICS) == 66
+    _, state, spans, flow = tracker
+    o = observations(tasks.task_evidence(state, spans, flow, now()), events=tasks.EVENTS)
+    of_tasks = [m for m in METRICS.values() if m.source_key == "task" and m.key != "tasks.stale_in_progress"]
+    rows = metrics.period(o, of_tasks).collect()
+    for m in of_tasks:
+        assert any(r[m.column] is not None for r in rows), m.key
+    assert all(r["tasks_flow_efficiency"] <= 100 and r["tasks_estimation_accuracy"] == 50.0 for r in rows)
+    g = observations(git.git_evidence(*repository), events=["commit_change_size", "pr_change_size", "pr_cycle_hours"], most=["commit_day"])
+    of_git = [m for m in METRICS.values() if m.source_key == "git"]
+    rows = metrics.period(g, of_git).collect()
+    for m in of_git:
+        assert any(r[m.column] is not None for r in rows), m.key
