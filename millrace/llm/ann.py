@@ -24,6 +24,8 @@ from .common import forget, saved
 
 #: Rows of a block, queries of a block, most leaves, most rows of the sample that the tree is fitted on.
 ROWS, QUERIES, LEAVES, SAMPLE = 2048, 256, 8192, 65_536
+#: Projected neighbours of a block that a query verifies before its stopping test is taken anew: at first, and then.
+STEPS = (128, 1024)
 
 
 def chi2_cdf(x: float, m: int) -> float:
@@ -135,25 +137,33 @@ def _search(k: int, confidence: float, index):
                 qp, xp = (np.frombuffer(row[c]).reshape(len(n), -1) for c, n in (("q_projections", qid), ("projections", ids)))
                 bound, ask = np.frombuffer(row["bounds"]), np.frombuffer(row["ask"], np.int32)
                 length = (q**2).sum(axis=1) + own.longest**2
+                away = np.maximum(0, (qp[ask] ** 2).sum(axis=1)[:, None] + (xp**2).sum(axis=1) - 2 * qp[ask] @ xp.T)
+                product = None  # of all rows with the queries that ask, if one of them has to verify many
                 out = []
-                for j in ask:
-                    near = ((xp - qp[j]) ** 2).sum(axis=1)
-                    limit = bound[j]  # squared distance of the k-th nearest so far
-                    order = np.flatnonzero(near <= limit * stop + 1e-9 * length[j])
-                    order = order[np.argsort(near[order], kind="stable")]
-                    got_d, got_i, done = np.zeros(0), np.zeros(0, np.int64), 0
-                    while done < len(order) and near[order[done]] <= limit * stop + 1e-9 * length[j]:
-                        some = order[done : done + 256]
-                        done += len(some)
-                        some = some[ids[some] != qid[j]]
+                for at, j in enumerate(ask):
+                    near, limit = away[at], bound[j]  # limit: squared distance of the k-th nearest so far
+                    order = np.flatnonzero((near <= limit * stop + 1e-9 * length[j]) & (ids != qid[j]))
+                    got_d, got_i, least = np.zeros(0), np.zeros(0, np.int64), STEPS[0]
+                    while len(order):
+                        if len(order) > least:
+                            order = order[np.argpartition(near[order], least)]
+                        some, order = order[:least], order[least:]
+                        if product is None and len(some) > STEPS[0]:
+                            product = x @ q[ask].T
+                        rough = x[some] @ q[j] if len(some) <= STEPS[0] else product[some, at]
+                        some = some[length[j] - 2 * rough <= limit + 1e-9 * length[j]]
+                        if len(some) > 4 * k:
+                            rough = x[some] @ q[j]
+                            some = some[rough >= np.partition(rough, -k)[-k] - 1e-9 * length[j]]
                         s = (x[some] * q[j]).sum(axis=1)  # the same for equal vectors, wherever they stand
-                        fits = np.maximum(0, length[j] - 2 * s) <= limit + 1e-9 * length[j]
-                        got_d, got_i = np.concatenate([got_d, s[fits]]), np.concatenate([got_i, ids[some[fits]]])
+                        got_d, got_i = np.concatenate([got_d, s]), np.concatenate([got_i, ids[some]])
                         if len(got_d) > k:
                             best = np.lexsort((got_i, -got_d))[:k]
                             got_d, got_i = got_d[best], got_i[best]
                         if len(got_d) == k:
                             limit = min(limit, max(0.0, length[j] - 2 * got_d.min()))
+                        order = order[near[order] <= limit * stop + 1e-9 * length[j]]
+                        least = STEPS[1]
                     out.append((np.full(len(got_i), qid[j]), got_i, got_d))
                 if out:
                     yield pa.record_batch({c: pa.array(np.concatenate(a)) for c, a in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
