@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import analogs as A
-from .gold import git, people
+from .gold import git, people, totals
 from .operators import identity, issues
 from .queries import _rounded, query
 from .runtime import table
@@ -103,7 +103,7 @@ def department_cohorts(spark, d):
     return people.cohorts(staff, who)
 
 
-@query("""WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_orderpriority AS tier, CAST(o_totalprice / 200000 AS BIGINT) * 10.0 AS price FROM orders WHERE o_custkey % 10 = 0),
+@query("""WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_orderpriority AS tier, CAST(CAST(o_totalprice / 200000 AS BIGINT) * 10 AS DOUBLE) AS price FROM orders WHERE o_custkey % 10 = 0),
 s AS (SELECT m, min(price) AS one FROM p GROUP BY m HAVING count(DISTINCT price) = 1), t AS (SELECT m, tier, min(price) AS own FROM p GROUP BY 1, 2 HAVING count(DISTINCT price) = 1)
 SELECT m AS period_month, tier, count(*) AS seats, round(max(coalesce(one, own)), 4) AS price FROM (SELECT DISTINCT m, tier FROM p) LEFT JOIN s USING (m) LEFT JOIN t USING (m, tier) GROUP BY 1, 2""")
 def seat_prices(spark, d):
@@ -111,3 +111,57 @@ def seat_prices(spark, d):
     p = table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.lit("t").alias("tenant_id"), F.date_format("o_orderdate", "yyyy-MM").alias("period_month"), F.col("o_orderpriority").alias("tier"), price.alias("price"))
     out = people.seat_prices(p.select("tenant_id", "period_month", "tier").distinct(), p)
     return _rounded(out.groupBy("period_month", "tier").agg(F.count("*").alias("seats"), F.max("price").alias("price")))
+
+
+def _pulls_commits_changes(spark, d):
+    """Orders as pull requests (a quarter) and commits, line items as changed files. Every eighth order closes with an order before it as its merge."""
+    place = [F.lit("t").alias("tenant_id"), F.lit("s").alias("source_id"), F.lit("p").alias("project_key"), F.lit("r").alias("repo_slug")]
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("who", F.concat(F.lit("c"), F.col("o_custkey") % 200))
+    pulls = o.where(k % 4 == 0).select(
+        *place, F.col("who").alias("person_key"), k.cast("string").alias("unique_key"), F.when(F.col("o_orderstatus") == "F", "merged").otherwise("open").alias("state_norm"), F.when(F.col("o_orderstatus") != "O", (k % 100).cast("double")).alias("cycle_time_h"),
+        F.col("o_orderdate").cast("timestamp").alias("closed_on"), F.when(k % 8 == 0, (k + 1).cast("string")).alias("merge_commit_hash"),
+    )
+    commits = o.where(k % 4 != 0).select(*place, F.col("who").alias("person_key"), k.cast("string").alias("commit_hash"), F.col("o_orderdate").cast("timestamp").alias("date"), (k % 5 == 0).alias("is_merge_commit"), (k % 50).alias("lines_added"), (k % 7).alias("lines_removed"))
+    category = F.when(F.col("l_returnflag") == "N", "code").when(F.col("l_returnflag") == "R", "spec").otherwise("config")
+    changes = table(spark, d, "lineitem").select(
+        F.lit("t").alias("tenant_id"), F.concat(F.lit("c"), F.col("l_suppkey") % 300).alias("person_key"), F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).cast("date").alias("week"), (F.col("l_orderkey") % 5 == 0).alias("is_merge_commit"),
+        category.alias("file_category"), F.col("l_linenumber").cast("long").alias("lines_added"),
+    )
+    return pulls, commits, changes
+
+
+_TOTALS = """p AS (SELECT 'c' || (o_custkey % 200) AS person_key, o_orderkey AS k, o_orderstatus AS state, o_orderdate AS t FROM orders WHERE o_orderkey % 4 = 0),
+c AS (SELECT 'c' || (o_custkey % 200) AS person_key, o_orderkey AS k, o_orderdate AS t FROM orders WHERE o_orderkey % 4 <> 0),
+f AS (SELECT 'c' || (l_suppkey % 300) AS person_key, l_returnflag AS flag, l_linenumber AS n, CAST(date_trunc('week', l_shipdate) AS DATE) AS week FROM lineitem WHERE l_orderkey % 5 <> 0)"""
+
+
+@query(f"""WITH {_TOTALS}, a AS (SELECT person_key, count(*) AS prs_created, count(*) FILTER (WHERE state = 'F') AS prs_merged, avg(CASE WHEN state <> 'O' THEN k % 100 END) AS h FROM p GROUP BY 1),
+b AS (SELECT person_key, count(*) AS commits, sum(k % 50 + k % 7) AS loc FROM c WHERE k % 5 <> 0 GROUP BY 1), e AS (SELECT person_key, sum(n) AS clean_loc FROM f WHERE flag = 'N' GROUP BY 1),
+s AS (SELECT person_key FROM a UNION SELECT person_key FROM b UNION SELECT person_key FROM e)
+SELECT person_key, CAST(coalesce(prs_created, 0) AS BIGINT) AS prs_created, CAST(coalesce(prs_merged, 0) AS BIGINT) AS prs_merged, round(h, 4) AS avg_pr_cycle_time_h, CAST(coalesce(commits, 0) AS BIGINT) AS commits, CAST(coalesce(loc, 0) AS BIGINT) AS loc,
+  CAST(coalesce(clean_loc, 0) AS BIGINT) AS clean_loc FROM s LEFT JOIN a USING (person_key) LEFT JOIN b USING (person_key) LEFT JOIN e USING (person_key)""")
+def git_person_totals(spark, d):
+    return _rounded(totals.person_totals(*_pulls_commits_changes(spark, d)).drop("tenant_id"))
+
+
+@query(f"""WITH {_TOTALS}, m AS (SELECT p.person_key, CAST(date_trunc('week', coalesce(c.t, p.t)) AS DATE) AS week, p.k FROM p LEFT JOIN c ON p.k % 8 = 0 AND c.k = p.k + 1 WHERE state = 'F'),
+a AS (SELECT person_key, week, count(DISTINCT k) AS prs_merged FROM m GROUP BY 1, 2), b AS (SELECT person_key, CAST(date_trunc('week', t) AS DATE) AS week, count(*) AS commits FROM c WHERE k % 5 <> 0 GROUP BY 1, 2),
+e AS (SELECT person_key, week, sum(n) FILTER (WHERE flag = 'N') AS code_loc, sum(n) FILTER (WHERE flag = 'R') AS spec_lines, sum(n) FILTER (WHERE flag NOT IN ('N', 'R')) AS config_loc FROM f GROUP BY 1, 2),
+s AS (SELECT person_key, week FROM a UNION SELECT person_key, week FROM b UNION SELECT person_key, week FROM e)
+SELECT person_key, week, CAST(coalesce(commits, 0) AS BIGINT) AS commits, CAST(coalesce(prs_merged, 0) AS BIGINT) AS prs_merged, CAST(coalesce(code_loc, 0) AS BIGINT) AS code_loc, CAST(coalesce(spec_lines, 0) AS BIGINT) AS spec_lines,
+  CAST(coalesce(config_loc, 0) AS BIGINT) AS config_loc FROM s LEFT JOIN a USING (person_key, week) LEFT JOIN b USING (person_key, week) LEFT JOIN e USING (person_key, week)""", dates="week")
+def git_person_weekly(spark, d):
+    return totals.person_weeks(*_pulls_commits_changes(spark, d)).drop("tenant_id")
+
+
+@query("""WITH m AS (SELECT 'u' || user_id AS email, CAST(ts AS DATE) AS day, count(*) AS meetings_count, sum(greatest(event_id % 4000, event_id % 900 * 4, event_id % 100)) / 3600.0 AS h FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN CAST(substr(email, 2) AS BIGINT) % 3 = 0 THEN CAST(substr(email, 2) AS BIGINT) % 4 * 2.0 ELSE 8.0 END AS work FROM m)
+SELECT email, day, meetings_count, round(h, 4) AS meeting_hours, CAST(work AS DOUBLE) AS working_hours_per_day, round(CASE WHEN work <> 0 THEN greatest(0, 100 - h / work * 100) END, 2) AS focus_time_pct, round(greatest(0, work - h), 4) AS dev_time_h FROM w""", dates="day")
+def focus_days(spark, d):
+    """Clicks as meetings of their users; every third user has told its working hours, some of them none."""
+    k, u = F.col("event_id"), F.col("user_id")
+    e = A.events(spark, d)
+    meetings = e.where("event_type = 'click'").select(F.lit("t").alias("tenant_id"), F.concat(F.lit("u"), u).alias("person_key"), F.to_date("ts").alias("date"), F.lit(1).cast("long").alias("meetings_attended"), (k % 4000).alias("audio_s"), (k % 900 * 4).alias("video_s"), (k % 100).alias("share_s"))
+    hours = e.where(u % 3 == 0).select(F.lit("t").alias("tenant_id"), F.concat(F.lit("U"), u).alias("email"), (u % 4 * 2).cast("double").alias("working_hours_per_day")).distinct()
+    return totals.focus_days(meetings, hours).drop("tenant_id")

@@ -25,10 +25,11 @@ def cohorts(people: DataFrame, email_to_person: DataFrame) -> DataFrame:
 
 
 def coverage(evidence_rows: DataFrame, email_to_person: DataFrame) -> DataFrame:
-    """source_key, rows, unresolved, unresolved_people, match_rate (percent, two digits): how much of the evidence names a person."""
+    """source_key, observation_rows, unresolved_rows, unresolved_people, match_rate_pct (one digit): how much of the evidence names a person."""
     e = evidence_rows.withColumn("email", F.lower(F.trim("entity_id"))).join(email_to_person, "email", "left")
     lost = F.col("person_id").isNull()
-    return e.groupBy("source_key").agg(F.count("*").alias("rows"), F.count_if(lost).alias("unresolved"), F.count_distinct(F.when(lost, F.col("email"))).alias("unresolved_people"), F.round(100.0 * F.count_if(~lost) / F.count("*"), 2).alias("match_rate"))
+    rate = F.round(100.0 * F.count_if(~lost) / F.count("*"), 1)
+    return e.groupBy("source_key").agg(F.count("*").alias("observation_rows"), F.count_if(lost).alias("unresolved_rows"), F.count_distinct(F.when(lost, F.col("email"))).alias("unresolved_people"), rate.alias("match_rate_pct"))
 
 
 def focus(days: DataFrame) -> DataFrame:

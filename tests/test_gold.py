@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.gold import git, observations, people, resolved, tasks
+from millrace.gold import git, observations, people, resolved, tasks, totals
 from millrace.plans import metrics
 from millrace.plans.metrics import Metric
 from millrace.plans.registry import METRICS
@@ -144,12 +144,23 @@ def test_cohorts_coverage_focus(spark):
     staff = spark.createDataFrame([("t", "A@x ", "old", 1), ("t", "a@x", "d1", 2), ("t", "b@x", "d1", 1), ("t", "c@x", "d1", 1), ("t", "c@x", None, 2)], "tenant_id string, email string, department string, version int")
     assert [tuple(r) for r in people.cohorts(staff, who).collect()] == [("P1", "d1")]
     e = spark.createDataFrame([("git", "a@x"), ("git", "nobody@x"), ("git", "Nobody@x ")], "source_key string, entity_id string")
-    assert [tuple(r) for r in people.coverage(e, who).collect()] == [("git", 3, 2, 1, 33.33)]
+    assert [tuple(r) for r in people.coverage(e, who).collect()] == [("git", 3, 2, 1, 33.3)]
     assert resolved(e, who).count() == 1
     days = spark.createDataFrame([(2.0, None), (None, 4.0), (9.0, 8.0), (1.0, 0.0)], "meeting_hours double, working_hours double")
     assert [r["focus_pct"] for r in people.focus(days).collect()] == [75.0, 100.0, 0.0, None]
 
 
+def test_totals_of_persons_that_one_table_names(spark):
+    pulls = spark.createDataFrame([("t", "a", "s", "p", "r", "1", "merged", at(1, 14), "h1", None), ("t", "a", "s", "p", "r", "1", "merged", at(1, 14), "h1", None), ("t", "", "s", "p", "r", "2", "merged", at(1, 14), None, 1.0)],
+        "tenant_id string, person_key string, source_id string, project_key string, repo_slug string, unique_key string, state_norm string, closed_on timestamp, merge_commit_hash string, cycle_time_h double")
+    commits = spark.createDataFrame([("t", "b", "s", "p", "r", "h1", at(1, 5), True, 5, 1), ("t", "b", "s", "p", "r", "h2", at(1, 11), False, 3, 1)],
+        "tenant_id string, person_key string, source_id string, project_key string, repo_slug string, commit_hash string, date timestamp, is_merge_commit boolean, lines_added int, lines_removed int")
+    changes = spark.createDataFrame([("t", "c", dt.date(2026, 1, 5), False, "vendored", 9), ("t", "b", dt.date(2026, 1, 5), False, "code", None)], "tenant_id string, person_key string, week date, is_merge_commit boolean, file_category string, lines_added int")
+    assert sorted(tuple(r)[1:] for r in totals.person_totals(pulls, commits, changes).collect()) == [("a", 2, 2, None, 0, 0, 0), ("b", 0, 0, None, 1, 4, 0)]
+    weeks = {(r["person_key"], r["week"].day): tuple(r)[3:] for r in totals.person_weeks(pulls, commits, changes).collect()}
+    assert weeks == {("a", 5): (0, 1, 0, 0, 0), ("b", 5): (1, 0, 0, 0, 0), ("c", 5): (0, 0, 0, 0, 0)}
+
+
 def test_registry_over_gold(tracker, repository):
     """Every metric of tasks and of version control has a value for someone; a ratio's is within its bounds."""
     assert len(METRICS) == 66
