@@ -8,7 +8,8 @@ Two documents are linked if the Jaccard similarity of their sets of 5-word shing
 2. 32 bands of 4 bins each give bucket keys; two sets at 0.75 miss all buckets with probability 5e-6. Sets of under 64
    shingles fill few bins, so they get two more permutations.
 3. In each bucket the smallest id is the centre and each other member is paired with it alone: as many pairs as members.
-4. Pairs whose signatures agree on too few bins (four standard deviations below 0.75) go; the others are confirmed on
+4. Pairs go whose sizes rule out the threshold, or whose signatures agree on too few bins: on fewer than a pair at the
+   threshold has with probability 1 - 1e-9 where its fuller set fills as many bins itself. The others are confirmed on
    the full sets, and components are formed.
 5. A star can miss a link between two members neither of which is linked to the centre. So the buckets that still hold
    more than one component are searched again: the members outside a bucket's largest component are held against all of
@@ -45,8 +46,8 @@ def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], seed: int = 0) -> np.ndarray:
-    """A row of BINS 32-bit minima for each set; sets without elements get zeros."""
+def _minima(sets: list[np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set BINS 32-bit minima, and which bins have elements."""
     n, size = len(sets), np.array([len(s) for s in sets], np.int64)
     sig, filled = np.zeros((n, BINS), np.uint32), np.zeros((n, BINS), bool)
     if size.sum():
@@ -57,7 +58,11 @@ def signatures(sets: list[np.ndarray], seed: int = 0) -> np.ndarray:
         at = cell[first].astype(np.int64)
         sig.ravel()[at] = order[first].astype(np.uint32)
         filled.ravel()[at] = True
-    row, col = np.nonzero(~filled & (size > 0)[:, None])
+    return sig, filled
+
+
+def _densified(sig: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    row, col = np.nonzero(~filled & filled.any(axis=1)[:, None])
     source, tries = filled.copy(), 0
     while len(row):
         t = (mix(col.astype(np.uint64) * np.uint64(0x10001) + np.uint64(tries << 20)) % np.uint64(BINS)).astype(np.int64)
@@ -69,6 +74,11 @@ def signatures(sets: list[np.ndarray], seed: int = 0) -> np.ndarray:
     return sig
 
 
+def signatures(sets: list[np.ndarray], seed: int = 0) -> np.ndarray:
+    """A row of BINS 32-bit minima for each set; sets without elements get zeros."""
+    return _densified(*_minima(sets, seed))
+
+
 def band_keys(sig: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit bucket keys of the bands of each signature."""
     bands = sig.reshape(len(sig), BINS // ROWS, ROWS).astype(np.uint64)
@@ -93,6 +103,7 @@ def _signed(batches):
             sets = shingle_sets(piece.column(1))
             size = np.array([len(s) for s in sets])
             v = [mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) for s in sets]
+            sig, filled = _minima(sets)
             small = (size > 0) & (size < SMALL)
             more = pa.nulls(len(sets), pa.binary())
             if small.any():
@@ -102,7 +113,7 @@ def _signed(batches):
             yield pa.record_batch({
                 "id": piece.column(0).cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()),
                 "key_a": pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), "key_b": pa.array([int(x.sum(dtype=np.uint64).view(np.int64)) for x in v], pa.int64()),
-                "sig": _binary(signatures(sets)), "more": more,
+                "sig": _binary(_densified(sig, filled)), "filled": pa.array(filled.sum(axis=1), pa.int32()), "more": more,
             })
 
 
@@ -120,18 +131,30 @@ def _buckets(batches):
         yield pa.record_batch({"key": pa.array(k.view(np.int64)), "id": pa.array(i), "band": pa.array(b)})
 
 
-def _agree(threshold: float) -> float:
-    return threshold - 4 * (threshold * (1 - threshold) / BINS) ** 0.5
+def _least(threshold: float, loss: float = 1e-9) -> np.ndarray:
+    """For 0 to BINS bins that one of two sets fills itself: the agreeing bins that a pair at the threshold has but for a probability of `loss`.
+
+    The minima of the bins that the union fills are a sample of it without replacement; each one that both sets have is an
+    agreement, and borrowed bins only add to them. So the lower tail is under the Chernoff bound for as many bins.
+    """
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        x = np.arange(1, int(threshold * n) + 1) / n
+        tail = x * np.log(x / threshold) + np.where(x < 1, (1 - x) * np.log(np.maximum(1 - x, 1e-300) / (1 - threshold)), 0)
+        none = (1 - threshold) ** n <= loss
+        rare = np.flatnonzero((x <= threshold) & (n * tail >= -np.log(loss)))
+        out[n] = rare[-1] + 2 if len(rare) else int(none)
+    return np.maximum.accumulate(out)
 
 
 def _likely(threshold: float):
-    least = _agree(threshold) * BINS
+    least = _least(threshold)
 
     def likely(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (_matrix(batch.column(c), np.uint32, BINS) for c in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least[batch.column(4).to_numpy()]))
 
     return likely
 
@@ -162,12 +185,14 @@ def _confirmed(hundredths: int):
 
 def _across(threshold: float, hundredths: int):
     """Of the blocks of buckets in a group: links between their probes and members that join components."""
-    least, bands = _agree(threshold) * BINS, BINS // ROWS
+    least, bands = _least(threshold), BINS // ROWS
 
     def across(table: pa.Table) -> pa.Table:
         key, chunk, band, ids, comp = (table[c].to_numpy() for c in ("key", "chunk", "band", "id", "component"))
-        probe, outside = (table[c].to_numpy() for c in ("probe", "outside"))
-        sig, elements = _matrix(table["sig"].combine_chunks(), np.uint32, BINS), table["elements"]
+        probe, outside, filled, size = (table[c].to_numpy() for c in ("probe", "outside", "filled", "n_shingles"))
+        sig = _matrix(table["sig"].combine_chunks(), np.uint32, BINS)
+        data, at = text_bytes(table["elements"].combine_chunks())
+        data, at = data.view(np.uint64), at // 8
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -183,20 +208,25 @@ def _across(threshold: float, hundredths: int):
             members, probes = rows[~probe[rows]], rows[probe[rows]]
             for p in probes:
                 m = members[(comp[members] != comp[p]) & (~outside[members] | (ids[members] < ids[p]))]
-                m = m[(sig[m] == sig[p]).sum(axis=1) >= least] if len(m) else m
+                m = m[100 * np.minimum(size[m], size[p]) >= hundredths * np.maximum(size[m], size[p])]
+                m = m[(sig[m] == sig[p]).sum(axis=1) >= least[np.maximum(filled[m], filled[p])]] if len(m) else m
                 if not len(m):
                     continue
                 same = (sig[m].reshape(len(m), bands, ROWS) == sig[p].reshape(bands, ROWS)).all(axis=2)
-                for x, shared in zip(m, same, strict=True):
-                    if band[p] < bands and not shared[: band[p]].any() or band[p] >= bands and not shared.any():
-                        pair = (int(ids[p]), int(ids[x]))
-                        a, b = find(int(comp[p])), find(int(comp[x]))
-                        if a == b or pair in tried:
-                            continue
-                        tried.add(pair)
-                        if _similar(np.frombuffer(elements[int(p)].as_py(), np.uint64), np.frombuffer(elements[int(x)].as_py(), np.uint64), hundredths):
-                            root[max(a, b)] = min(a, b)
-                            found.append(pair)
+                m = m[~same[:, : band[p]].any(axis=1) if band[p] < bands else ~same.any(axis=1)]
+                m = [x for x in m.tolist() if (int(ids[p]), int(ids[x])) not in tried and find(int(comp[x])) != find(int(comp[p]))]
+                if not m:
+                    continue
+                tried.update((int(ids[p]), int(ids[x])) for x in m)
+                own, others = data[at[p] : at[p + 1]], [data[at[x] : at[x + 1]] for x in m]
+                n = np.array([len(x) for x in others])
+                every = np.concatenate(others)
+                shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, np.cumsum(n) - n, dtype=np.int64)
+                for x in np.flatnonzero(100 * shared >= hundredths * (len(own) + n - shared)).tolist():
+                    a, b = find(int(comp[p])), find(int(comp[m[x]]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append((int(ids[p]), int(ids[m[x]])))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -212,20 +242,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     hundredths = round(100 * threshold)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = saved(texts.mapInArrow(_signed, "id long, n_shingles long, key_a long, key_b long, sig binary, more binary"), "minhash_signed")
+    signed = saved(texts.mapInArrow(_signed, "id long, n_shingles long, key_a long, key_b long, sig binary, filled int, more binary"), "minhash_signed")
     some = signed.where("n_shingles > 0")
-    first = some.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("more").alias("more"))
+    first = some.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("filled").alias("filled"), F.first("more").alias("more"))
     classes = saved(first, "minhash_classes")
-    nodes = classes.where("id is not null").select("id", "sig", "more")
+    nodes = classes.where("id is not null").select("id", "n_shingles", "sig", "filled", "more")
 
-    buckets = nodes.mapInArrow(_buckets, "key long, id long, band int")
+    buckets = nodes.select("id", "sig", "more").mapInArrow(_buckets, "key long, id long, band int")
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("key", "centre")
     crowded = saved(buckets.join(centres, "key").distinct(), "minhash_buckets")
-    sig = nodes.select("id", "sig")
+    sig = nodes.select("id", "n_shingles", "sig", "filled")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return x.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(threshold), "a long, b long")
+        side = lambda c: sig.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"), F.col("filled").alias(f"filled_{c}"))
+        x = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(hundredths) * F.greatest("n_a", "n_b"))
+        return x.select("a", "b", "sig_a", "sig_b", F.greatest("filled_a", "filled_b").alias("filled")).mapInArrow(_likely(threshold), "a long, b long")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = saved(ids.distinct(), "minhash_ids")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,18 @@ def test_near_duplicates_null_ids(spark):
     assert [r["kept"] for r in out if r["component_id"] is None] == [True]
 
 
+def test_small_sets_keep_pairs_at_the_threshold():
+    """Pairs of 3 of 4 shingles agree on few bins now and then; the filter before confirming must not lose them."""
+    r = np.random.default_rng(2)
+    sets = [r.integers(0, 2**63, 4, dtype=np.uint64) for _ in range(20000)]
+    x, y = minhash.signatures(sets), minhash.signatures([s[:3] for s in sets])
+    filled = np.array([len(np.unique(minhash.mix(s) >> np.uint64(57))) for s in sets], np.int32)
+    batch = pa.record_batch({"a": pa.array(range(20000)), "b": pa.array(range(20000)), "x": minhash._binary(x), "y": minhash._binary(y), "filled": pa.array(filled)})
+    assert ((x == y).sum(axis=1) < 76).any()
+    assert sum(b.num_rows for b in minhash._likely(0.75)([batch])) == 20000
+    assert minhash._least(0.75)[128] == 62
+
+
 def test_densified_bins_agree_with_similarity():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 2**63, 4000, dtype=np.uint64))
