@@ -111,7 +111,7 @@ def _signed(batches):
                 keys = iter(np.hstack([band_keys(signatures(few, k), k) for k in (1, 2)]))
                 more = pa.array([next(keys).tobytes() if x else None for x in small], pa.binary())
             yield pa.record_batch({
-                "id": piece.column(0).cast(pa.int64()), "n_shingles": pa.array(size, pa.int64()),
+                "id": piece.column(0).cast(pa.int64()), "text_key": piece.column(2), "n_shingles": pa.array(size, pa.int64()),
                 "key_a": pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), "key_b": pa.array([int(x.sum(dtype=np.uint64).view(np.int64)) for x in v], pa.int64()),
                 "sig": _binary(_densified(sig, filled)), "filled": pa.array(filled.sum(axis=1), pa.int32()), "more": more,
             })
@@ -233,16 +233,17 @@ def _across(threshold: float, hundredths: int):
     return across
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, text_key: str | None = None) -> DataFrame:
     """For each row: id_col (long), n_shingles (long), component_id (smallest id reachable over links, itself included), kept (boolean).
 
     Null or wordless texts have no shingles and are linked with nothing. Rows that share an id count as one document
     with links of each row's text. A row with a null id has a component only if its set is that of a row with an id,
-    and isn't kept then; else its component is null and it is kept. An empty table gives an empty table.
+    and isn't kept then; else its component is null and it is kept. An empty table gives an empty table. With `text_key` there is a column of that name too, the
+    text's xxhash64: with the id, compared so that null is null, it finds the rows that a result is of.
     """
     hundredths = round(100 * threshold)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = saved(texts.mapInArrow(_signed, "id long, n_shingles long, key_a long, key_b long, sig binary, filled int, more binary"), "minhash_signed")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"))
+    signed = saved(texts.mapInArrow(_signed, "id long, text_key long, n_shingles long, key_a long, key_b long, sig binary, filled int, more binary"), "minhash_signed")
     some = signed.where("n_shingles > 0")
     first = some.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("filled").alias("filled"), F.first("more").alias("more"))
     classes = saved(first, "minhash_classes")
@@ -288,7 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forget(sets, open_, crowded)
 
     named = classes.select("key_a", "key_b", "id").join(label, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("component_id"))
-    return signed.select("id", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left").select(
+    return signed.select("id", "text_key", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left").select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.col("text_key").alias(text_key)] if text_key else []),
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -24,11 +24,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
+    """One document of each group of near duplicates: that with the smallest id.
+
+    Each row has its own text's decision, also where ids are null or shared (see near_duplicates): a row with a null id goes
+    only if its set of shingles is that of a row with an id, and rows with equal id and text stay or go together.
+    """
     from .minhash import near_duplicates
 
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    kept = near_duplicates(docs, text_key="text_key").where("kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    return docs.join(kept, same, "left_semi").select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

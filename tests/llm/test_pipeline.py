@@ -59,6 +59,15 @@ def test_near(stages):
     assert [r["doc_id"] for r in after] == [i for i, _, _, kept in linked(before) if kept]
 
 
+def test_near_with_null_and_shared_ids(spark):
+    """A unique text stays whatever its id; a copy goes even if another row of its id is kept."""
+    t, u = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(None, t), (4, t), (9, t), (9, u), (None, "all alone here"), (None, None), (3, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in corpus_pipeline.stages.near(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(4, t), (9, u), (None, "all alone here"), (None, None), (3, None), (7, None)], key=str)
+
+
 def test_substrings(stages):
     before, after = stages["substring_dedup"]
     texts = {r[0]: r[1] for r in before}
