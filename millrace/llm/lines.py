@@ -9,6 +9,9 @@ their first position in the corpus, told apart by the rest of the window that ch
 line costs as many pairs as it has places. Each match is then extended both ways, line by line, against the document that
 it points to, and the runs so found are deleted from the later document.
 
+With `min_words` a run counts by its words instead: runs of that many or more go, be they one line, and lighter ones stay.
+Windows are then the shortest such runs from each line on, and up to each line: any heavier run is a union of them.
+
 Only line hashes move until the end, when the marks of the documents that lose lines are joined to the texts.
 """
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lines, forget, pieces, replacing, runs, saved, text_bytes
+from .common import Lines, Words, forget, pieces, replacing, runs, saved, text_bytes
 
 _NULL_ID = -(2**63)
 
@@ -34,6 +37,18 @@ def _hashed(batches):
             yield pa.record_batch({"d": piece.column(0), "t": piece.column(1), "hashes": pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
 
 
+def _weighed(batches):
+    """d, t, text -> d, t, hashes, words: the line hashes of each text, 8 bytes each, and where each line's words end, counted from the text's first, likewise."""
+    for batch in batches:
+        for piece in pieces(batch, 2):
+            lines = Lines(*text_bytes(piece.column(2)))
+            at = (lines.bounds * 8).tolist()
+            cut = lambda data: pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            words = Words(lines.buf, lines.offsets)
+            ends = np.searchsorted(words.starts, lines.ends) - np.repeat(words.bounds[:-1], np.diff(lines.bounds))
+            yield pa.record_batch({"d": piece.column(0), "t": piece.column(1), "hashes": cut(lines.hashes().tobytes()), "words": cut(ends.astype(np.int64).tobytes())})
+
+
 def _fingerprints(min_lines: int, gram: int = 2):
     """d, t, hashes -> for each window: its fingerprint, the hash of all its lines, and the fingerprint's place and the window's."""
     gram = min(gram, min_lines)
@@ -61,6 +76,29 @@ def _fingerprints(min_lines: int, gram: int = 2):
     return fingerprints
 
 
+def _heavy(min_words: int):
+    """d, t, hashes, words -> the same of the shortest windows of min_words words; their fingerprint is their smallest line hash."""
+
+    def heavy(batches):
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for d, t, raw, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                h = np.frombuffer(raw.as_py(), np.uint64)
+                total = np.concatenate([[0], np.frombuffer(ends.as_py(), np.int64)])
+                line = np.arange(len(h))
+                stop = np.searchsorted(total, total[:-1] + min_words)
+                start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+                pairs = np.concatenate([np.stack([line, stop], 1)[stop <= len(h)], np.stack([start, line + 1], 1)[start >= 0]])
+                for a, b in np.unique(pairs, axis=0).tolist():
+                    row = (d, t, int(h[a:b].min().view(np.int64)), int(runs(h[a:b], b - a)[0].view(np.int64)), a)
+                    for o, x in zip(out, row, strict=True):
+                        o.append(x)
+            names = ("d", "t", "fingerprint", "window", "place")
+            yield pa.record_batch({k: pa.array(o, pa.int64()) for k, o in zip((*names, "start"), (*out, out[4]), strict=True)})
+
+    return heavy
+
+
 def _extend(min_lines: int):
     """Matches of a document with one that it copies from -> runs [start, stop) of equal lines around them."""
 
@@ -97,7 +135,7 @@ def _marked(batches):
         yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "gone": pa.array(masks, pa.list_(pa.bool_()))})
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """docs with its text less the deleted lines, and n_lines, n_removed (long).
 
     Lines are what line feeds separate. A text that loses nothing stays as it is; a null text has no lines and stays null;
@@ -107,8 +145,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__d"), F.xxhash64(F.col(f"`{text_col}`")).alias("__t"))
     texts = keyed.where(F.col(f"`{text_col}`").isNotNull()).select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(f"`{text_col}`").alias("text"))
-    hashed = saved(texts.mapInArrow(_hashed, "d long, t long, hashes binary").dropDuplicates(["d", "t"]), "line_hashes")
-    windows = hashed.mapInArrow(_fingerprints(min_lines), "d long, t long, fingerprint long, window long, place long, start long")
+    if min_words is None:
+        hashed = saved(texts.mapInArrow(_hashed, "d long, t long, hashes binary").dropDuplicates(["d", "t"]), "line_hashes")
+        choose = _fingerprints(min_lines)
+    else:
+        hashed = saved(texts.mapInArrow(_weighed, "d long, t long, hashes binary, words binary").dropDuplicates(["d", "t"]), "line_hashes")
+        min_lines, choose = 1, _heavy(min_words)  # a run around a heavy window is heavy
+    windows = hashed.mapInArrow(choose, "d long, t long, fingerprint long, window long, place long, start long")
     first = windows.groupBy("fingerprint", "window").agg(F.min(F.struct("d", "t", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     matches = windows.join(first, ["fingerprint", "window"]).where("not (d = first.d and t = first.t and place = first.place)")
     pairs = matches.select("d", "t", "start", F.col("first.d").alias("e"), F.col("first.t").alias("u"), (F.col("place") - F.col("first.place")).alias("shift"))

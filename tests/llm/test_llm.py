@@ -186,6 +186,27 @@ def test_lines(spark):
     assert lines.line_dedup(df).columns == ["doc_id", "text", "n_words", "gone", "n_lines", "n_removed"]
 
 
+def test_lines_by_words(spark):
+    """Long repeats of one or two lines go, short everyday lines stay, against all runs of 8 words or more."""
+    r = random.Random(4)
+    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 3, 4, 5, 6, 9, 12])] + ["", ""]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 14)))) for i in range(60)] + [(60, pool[8]), (61, pool[8]), (62, pool[1]), (63, None)]
+    seen, expected = set(), []
+    for i, text in rows:
+        own = [] if text is None else text.split("\n")
+        gone = [False] * len(own)
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                k = tuple(own[a:b])
+                if len(" ".join(k).split()) >= 8:
+                    if k in seen:
+                        gone[a:b] = [True] * (b - a)
+                    seen.add(k)
+        expected.append((i, len(own), sum(gone), None if text is None else "\n".join(x for x, g in zip(own, gone, strict=True) if not g)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_id(lines.line_dedup(df, min_words=8), "n_lines", "n_removed", "text") == expected
+
+
 # -- packing
 
 
