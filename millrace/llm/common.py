@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _STEP = (int(x) | 1 for x in _rng.integers(2**62, 2**63, 2, dtype=np.uint64))
+_BASE, _STEP, _OTHER = (int(x) | 1 for x in _rng.integers(2**62, 2**63, 3, dtype=np.uint64))
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -24,9 +25,11 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session in one process may leave it unset, and gets one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/millrace-{os.getpid()}"
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(where)
@@ -145,11 +148,11 @@ class Lines(Words):
         self.bounds = np.searchsorted(feeds, offsets) + np.arange(len(offsets))
 
 
-def runs(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of hashes[i:i + n] for each i from 0 to len(hashes) - n."""
+def runs(hashes: np.ndarray, n: int, other: bool = False) -> np.ndarray:
+    """A hash of hashes[i:i + n] for each i from 0 to len(hashes) - n. With `other` a second one, so that both are 128 bits."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    up, down = _powers(_STEP, len(hashes))
+    up, down = _powers(_OTHER if other else _STEP, len(hashes))
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     at = np.arange(len(hashes) - n + 1)

@@ -9,9 +9,10 @@ no candidates survive. (Longer levels can't add to the words that the windows of
 
 How it runs: texts are gathered into blocks of about a megabyte, kept once in the shared folder, bucketed by the task
 that wrote them. On each level a block sends the distinct hashes of its candidate windows, in one row for each range of
-hashes; a range's task marks those that other blocks sent too and answers with a bit each (on the last level: with the
-places that come after another block's). Blocks and answers meet in a co-located join, so texts are never shuffled. A
-very common window is sent once by each block, so no range gets more than one row a block.
+hashes that it has any in: never more rows than windows. A range's task marks those that other blocks sent too and answers
+with a bit each (on the last level, where windows count as equal by 128 bits and go with the document that they are in: with
+the places that come after another block's). A block gets its own answers alone, by a co-located join, so texts are never
+shuffled. A very common window is sent once by each block, so no range gets more than one row a block.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import Words, forget, pieces, runs, saved, shared_dir, text_bytes
 
 #: Windows that the task of one range of hashes holds at once, on average.
 RANGE = 1 << 21
+#: Bytes of answers for a shuffle partition up to which they are hashed for the join; more are sorted, which can spill.
+HASHED = 128 << 20
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -66,14 +69,14 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str):
     return docs.mapInArrow(blocks, "part int, block long, ids array<long>, lens array<long>, rest binary, body binary")
 
 
-def _kept_in_buckets(blocks: DataFrame) -> DataFrame:
-    """The blocks as a table of the shared folder, bucketed by the task that made them: joins by part then move the other side alone."""
+def _kept_in_buckets(blocks: DataFrame) -> tuple[DataFrame, str, int]:
+    """The blocks as a table of the shared folder, bucketed by the task that made them: joins by part then move the other side alone. Also its name and number of buckets."""
     spark, name = blocks.sparkSession, f"substring_blocks_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "part").format("parquet").saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved before the catalogue forgets the name; the files stay
-    return table
+    return table, name, n
 
 
 class _Block:
@@ -117,15 +120,15 @@ def _edges(u: np.ndarray, bits: int) -> np.ndarray:
     return np.searchsorted(u, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)).tolist() + [len(u)]
 
 
-def _answers_of(rows, steps: int) -> dict[int, list[dict[int, bytes]]]:
-    out: dict[int, list[dict[int, bytes]]] = {}
+def _answers_of(rows, steps: int) -> list[dict[int, bytes]]:
+    out: list[dict[int, bytes]] = [{} for _ in range(steps)]
     for x in rows or ():
-        out.setdefault(x["block"], [{} for _ in range(steps)])[x["level"]][x["bucket"]] = x["reply"]
+        out[x["level"]][x["bucket"]] = x["reply"]
     return out
 
 
 def _send(steps: list[int], level: int, bits: int):
-    """Rows of the windows of steps[level] words, by ranges of hashes. On the last level with places and the block's documents."""
+    """Rows of the windows of steps[level] words, by ranges of hashes. On the last level with a second hash, places and documents."""
     last = level == len(steps) - 1
 
     def send(batches):
@@ -133,25 +136,21 @@ def _send(steps: list[int], level: int, bits: int):
             names = batch.schema.names
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in names}
-                number = row["block"].as_py()
-                answers = _answers_of(row["answers"].as_py() if level else None, level).get(number, [{} for _ in range(level)])
                 block = _Block(row["body"].as_py(), row["lens"].values.to_numpy())
-                u, first, _, _ = block.distinct(steps[level], block.candidates(steps, answers, bits))
+                u, first, _, _ = block.distinct(steps[level], block.candidates(steps, _answers_of(row["answers"].as_py() if level else None, level), bits))
                 edges = _edges(u, bits)
                 full = [b for b in range(1 << bits) if edges[b + 1] > edges[b]]
-                short = u if last else (u >> np.uint64(32 - bits)).astype(np.uint32)
-                first, bounds, ids = first.astype(np.uint32), block.words.bounds[:-1].astype(np.int64), row["ids"].values
+                cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())  # noqa: B023, E731
                 out = {
-                    "bucket": pa.array(full, pa.int32()), "part": pa.array([row["part"].as_py()] * len(full), pa.int32()), "block": pa.array([number] * len(full), pa.int64()),
-                    "hashes": pa.array([short[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
+                    "bucket": pa.array(full, pa.int32()), "part": pa.array([row["part"].as_py()] * len(full), pa.int32()), "block": pa.array([row["block"].as_py()] * len(full), pa.int64()),
+                    "hashes": cut(u if last else (u >> np.uint64(32 - bits)).astype(np.uint32)),
                 }
                 if last:
-                    out["places"] = pa.array([first[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())
-                    out["ids"] = pa.array([ids.to_numpy().tobytes()] * len(full), pa.binary())
-                    out["bounds"] = pa.array([bounds.tobytes()] * len(full), pa.binary())
+                    doc = np.searchsorted(block.words.bounds[:-1], first, "right") - 1
+                    out |= {"others": cut(runs(block.hashes, steps[level], other=True)[first]), "places": cut(first.astype(np.uint32)), "docs": cut(row["ids"].values.to_numpy()[doc])}
                 yield pa.record_batch(out)
 
-    return send, "bucket int, part int, block long, hashes binary" + ", places binary, ids binary, bounds binary" * last
+    return send, "bucket int, part int, block long, hashes binary" + ", others binary, places binary, docs binary" * last
 
 
 def _match(level: int):
@@ -176,36 +175,33 @@ def _match(level: int):
 
 def _owners(table: pa.Table) -> pa.Table:
     """For a range of hashes on the last level: of each block, the places whose window starts earlier in another block."""
-    hashes, docs, blocks, places, sizes = [], [], [], [], []
-    for i, block in enumerate(table["block"].to_pylist()):
-        h, p = np.frombuffer(table["hashes"][i].as_py(), np.uint64), np.frombuffer(table["places"][i].as_py(), np.uint32)
-        ids, bounds = np.frombuffer(table["ids"][i].as_py(), np.int64), np.frombuffer(table["bounds"][i].as_py(), np.int64)
-        hashes.append(h)
-        docs.append(ids[np.searchsorted(bounds, p, "right") - 1])
-        blocks.append(np.full(len(h), block))
-        places.append(p)
-        sizes.append(len(h))
-    h, d, b = np.concatenate(hashes), np.concatenate(docs), np.concatenate(blocks)
-    order = np.lexsort((b, d, h))
+    sent = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table[c]]
+    places = sent("places", np.uint32)
+    sizes = [len(x) for x in places]
+    h, other, doc = (np.concatenate(sent(c, kind)) for c, kind in (("hashes", np.uint64), ("others", np.uint64), ("docs", np.int64)))
+    order = np.lexsort((np.repeat(table["block"].to_numpy(), sizes), doc, other, h))
+    h, other = h[order], other[order]
     later = np.zeros(len(h), bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
-    ends = np.cumsum(sizes)
-    replies = [(p[later[e - len(p) : e]]).tobytes() for p, e in zip(places, ends, strict=True)]
+    later[order[1:]] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
+    replies = [(p[later[e - len(p) : e]]).tobytes() for p, e in zip(places, np.cumsum(sizes), strict=True)]
     got = pa.array([bool(r) for r in replies])
     out = table.select(["part", "block", "bucket"]).append_column("reply", pa.array(replies, pa.binary())).filter(got)
     return out.append_column("level", pa.array([0] * len(out), pa.int32()))
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    by_part = answers.groupBy("part").agg(F.collect_list(F.struct("block", "level", "bucket", "reply")).alias("answers"))
-    return blocks.join(by_part.hint("shuffle_hash"), "part", "left")
+def _with_answers(blocks: DataFrame, answers: DataFrame, n: int) -> DataFrame:
+    """Each block with its own answers. They are dealt by part alone, like the blocks' buckets; which block is meant is a condition beside it."""
+    own = answers.repartition(n, "part").groupBy("part", "block").agg(F.collect_list(F.struct("level", "bucket", "reply")).alias("answers"))
+    own = own.select(F.col("part").alias("to_part"), F.col("block").alias("to_block"), "answers")
+    size = answers.agg(F.sum(F.octet_length("reply") + 40)).first()[0] or 0
+    own = own.hint("shuffle_hash" if size <= HASHED * n else "merge")
+    return blocks.join(own, (F.col("part") == F.col("to_part")) & (F.col("block") - F.col("to_block") == 0), "left").drop("to_part", "to_block")
 
 
 def _finish(text_col: str, names: list[str], min_words: int, tidy: bool):
     def finish(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                number = batch.column("block")[i].as_py()
                 body, lens = batch.column("body")[i].as_py(), batch.column("lens")[i].values.to_numpy()
                 block = _Block(body, lens)
                 words, n = block.words, len(block.hashes)
@@ -213,8 +209,7 @@ def _finish(text_col: str, names: list[str], min_words: int, tidy: bool):
                 _, first, back, _ = block.distinct(min_words, inside)
                 elsewhere = np.zeros(n + 1, bool)
                 for x in batch.column("answers")[i].as_py() or ():
-                    if x["block"] == number:
-                        elsewhere[np.frombuffer(x["reply"], np.uint32)] = True
+                    elsewhere[np.frombuffer(x["reply"], np.uint32)] = True
                 hit = inside[elsewhere[first[back]] | (inside != first[back])]
                 cover = np.zeros(n + min_words + 1, np.int64)
                 cover[:n] += np.bincount(hit, minlength=n)[:n]
@@ -275,7 +270,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() not in clash])
     names = [*docs.columns, "n_words", "n_removed", "removed_spans"]
     schema = ", ".join([*(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in docs.schema), "n_words long, n_removed long, removed_spans array<struct<start:bigint,length:bigint>>"])
-    blocks = _kept_in_buckets(_in_blocks(docs, id_col, text_col))
+    blocks, name, n = _kept_in_buckets(_in_blocks(docs, id_col, text_col))
     size = blocks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, size / 6 / RANGE))))
     steps, answers, source = levels(min_words), None, blocks
@@ -288,13 +283,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             match, answered = _match(level)
             new = saved(rows.applyInArrow(match, answered), "substring_level")
             answers = new if answers is None else answers.unionByName(new)
-            source = _with_answers(blocks, answers)
-    out = _with_answers(blocks, final).mapInArrow(_finish(text_col, names, min_words, tidy), schema)
+            source = _with_answers(blocks, answers, n)
+    out = _with_answers(blocks, final, n).mapInArrow(_finish(text_col, names, min_words, tidy), schema)
     if answers is not None:
         forget(answers)
-    spark.sql(f"DROP TABLE IF EXISTS {_name_of(blocks)}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
-
-
-def _name_of(table: DataFrame) -> str:
-    return next(x.rstrip("/").rsplit("/", 2)[-2] for x in table.inputFiles())
