@@ -13,8 +13,10 @@ The histogram and the patterns have a bound that depends on the sequence length
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -24,44 +26,69 @@ from pyspark.sql import functions as F
 
 from .common import pieces, saved, text_bytes
 
-#: Distinct strings whose ids a Python worker remembers at most.
-REMEMBERED = 600_000
+#: Distinct strings whose ids a Python worker remembers at most, and the bytes of the longest one.
+REMEMBERED, LONGEST = 600_000, 64
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
-_known: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: The normalizer and the pre-tokenizer of the vocabularies whose texts can be encoded stretch by stretch.
+_LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _tokenizer(path: str):
-    if path not in _known:
+class _Encoder:
+    """A tokenizer as its file has it, and the ids of the stretches that this worker has met."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _known[path] = (t, {})
-    return _known[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        first = ((own["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.apart = own["normalizer"] == _LOWERED and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        self.added = [t["content"].encode() for t in own["added_tokens"]]
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts by the library's defaults: an added token's string in a text is that token."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
+_loaded: dict[str, _Encoder] = {}
 
 
 def token_ids(path: str, column: pa.Array) -> list[bytes]:
-    """The little-endian 32-bit ids of each text.
+    """The little-endian 32-bit ids of each text, as Tokenizer.from_file(path).encode(text, add_special_tokens=False) has them.
 
-    The vocabulary lower-cases, drops white space and never joins a letter to a mark after it; so ids of a text are those
-    of its stretches between such places, one after another, and each distinct stretch is encoded once.
+    A vocabulary that lower-cases, drops white space and never joins a letter to a mark after it gives the same ids for a text
+    as for its stretches between such places, one after another; there each distinct short stretch is encoded once. Texts
+    with the string of an added token, and texts of any other vocabulary, are encoded whole.
     """
-    tokenizer, known = _tokenizer(path)
+    if path not in _loaded:
+        _loaded[path] = _Encoder(path)
+    own = _loaded[path]
     buf, offsets = text_bytes(column)
-    cut = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1 if len(buf) else np.zeros(0, np.int64)
+    raw, ends = buf.tobytes(), list(zip(offsets.tolist(), offsets[1:].tolist(), strict=False))
+    special = own.added if any(t in raw for t in own.added) else []
+    whole = [k for k, (a, b) in enumerate(ends) if not own.apart or any(raw.find(t, a, b) >= 0 for t in special)]
+    out = dict(zip(whole, own.ids([raw[a:b] for a, b in (ends[k] for k in whole)]), strict=True))
+    if len(out) == len(ends):
+        return [out[k] for k in range(len(ends))]
+    known = own.known
+    cut = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1
     data = np.insert(buf, cut, 32).tobytes().lower()
     at = (offsets + np.searchsorted(cut, offsets)).tolist()
-    texts = [data[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+    texts = [() if k in out else data[a:b].split() for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
     distinct = set().union(*texts)
     if len(known) + len(distinct) > REMEMBERED:
         known.clear()
-    if new := [w for w in distinct if w not in known]:
-        for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in t]) for t in texts]
+    new = [w for w in distinct if w not in known]
+    fresh = dict(zip(new, own.ids(new), strict=True))
+    known.update({w: i for w, i in fresh.items() if len(w) <= LONGEST})
+    long = {w: i for w, i in fresh.items() if len(w) > LONGEST}
+    here = ChainMap(known, long) if long else known
+    return [out[k] if k in out else b"".join([here[w] for w in t]) for k, t in enumerate(texts)]
 
 
 def _cut(path: str, end_id: int, length: int, with_ids: bool):

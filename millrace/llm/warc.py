@@ -5,7 +5,8 @@ the response of the page with the largest id; the others are revisit records tha
 writer: it inflates a stream in steps, takes a record from each member, frames its block by Content-Length and checks block
 and payload digests.
 
-Pages are dealt to archives as the table's own splits lie: no shuffle of payloads but for the join that finds equal ones.
+Pages are dealt to archives as the table's own splits lie: payloads move only for the join that finds equal ones, and only
+those that are not small. The payload that very many pages share is one key of that join, which Spark can split.
 Each task writes its archives under a new name and reports it; the reports are kept as a table, so archives of attempts
 that were lost are never read.
 """
@@ -119,9 +120,12 @@ def write_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
     """A table of the archives written: path, records. Each page is a record; payloads of `least` bytes or more are stored once."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1("html")).withColumn("large", F.octet_length("html") >= least)
-    equal = rows.where("large").groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder", F.lit(True).alias("large"))
-    dealt = rows.join(equal, ["digest", "large"], "left").select("page_id", "url", "html", "digest", "holder")
+    rows = rows.withColumn("digest", F.sha1("html"))
+    large = rows.where(F.octet_length("html") >= least)
+    equal = large.groupBy("digest").agg(F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("digest", "holder")
+    columns = ["page_id", "url", "html", "digest", "holder"]
+    small = rows.where(F.octet_length("html") < least).withColumn("holder", F.lit(None).cast("long"))
+    dealt = large.join(equal, "digest", "left").select(columns).unionByName(small.select(columns))
 
     def write(batches):
         at, base = _open(folder)

@@ -216,7 +216,6 @@ def test_packing(docs, rows):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     ids = {i: np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4") for i, text, *_ in rows}
     out = packing.pack(docs, path, length=64, with_ids=True).collect()
     filled = {}
@@ -241,15 +240,25 @@ def test_tokens_of_odd_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     r = random.Random(2)
     alphabet = "aAéÉ'st!.,- \n\t\x1c\x85́̇IİK<|endoftext|>5½語😀"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(3000)] + ["<|endoftext|> don't it's", ""]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(30))) for _ in range(3000)] + ["<|endoftext|> don't it's", "", "hello <|endoftext|> world", "<|startoftext|>", "x" * 300 + " " + "É" * 200]
     got = packing.token_ids(path, pa.array(texts))
     for text, g in zip(texts, got, strict=True):
         assert np.frombuffer(g, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_other_vocabularies():
+    """One that keeps case and spaces is encoded whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, texts = Tokenizer.from_file(path), ["Hello  World, it's", "", "a\tB<|endoftext|>", "語"]
+    for text, g in zip(texts, packing.token_ids(path, pa.array(texts)), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_patterns_hold_the_histogram():
     r = random.Random(4)
     histogram = {n: r.randrange(1, 50) for n in r.sample(range(1, 513), 200)}
