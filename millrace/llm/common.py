@@ -159,6 +159,14 @@ def runs(hashes: np.ndarray, n: int, other: bool = False) -> np.ndarray:
     return mix((total[at + n] - total[at]) * down[at] + np.uint64(n))
 
 
+def spans(hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of hashes[a:b] for each a of starts and b of stops."""
+    up, down = _powers(_STEP, len(hashes))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
 def pieces(batch: pa.RecordBatch, text: int, most: int = CHUNK):
     """Slices of a batch whose texts have about `most` bytes, one row at least."""
     column = batch.column(text)

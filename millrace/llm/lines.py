@@ -1,18 +1,23 @@
-"""Line dedup by winnowing.
-
-Deleted is each line that lies in a run of `min_lines` or more consecutive lines of a document which also starts earlier:
-in a document with a smaller id (a null id comes first), or earlier in the same one. Runs of empty lines don't count.
-
-Each window of `min_lines` lines has as many two-line grams less one; the window's smallest gram (the last of equals) is
-its fingerprint, so a run that long has a fingerprint at the same place wherever it stands. Fingerprints are joined to
-their first position in the corpus, told apart by the rest of the window that chose them: one position each, so a common
-line costs as many pairs as it has places. Each match is then extended both ways, line by line, against the document that
-it points to, and the runs so found are deleted from the later document.
-
-With `min_words` a run counts by its words instead: runs of that many or more go, be they one line, and lighter ones stay.
-Windows are then the shortest such runs from each line on, and up to each line: any heavier run is a union of them.
-
-Only line hashes move until the end, when the marks of the documents that lose lines are joined to the texts.
+"""Line dedup by winnowing over line hashes.
+
+Deleted is each line that lies in a run of consecutive lines of a document which also starts earlier: in a document with a
+smaller id (a null id comes first), or earlier in the same one. A run counts if it has `min_lines` lines or more, not all of
+them empty, or `min_words` words or more; so long passages on one or two lines go, and short everyday lines stay.
+
+Windows are the runs that count and can't be made shorter: `min_lines` lines from each place, and the shortest run with
+`min_words` words from each line on and up to each line. Any run that counts is a union of them. Steps:
+
+1. Each window selects its smallest line hash (the last of equals; no empty line). Only the distinct selected positions go
+   on: a line that several windows select is one fingerprint, and every run that counts has one at the same place wherever
+   it stands. A position has with it the hashes of the windows that selected it.
+2. Positions whose fingerprint stands nowhere else can be part of no repeat and go, before any window is looked at.
+3. The matches of the others are extended to both sides, as far as the windows around a position reach: each window is
+   joined to the first place in the corpus that has the same fingerprint and the same lines around it. That is one place,
+   so a common line costs as many rows as it has places. Longer runs have further fingerprints, one in each window.
+4. The runs so found are gathered by document and deleted from the texts.
+
+Only hashes move until the end. A line or passage that very many documents have is counted by partial aggregation, and its
+join is one that Spark can split.
 """
 
 from __future__ import annotations
@@ -22,151 +27,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lines, Words, forget, pieces, replacing, runs, saved, text_bytes
+from .common import Lines, Words, forget, free_name, pieces, replacing, saved, spans, text_bytes
 
 _NULL_ID = -(2**63)
-
-
-def _hashed(batches):
-    """d, t, text -> d, t, hashes: the line hashes of each text, 8 bytes each."""
-    for batch in batches:
-        for piece in pieces(batch, 2):
-            lines = Lines(*text_bytes(piece.column(2)))
-            data = lines.hashes().tobytes()
-            at = (lines.bounds * 8).tolist()
-            yield pa.record_batch({"d": piece.column(0), "t": piece.column(1), "hashes": pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
-
-
-def _weighed(batches):
-    """d, t, text -> d, t, hashes, words: the line hashes of each text, 8 bytes each, and where each line's words end, counted from the text's first, likewise."""
-    for batch in batches:
-        for piece in pieces(batch, 2):
-            lines = Lines(*text_bytes(piece.column(2)))
-            at = (lines.bounds * 8).tolist()
-            cut = lambda data: pa.array([data[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            words = Words(lines.buf, lines.offsets)
-            ends = np.searchsorted(words.starts, lines.ends) - np.repeat(words.bounds[:-1], np.diff(lines.bounds))
-            yield pa.record_batch({"d": piece.column(0), "t": piece.column(1), "hashes": cut(lines.hashes().tobytes()), "words": cut(ends.astype(np.int64).tobytes())})
-
-
-def _fingerprints(min_lines: int, gram: int = 2):
-    """d, t, hashes -> for each window: its fingerprint, the hash of all its lines, and the fingerprint's place and the window's."""
-    gram = min(gram, min_lines)
-    grams = min_lines - gram + 1
-
-    def fingerprints(batches):
-        for batch in batches:
-            out = [[] for _ in range(6)]
-            for d, t, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = np.frombuffer(raw.as_py(), np.uint64)
-                n = len(h) - min_lines + 1
-                if n < 1:
-                    continue
-                g = runs(h, gram)
-                seen = np.lib.stride_tricks.sliding_window_view(g, grams)
-                chosen = grams - 1 - np.argmin(seen[:, ::-1], axis=1)
-                start = np.arange(n)
-                keep = np.lib.stride_tricks.sliding_window_view(h != 0, min_lines).any(axis=1)
-                row = (np.full(n, d), np.full(n, t), g[start + chosen].view(np.int64), runs(h, min_lines).view(np.int64), start + chosen, start)
-                for o, x in zip(out, row, strict=True):
-                    o.append(x[keep])
-            names = ("d", "t", "fingerprint", "window", "place", "start")
-            yield pa.record_batch({k: pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for k, o in zip(names, out, strict=True)})
-
-    return fingerprints
-
-
-def _heavy(min_words: int):
-    """d, t, hashes, words -> the same of the shortest windows of min_words words; their fingerprint is their smallest line hash."""
-
-    def heavy(batches):
-        for batch in batches:
-            out = [[] for _ in range(5)]
-            for d, t, raw, ends in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                h = np.frombuffer(raw.as_py(), np.uint64)
-                total = np.concatenate([[0], np.frombuffer(ends.as_py(), np.int64)])
-                line = np.arange(len(h))
-                stop = np.searchsorted(total, total[:-1] + min_words)
-                start = np.searchsorted(total, total[1:] - min_words, "right") - 1
-                pairs = np.concatenate([np.stack([line, stop], 1)[stop <= len(h)], np.stack([start, line + 1], 1)[start >= 0]])
-                for a, b in np.unique(pairs, axis=0).tolist():
-                    row = (d, t, int(h[a:b].min().view(np.int64)), int(runs(h[a:b], b - a)[0].view(np.int64)), a)
-                    for o, x in zip(out, row, strict=True):
-                        o.append(x)
-            names = ("d", "t", "fingerprint", "window", "place")
-            yield pa.record_batch({k: pa.array(o, pa.int64()) for k, o in zip((*names, "start"), (*out, out[4]), strict=True)})
-
-    return heavy
-
-
-def _extend(min_lines: int):
-    """Matches of a document with one that it copies from -> runs [start, stop) of equal lines around them."""
-
-    def extend(batches):
+_NOT = np.uint64(2**64 - 1)
+_SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.int64())])
+
+
+def windows(lines: Lines, hashes: np.ndarray, min_lines: int, min_words: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the shortest runs that count, within one text each."""
+    n = len(hashes)
+    line, low, high = np.arange(n), *(np.repeat(x, np.diff(lines.bounds)) for x in (lines.bounds[:-1], lines.bounds[1:]))
+    filled = np.concatenate([[0], np.cumsum(hashes != 0)])
+    ok = line + min_lines <= high
+    ok[ok] = filled[line[ok] + min_lines] > filled[line[ok]]
+    found = [(line[ok] << 32) | (line[ok] + min_lines)]
+    if min_words is not None:
+        total = np.concatenate([[0], np.searchsorted(Words(lines.buf, lines.offsets).starts, lines.ends)])
+        stop, start = np.searchsorted(total, total[:-1] + min_words), np.searchsorted(total, total[1:] - min_words, "right") - 1
+        on, upto = stop <= high, start >= low
+        found += [(line[on] << 32) | stop[on], (start[upto] << 32) | (line[upto] + 1)]
+    both = np.unique(np.concatenate(found))
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def smallest(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The place of the smallest value in each range, the last of equals: two overlapping ranges of a power of two each cover it."""
+    out, step = np.zeros(len(starts), np.int64), np.floor(np.log2(np.maximum(stops - starts, 1))).astype(np.int64)
+    best = np.arange(len(values))
+    for k in range(int(step.max(initial=-1)) + 1):
+        at = np.flatnonzero(step == k)
+        a, b = best[starts[at]], best[stops[at] - (1 << k)]
+        out[at] = np.where(values[b] <= values[a], b, a)
+        a, b = best[: -(1 << k)], best[1 << k :]
+        best = np.where(values[b] <= values[a], b, a)
+    return out
+
+
+def _positions(min_lines: int, min_words: int | None):
+    """d, t, text -> the distinct selected positions: d, t, fingerprint, and the windows that selected each."""
+
+    def positions(batches):
         for batch in batches:
-            found = []
-            for i in range(batch.num_rows):
-                own, other = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("own", "other"))
-                spans = []
-                by_shift: dict[int, list[int]] = {}
-                for m in batch.column("matches")[i].as_py():
-                    by_shift.setdefault(m["shift"], []).append(m["start"])
-                for shift, starts in by_shift.items():  # own[x] stands against other[x - shift]
-                    lo, hi = max(0, shift), min(len(own), len(other) + shift)
-                    same = np.concatenate([[False], own[lo:hi] == other[lo - shift : hi - shift], [False]])
-                    edge = np.flatnonzero(same[1:] != same[:-1]) + lo
-                    k = np.unique(np.searchsorted(edge[::2], starts, "right") - 1)
-                    spans += [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2][k], edge[1::2][k], strict=True) if b - a >= min_lines]
-                found.append(spans)
-            yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "spans": pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
-
-    return extend
+            for piece in pieces(batch, 2):
+                lines = Lines(*text_bytes(piece.column(2)))
+                h = lines.hashes()
+                start, stop = windows(lines, h, min_lines, min_words)
+                place = smallest(np.where(h == 0, _NOT, h), start, stop)
+                order = np.argsort(place, kind="stable")
+                start, stop, place = start[order], stop[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+                doc = np.searchsorted(lines.bounds, place, "right") - 1
+                low = lines.bounds[doc]
+                own = pa.StructArray.from_arrays([pa.array(start - low, pa.int32()), pa.array(stop - low, pa.int32()), pa.array(spans(h, start, stop).view(np.int64))], fields=list(_SPAN))
+                at = pa.array(np.append(first, len(place)).astype(np.int32))
+                of = pa.array(doc[first])
+                yield pa.record_batch({"d": piece.column(0).take(of), "t": piece.column(1).take(of), "fingerprint": pa.array(h[place[first]].view(np.int64)), "windows": pa.ListArray.from_arrays(at, own)})
+
+    return positions
+
+
+def repeated(positions: DataFrame) -> DataFrame:
+    """The positions whose fingerprint stands somewhere else too."""
+    again = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    return positions.join(again, "fingerprint", "left_semi")
 
 
 def _marked(batches):
+    """d, t, starts, stops -> d, t, and which of the text's lines are gone, up to the last of them."""
     for batch in batches:
         masks = []
-        for n, lists in zip(batch.column("n").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            mask = np.zeros(n, bool)
-            for spans in lists:
-                for s in spans:
-                    mask[s["start"] : s["stop"]] = True
-            masks.append(mask)
+        for runs in batch.column("runs"):
+            start, stop = (runs.values.field(c).to_numpy() for c in ("start", "stop"))
+            depth = np.bincount(start, minlength=stop.max() + 1) - np.bincount(stop, minlength=stop.max() + 1)
+            masks.append(np.cumsum(depth)[:-1] > 0)
         yield pa.record_batch({"d": batch.column("d"), "t": batch.column("t"), "gone": pa.array(masks, pa.list_(pa.bool_()))})
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int | None = 8) -> DataFrame:
     """docs with its text less the deleted lines, and n_lines, n_removed (long).
 
-    Lines are what line feeds separate. A text that loses nothing stays as it is; a null text has no lines and stays null;
-    an empty one has one line. Rows with equal id and text are one document and all get its result; those that share an id
-    alone come one after another in an order of the operator's choice. Columns named like the results are replaced. An
-    empty table gives an empty table.
+    Lines are what line feeds separate, words stretches without ASCII white space. With min_words=None runs count by lines
+    alone. A text that loses nothing stays as it is; a null text has no lines and stays null; an empty one has one line.
+    Rows with equal id and text are one document and all get its result; those that share an id alone come one after
+    another in an order of the operator's choice. Columns named like the results are replaced; any other name may be a
+    column of docs. An empty table gives an empty table.
     """
-    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias("__d"), F.xxhash64(F.col(f"`{text_col}`")).alias("__t"))
-    texts = keyed.where(F.col(f"`{text_col}`").isNotNull()).select(F.col("__d").alias("d"), F.col("__t").alias("t"), F.col(f"`{text_col}`").alias("text"))
-    if min_words is None:
-        hashed = saved(texts.mapInArrow(_hashed, "d long, t long, hashes binary").dropDuplicates(["d", "t"]), "line_hashes")
-        choose = _fingerprints(min_lines)
-    else:
-        hashed = saved(texts.mapInArrow(_weighed, "d long, t long, hashes binary, words binary").dropDuplicates(["d", "t"]), "line_hashes")
-        min_lines, choose = 1, _heavy(min_words)  # a run around a heavy window is heavy
-    windows = hashed.mapInArrow(choose, "d long, t long, fingerprint long, window long, place long, start long")
-    first = windows.groupBy("fingerprint", "window").agg(F.min(F.struct("d", "t", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    matches = windows.join(first, ["fingerprint", "window"]).where("not (d = first.d and t = first.t and place = first.place)")
-    pairs = matches.select("d", "t", "start", F.col("first.d").alias("e"), F.col("first.t").alias("u"), (F.col("place") - F.col("first.place")).alias("shift"))
-    pairs = pairs.groupBy("d", "t", "e", "u").agg(F.collect_set(F.struct("shift", "start")).alias("matches"))
-    both = pairs.join(hashed.select("d", "t", F.col("hashes").alias("own")), ["d", "t"]).join(hashed.select(F.col("d").alias("e"), F.col("t").alias("u"), F.col("hashes").alias("other")), ["e", "u"])
-    spans = both.select("d", "t", "matches", "own", "other").mapInArrow(_extend(min_lines), "d long, t long, spans array<struct<start:int,stop:int>>")
-    sized = spans.groupBy("d", "t").agg(F.collect_list("spans").alias("spans")).join(hashed.select("d", "t", (F.octet_length("hashes") / 8).cast("int").alias("n")), ["d", "t"])
-    gone = saved(sized.select("d", "t", "n", "spans").mapInArrow(_marked, "d long, t long, gone array<boolean>"), "line_marks")
-    forget(hashed)
-    marks = gone.select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    out = keyed.join(marks.hint("shuffle_hash"), ["__d", "__t"], "left")  # the marks are hashed: texts move once and aren't sorted
+    d, t, mark = (free_name(docs, c) for c in ("d", "t", "gone"))
     text = F.col(f"`{text_col}`")
-    split = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.get("__gone", i)), "\n")
+    keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias(d), F.xxhash64(text).alias(t))
+    texts = keyed.where(text.isNotNull()).select(F.col(d).alias("d"), F.col(t).alias("t"), text.alias("text"))
+    kind = "d long, t long, fingerprint long, windows array<struct<start:int,stop:int,hash:long>>"
+    positions = saved(texts.mapInArrow(_positions(min_lines, min_words), kind), "line_positions")
+    kept = saved(repeated(positions), "line_repeated")
+    forget(positions)
+
+    around = kept.select("d", "t", "fingerprint", F.explode("windows").alias("w")).select("d", "t", "fingerprint", "w.*")
+    first = around.groupBy("fingerprint", "hash").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = around.join(first, ["fingerprint", "hash"]).where("not (d = first.d and t = first.t and start = first.start)")
+    runs = later.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))  # no more than the document has windows
+    gone = saved(runs.mapInArrow(_marked, "d long, t long, gone array<boolean>"), "line_marks")
+    forget(kept)
+
+    out = keyed.join(gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(mark)), [d, t], "left")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get(mark, i), F.lit(False))), "\n")
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    n_removed = F.coalesce(F.size(F.filter("__gone", lambda x: x)), F.lit(0)).cast("long")
-    counted = replacing(out, **{text_col: F.when(F.col("__gone").isNull(), text).otherwise(left), "n_lines": n_lines, "n_removed": n_removed})
+    n_removed = F.coalesce(F.size(F.filter(mark, lambda x: x)), F.lit(0)).cast("long")
+    counted = replacing(out, **{text_col: F.when(F.col(mark).isNull(), text).otherwise(left), "n_lines": n_lines, "n_removed": n_removed})
     return counted.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -124,9 +124,15 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.co
 FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
     "op7_lines": r"""
 WITH w AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-v AS (SELECT doc_id, unnest(range(1, len(lines) - 1)) AS i, lines FROM w WHERE len(lines) >= 3),
-k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY lines[i:i+2] ORDER BY doc_id, i) AS nth FROM v WHERE array_to_string(lines[i:i+2], '') <> ''),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM k WHERE nth > 1),
+v AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM w),
+n AS (SELECT doc_id, i, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS n FROM v),
+c AS (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM n),
+r AS (
+  SELECT doc_id, i AS a, i + 2 AS b FROM v WHERE i + 2 <= len(lines) AND array_to_string(lines[i:i+2], '') <> ''
+  UNION SELECT x.doc_id, x.i, min(y.i) FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= 8 GROUP BY 1, 2
+  UNION SELECT x.doc_id, max(x.i), y.i FROM c x JOIN c y ON y.doc_id = x.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= 8 GROUP BY 1, 3),
+k AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY lines[a:b] ORDER BY doc_id, a) AS nth FROM r JOIN w USING (doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM k WHERE nth > 1),
 gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
 t AS (SELECT doc_id, text, lines, coalesce(gone, []) AS gone FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed,

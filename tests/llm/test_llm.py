@@ -166,45 +166,48 @@ def test_densified_bins_agree_with_similarity():
 # -- lines
 
 
-def test_lines(spark):
-    r = random.Random(9)
-    pool = [f"line {i}" for i in range(12)] + ["", ""]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 40))), "s", None, None) for i in range(80)] + [(80, None, None, 1, "x"), (81, "", None, 1, "x"), (82, "a\n\n\n\n\nb", None, 1, "x")]
-    seen, expected = set(), []
+def unlined(rows, lines=3, words=8):
+    """id, n_lines, n_removed, text of each row, by all runs that count."""
+    seen, out = set(), []
     for i, text, *_ in rows:
-        own = [] if text is None else text.split("\n")
-        gone = [False] * len(own)
-        for p in range(len(own) - 2):
-            k = tuple(own[p : p + 3])
-            if any(k):
-                if k in seen:
-                    gone[p : p + 3] = [True] * 3
-                seen.add(k)
-        expected.append((i, len(own), sum(gone), None if text is None else "\n".join(x for x, g in zip(own, gone, strict=True) if not g)))
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_words long, gone string").repartition(3)
-    assert by_id(lines.line_dedup(df), "n_lines", "n_removed", "text") == expected
-    assert lines.line_dedup(df).columns == ["doc_id", "text", "n_words", "gone", "n_lines", "n_removed"]
-
-
-def test_lines_by_words(spark):
-    """Long repeats of one or two lines go, short everyday lines stay, against all runs of 8 words or more."""
-    r = random.Random(4)
-    pool = [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([1, 1, 2, 3, 4, 5, 6, 9, 12])] + ["", ""]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 14)))) for i in range(60)] + [(60, pool[8]), (61, pool[8]), (62, pool[1]), (63, None)]
-    seen, expected = set(), []
-    for i, text in rows:
         own = [] if text is None else text.split("\n")
         gone = [False] * len(own)
         for a in range(len(own)):
             for b in range(a + 1, len(own) + 1):
                 k = tuple(own[a:b])
-                if len(" ".join(k).split()) >= 8:
+                if (lines and b - a == lines and any(k)) or (words and len(WORDS.findall("\n".join(k))) >= words):
                     if k in seen:
                         gone[a:b] = [True] * (b - a)
                     seen.add(k)
-        expected.append((i, len(own), sum(gone), None if text is None else "\n".join(x for x, g in zip(own, gone, strict=True) if not g)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert by_id(lines.line_dedup(df, min_words=8), "n_lines", "n_removed", "text") == expected
+        out.append((i, len(own), sum(gone), None if text is None else "\n".join(x for x, g in zip(own, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("words", [8, 3, None])
+def test_lines(spark, words):
+    r = random.Random(9)
+    pool = [f"line {i}" for i in range(12)] + ["", ""] + [" ".join(f"w{i}" for _ in range(n)) for i, n in enumerate([4, 5, 6, 9, 12])]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(0, 30))), "s", None, None) for i in range(60)]
+    rows += [(80, None, None, 1, "x"), (81, "", None, 1, "x"), (82, "a\n\n\n\n\nb", None, 1, "x"), (83, pool[-1], None, 1, "x"), (84, pool[-1], None, 1, "x"), (85, pool[0], None, 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_words long, gone string").repartition(3)
+    assert by_id(lines.line_dedup(df, min_words=words), "n_lines", "n_removed", "text") == unlined(rows, 3, words)
+    assert lines.line_dedup(df).columns == ["doc_id", "text", "n_words", "gone", "n_lines", "n_removed"]
+
+
+def test_lines_of_any_column_names_and_repeated_rows(spark):
+    rows = [(None, "a\nb\nc", 1), (None, "a\nb\nc", 2), (1, "a\nb\nc", 3), (1, "a\nb\nc", 4), (2, "x\na\nb\nc", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, d long").withColumns({c: F.lit(7) for c in ("t", "gone", "__d", "__t", "__gone", "hash", "first")})
+    out = lines.line_dedup(df).orderBy("d").collect()
+    assert [(r["d"], r["n_removed"], r["text"]) for r in out] == [(1, 0, "a\nb\nc"), (2, 0, "a\nb\nc"), (3, 3, ""), (4, 3, ""), (5, 3, "x")]
+    assert all(r["t"] == r["__d"] == r["gone"] == 7 for r in out)
+
+
+def test_only_repeated_fingerprints_are_joined(spark):
+    """Of texts that share one passage in a thousand lines, hardly any position goes on, and far fewer positions than windows do."""
+    rows = [(i, 0, "\n".join(f"{i} {k}" if k < 90 else f"shared {k}" for k in range(100))) for i in range(10)]
+    found = spark.createDataFrame(rows, "d long, t long, text string").mapInArrow(lines._positions(3, None), "d long, t long, fingerprint long, windows array<struct<start:int,stop:int,hash:long>>")
+    n_windows = found.select(F.sum(F.size("windows"))).first()[0]
+    assert n_windows == 980 and found.count() < 0.7 * n_windows and lines.repeated(found).count() <= 100
 
 
 # -- packing

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import corpus_pipeline
-from test_llm import WORDS, covered, linked
+from test_llm import WORDS, covered, linked, unlined
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -38,18 +38,7 @@ def test_quality(stages, spark):
 
 def test_lines(stages):
     before, after = stages["line_dedup"]
-    seen, expected = set(), {}
-    for i, text, *_ in before:
-        own = text.split("\n")
-        gone = [False] * len(own)
-        for p in range(len(own) - 2):
-            k = tuple(own[p : p + 3])
-            if any(k):
-                if k in seen:
-                    gone[p : p + 3] = [True] * 3
-                seen.add(k)
-        if not all(gone):
-            expected[i] = "\n".join(x for x, g in zip(own, gone, strict=True) if not g)
+    expected = {i: text for i, n, gone, text in unlined(before) if not gone or gone < n}
     assert {r["doc_id"]: r["text"] for r in after} == expected
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
