@@ -12,9 +12,11 @@ Two documents are linked if the Jaccard similarity of their sets of 5-word shing
    threshold has with probability 1 - 1e-9 where its fuller set fills as many bins itself. The others are confirmed on
    the full sets, and components are formed.
 5. A star can miss a link between two members neither of which is linked to the centre. So the buckets that still hold
-   more than one component are searched again: the members outside a bucket's largest component are held against all of
-   it, in blocks of members, first by signature and then by the full sets, inside the task. A pair is tried in the first
-   band alone that both share, and only links that join components are put out. No bucket is capped.
+   more than one component are searched again: the members outside a bucket's largest component, in blocks, meet all of it,
+   in blocks too. First with their signatures alone, which leaves the members that have a likely partner in another
+   component; these meet again, in blocks of their own, with their full sets, and pairs are confirmed inside the task. A
+   pair is tried in the first band alone that both share, and only links that join components are put out. No bucket is
+   capped, and no task holds more than some blocks of two.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from .graph import components
 
 BINS, ROWS, SMALL = 128, 4, 64
 _SEEDS = [np.uint64(x) for x in (0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)]
-#: Members of a bucket that step 5 holds in one block; rows that one of its groups gets on average.
-BLOCK, GROUP = 256, 4_000
+#: Members of a bucket that step 5 holds in one block; bytes of signatures and sets that one of its groups gets on average.
+BLOCK, GROUP = 256, 4 << 20
 #: Most ids that are broadcast, to find the texts to confirm without moving all texts (under 50 MB); more are joined by a shuffle.
 IDS = 1_000_000
 
@@ -183,14 +185,46 @@ def _confirmed(hundredths: int):
     return confirmed
 
 
+def _partners(table: pa.Table, least: np.ndarray, hundredths: int):
+    """Of the blocks in a table, each probe with the members of other components that its size and signature allow and that no earlier band has with it."""
+    bands = BINS // ROWS
+    key, chunk, pchunk, band, ids, comp = (table[c].to_numpy() for c in ("key", "chunk", "pchunk", "band", "id", "component"))
+    probe, outside, filled, size = (table[c].to_numpy() for c in ("probe", "outside", "filled", "n_shingles"))
+    sig = _matrix(table["sig"].combine_chunks(), np.uint32, BINS)
+    order = np.lexsort((ids, probe, pchunk, chunk, key))
+    edge = [x[order][1:] != x[order][:-1] for x in (key, chunk, pchunk)]
+    for rows in np.split(order, np.flatnonzero(edge[0] | edge[1] | edge[2]) + 1):
+        members, probes = rows[~probe[rows]], rows[probe[rows]]
+        for p in probes:
+            m = members[(comp[members] != comp[p]) & (~outside[members] | (ids[members] < ids[p]))]
+            m = m[100 * np.minimum(size[m], size[p]) >= hundredths * np.maximum(size[m], size[p])]
+            m = m[(sig[m] == sig[p]).sum(axis=1) >= least[np.maximum(filled[m], filled[p])]] if len(m) else m
+            if len(m):
+                same = (sig[m].reshape(len(m), bands, ROWS) == sig[p].reshape(bands, ROWS)).all(axis=2)
+                m = m[~same[:, : band[p]].any(axis=1) if band[p] < bands else ~same.any(axis=1)]
+            if len(m):
+                yield int(p), m
+
+
+def _promising(threshold: float, hundredths: int):
+    """The members and probes that have partners by their signatures: key, id, n_shingles."""
+    least = _least(threshold)
+
+    def promising(table: pa.Table) -> pa.Table:
+        hit = np.zeros(len(table), bool)
+        for p, m in _partners(table, least, hundredths):
+            hit[p] = hit[m] = True
+        return table.select(["key", "id", "n_shingles"]).filter(pa.array(hit))
+
+    return promising
+
+
 def _across(threshold: float, hundredths: int):
-    """Of the blocks of buckets in a group: links between their probes and members that join components."""
-    least, bands = _least(threshold), BINS // ROWS
+    """Links between probes and members that join components, confirmed on the full sets."""
+    least = _least(threshold)
 
     def across(table: pa.Table) -> pa.Table:
-        key, chunk, band, ids, comp = (table[c].to_numpy() for c in ("key", "chunk", "band", "id", "component"))
-        probe, outside, filled, size = (table[c].to_numpy() for c in ("probe", "outside", "filled", "n_shingles"))
-        sig = _matrix(table["sig"].combine_chunks(), np.uint32, BINS)
+        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
         data, at = text_bytes(table["elements"].combine_chunks())
         data, at = data.view(np.uint64), at // 8
         root: dict[int, int] = {}
@@ -201,38 +235,43 @@ def _across(threshold: float, hundredths: int):
                 c = root[c]
             return c
 
-        order = np.lexsort((ids, probe, chunk, key))
-        new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (chunk[order][1:] != chunk[order][:-1])]))
         found, tried = [], set()
-        for rows in np.split(order, new[1:]):
-            members, probes = rows[~probe[rows]], rows[probe[rows]]
-            for p in probes:
-                m = members[(comp[members] != comp[p]) & (~outside[members] | (ids[members] < ids[p]))]
-                m = m[100 * np.minimum(size[m], size[p]) >= hundredths * np.maximum(size[m], size[p])]
-                m = m[(sig[m] == sig[p]).sum(axis=1) >= least[np.maximum(filled[m], filled[p])]] if len(m) else m
-                if not len(m):
-                    continue
-                same = (sig[m].reshape(len(m), bands, ROWS) == sig[p].reshape(bands, ROWS)).all(axis=2)
-                m = m[~same[:, : band[p]].any(axis=1) if band[p] < bands else ~same.any(axis=1)]
-                m = [x for x in m.tolist() if (int(ids[p]), int(ids[x])) not in tried and find(int(comp[x])) != find(int(comp[p]))]
-                if not m:
-                    continue
-                tried.update((int(ids[p]), int(ids[x])) for x in m)
-                own, others = data[at[p] : at[p + 1]], [data[at[x] : at[x + 1]] for x in m]
-                n = np.array([len(x) for x in others])
-                every = np.concatenate(others)
-                shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, np.cumsum(n) - n, dtype=np.int64)
-                for x in np.flatnonzero(100 * shared >= hundredths * (len(own) + n - shared)).tolist():
-                    a, b = find(int(comp[p])), find(int(comp[m[x]]))
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        found.append((int(ids[p]), int(ids[m[x]])))
+        for p, m in _partners(table, least, hundredths):
+            m = [x for x in m.tolist() if (int(ids[p]), int(ids[x])) not in tried and find(int(comp[x])) != find(int(comp[p]))]
+            if not m:
+                continue
+            tried.update((int(ids[p]), int(ids[x])) for x in m)
+            own, others = data[at[p] : at[p + 1]], [data[at[x] : at[x + 1]] for x in m]
+            n = np.array([len(x) for x in others])
+            every = np.concatenate(others)
+            shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every, np.cumsum(n) - n, dtype=np.int64)
+            for x in np.flatnonzero(100 * shared >= hundredths * (len(own) + n - shared)).tolist():
+                a, b = find(int(comp[p])), find(int(comp[m[x]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(ids[p]), int(ids[m[x]])))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return across
 
 
+def _in_blocks(rows: DataFrame, size) -> tuple[DataFrame, int]:
+    """key, band, id, component, outside -> blocks of a bucket's members with each block of its probes, dealt to groups `g`. size: bytes of a row.
+
+    A member is once in each pair of blocks that its block is part of, so rows are as many as blocks times members.
+    """
+    own = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("pchunks")).where("pchunks > 0")
+    rows = rows.join(own, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    chunk, pchunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("pchunks")).cast("int")
+    members = rows.withColumns({"chunk": chunk, "probe": F.lit(False)}).withColumn("pchunk", each("pchunks"))
+    probes = rows.where("outside").withColumns({"pchunk": pchunk, "probe": F.lit(True)}).withColumn("chunk", each("chunks"))
+    total = rows.agg(F.sum(size * (F.col("pchunks") + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0] or 0
+    dealt = members.unionByName(probes).drop("chunks", "pchunks")
+    return dealt, max(1, round(total / GROUP))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, text_key: str | None = None) -> DataFrame:
     """For each row: id_col (long), n_shingles (long), component_id (smallest id reachable over links, itself included), kept (boolean).
 
@@ -276,17 +315,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     # A bucket of two is its star, which step 4 has tested.
     split = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
-    open_ = placed.join(split.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "key").withColumn("outside", F.col("component") != F.col("main"))
-    open_ = saved(open_, "minhash_open")
-    column = ["key", "band", "id", "component", "outside"]
-    members = open_.select(*column, F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("probe"))
-    probes = open_.where("outside").select(*column, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
-    groups = max(1, round(open_.agg(F.sum(F.when(F.col("outside"), F.col("chunks") + 1).otherwise(1))).first()[0] or 0) // GROUP)
-    sets = sets_of(open_.select("id"))
-    spread = members.unionByName(probes).join(sig, "id").join(sets, "id")
-    more = saved(spread.groupBy(F.pmod(F.xxhash64("key", "chunk"), F.lit(groups)).alias("g")).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
-    label = components(links.unionByName(more))
-    forget(sets, open_, crowded)
+    open_ = saved(placed.join(split.select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "minhash_open")
+
+    def in_groups(blocks: DataFrame, groups: int):
+        return blocks.groupBy(F.pmod(F.xxhash64("key", "chunk", "pchunk"), F.lit(groups)).alias("g"))
+
+    blocks, groups = _in_blocks(open_, F.lit(4 * BINS + 64))
+    likely_ones = in_groups(blocks.join(sig, "id"), groups).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
+    likely_ones = saved(likely_ones.distinct(), "minhash_likely")
+    if not likely_ones.isEmpty():
+        again = open_.join(likely_ones, ["key", "id"])
+        blocks, groups = _in_blocks(again, F.col("n_shingles") * 8 + 4 * BINS + 64)
+        sets = sets_of(again.select("id"))
+        spread = blocks.drop("n_shingles").join(sig, "id").join(sets, "id")
+        more = saved(in_groups(spread, groups).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
+        label = components(links.unionByName(more))
+        forget(sets)
+    forget(open_, crowded, likely_ones)
 
     named = classes.select("key_a", "key_b", "id").join(label, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("component_id"))
     return signed.select("id", "text_key", "n_shingles", "key_a", "key_b").join(named, ["key_a", "key_b"], "left").select(

@@ -135,6 +135,42 @@ def test_near_duplicates_chains(spark):
     assert by_id(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == linked(rows)
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """One bucket with many members of several components, as blocks of four against blocks of four."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "GROUP", 20_000)
+    r = random.Random(8)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for k in range(70):
+        own = list(base)
+        for _ in range(r.randrange(2, 9)):
+            own[r.randrange(120)] = f"n{r.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == linked(rows)
+
+
+def test_components(spark):
+    """Against union-find: a long chain, a star with many leaves, a cycle, repeated and reversed links, a loop."""
+    from millrace.llm.graph import components
+
+    links = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(900, 901), (901, 902), (902, 900), (901, 900), (950, 950)]
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    random.Random(1).shuffle(links)
+    got = components(spark.createDataFrame([*links, *links[:50]], "a long, b long")).collect()
+    assert {(r["id"], r["component"]) for r in got} == {(i, find(i)) for x in links for i in x if x[0] != x[1]} and len(got) == len({r["id"] for r in got})
+
+
 def test_near_duplicates_null_ids(spark):
     t = "one two three four five six"
     out = minhash.near_duplicates(spark.createDataFrame([(None, t), (4, t), (9, t), (None, "all alone here"), (3, None)], "doc_id long, text string")).collect()
