@@ -7,8 +7,9 @@ until the law says that a point nearer than the k-th found so far would, with pr
 
 The projections are indexed by a kd-tree, fitted on a bounded sample; its leaves are the cells by which all rows are
 dealt. Each query first searches its own cell and the nearest few, which bounds its k-th distance; then it visits the
-other cells whose box is near enough for the test to go on. Queries and rows meet in blocks of bounded size, and a cell
-with more rows than a block holds (many equal vectors, say) is dealt over as many blocks as it fills.
+other cells whose box is near enough for the test to go on. Queries and rows meet in blocks of bounded size, joined by cell and
+part: a cell with more rows than a block holds (many equal vectors, say) is dealt over as many parts as it fills. A visit
+takes along those queries of its block alone that ask for the cell.
 """
 
 from __future__ import annotations
@@ -123,8 +124,14 @@ def _blocks(dealt: DataFrame, most: int, index, prefix: str) -> DataFrame:
     return saved(numbered.groupBy("cell", "part").applyInArrow(gather, "cell int, part int, ids binary, members array<long>, vectors binary, projections binary, low array<double>, high array<double>"), prefix)
 
 
+def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties to the smaller id, each id once."""
+    order = np.lexsort((ids, -score))
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
+
+
 def _search(k: int, confidence: float, index):
-    """Pairs of a block of queries and a block of rows -> for each query its k nearest of the block, not farther than its bound."""
+    """Queries that visit a block of rows -> for each its k nearest ids of the block, not farther than its bound."""
 
     def search(batches):
         own = index.value
@@ -135,13 +142,13 @@ def _search(k: int, confidence: float, index):
                 qid, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q, x = (np.frombuffer(row[c]).reshape(len(n), -1) for c, n in (("q_vectors", qid), ("vectors", ids)))
                 qp, xp = (np.frombuffer(row[c]).reshape(len(n), -1) for c, n in (("q_projections", qid), ("projections", ids)))
-                bound, ask = np.frombuffer(row["bounds"]), np.frombuffer(row["ask"], np.int32)
+                bound, extra = np.frombuffer(row["bounds"]), len(ids) - len(np.unique(ids))  # rows beside the first of their id
                 length = (q**2).sum(axis=1) + own.longest**2
-                away = np.maximum(0, (qp[ask] ** 2).sum(axis=1)[:, None] + (xp**2).sum(axis=1) - 2 * qp[ask] @ xp.T)
-                product = None  # of all rows with the queries that ask, if one of them has to verify many
+                away = np.maximum(0, (qp**2).sum(axis=1)[:, None] + (xp**2).sum(axis=1) - 2 * qp @ xp.T)
+                product = None  # of all rows with the queries, if one of them has to verify many
                 out = []
-                for at, j in enumerate(ask):
-                    near, limit = away[at], bound[j]  # limit: squared distance of the k-th nearest so far
+                for j in range(len(qid)):
+                    near, limit = away[j], bound[j]  # limit: squared distance of the k-th nearest so far
                     order = np.flatnonzero((near <= limit * stop + 1e-9 * length[j]) & (ids != qid[j]))
                     got_d, got_i, least = np.zeros(0), np.zeros(0, np.int64), STEPS[0]
                     while len(order):
@@ -149,17 +156,16 @@ def _search(k: int, confidence: float, index):
                             order = order[np.argpartition(near[order], least)]
                         some, order = order[:least], order[least:]
                         if product is None and len(some) > STEPS[0]:
-                            product = x @ q[ask].T
-                        rough = x[some] @ q[j] if len(some) <= STEPS[0] else product[some, at]
+                            product = x @ q.T
+                        rough = x[some] @ q[j] if len(some) <= STEPS[0] else product[some, j]
                         some = some[length[j] - 2 * rough <= limit + 1e-9 * length[j]]
-                        if len(some) > 4 * k:
+                        if len(some) > 4 * (k + extra):
                             rough = x[some] @ q[j]
-                            some = some[rough >= np.partition(rough, -k)[-k] - 1e-9 * length[j]]
+                            some = some[rough >= np.partition(rough, -k - extra)[-k - extra] - 1e-9 * length[j]]
                         s = (x[some] * q[j]).sum(axis=1)  # the same for equal vectors, wherever they stand
                         got_d, got_i = np.concatenate([got_d, s]), np.concatenate([got_i, ids[some]])
-                        if len(got_d) > k:
-                            best = np.lexsort((got_i, -got_d))[:k]
-                            got_d, got_i = got_d[best], got_i[best]
+                        best = _top(got_d, got_i, k)
+                        got_d, got_i = got_d[best], got_i[best]
                         if len(got_d) == k:
                             limit = min(limit, max(0.0, length[j] - 2 * got_d.min()))
                         order = order[near[order] <= limit * stop + 1e-9 * length[j]]
@@ -176,8 +182,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     Nearest first, ties to the smaller id; all candidates if there are fewer than k. Rows take no part if their id or
     vector is null, if a component is null, NaN or infinite, if all are zero, or if their length isn't the most common one
-    of base (the longer of two that are as common). Rows that share an id count once (one of them, for equal vectors no
-    matter which). Other columns take no part; without valid rows the result is empty.
+    of base (the longer of two that are as common). Rows that share an id count once, with the nearest of their vectors;
+    queries that share an id are one query, with the smallest of their vectors. Other columns take no part; without valid
+    rows the result is empty.
     """
     spark = base.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -196,22 +203,23 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     dealt = "id long, v array<double>, cell int, p array<double>"
 
     blocks = _blocks(rows.mapInArrow(_dealt(shared, "row"), dealt), ROWS, shared, "ann_rows")
-    asked = _valid(queries, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id"])
-    asked = _blocks(asked.mapInArrow(_dealt(shared, "query"), dealt), QUERIES, shared, "ann_queries")
-    boxes = blocks.groupBy("cell").agg(*[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(directions)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(directions)]).collect()  # at most LEAVES rows
+    asking = _valid(queries, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
+    asked = _blocks(asking.mapInArrow(_dealt(shared, "query"), dealt), QUERIES, shared, "ann_queries")
+    boxes = blocks.groupBy("cell").agg(*[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(directions)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(directions)], F.max("part").alias("last")).collect()  # at most LEAVES rows
     cells = np.array([b["cell"] for b in boxes], np.int32)
     low, high = (np.array([[b[f"{s}{i}"] for i in range(directions)] for b in boxes]) for s in "lh")
-    boxed = spark.sparkContext.broadcast((cells, low, high))
+    boxed = spark.sparkContext.broadcast((cells, low, high, np.array([b["last"] + 1 for b in boxes])))
 
     def visit(again: bool):
-        """Blocks of queries -> the cells that they visit, with which of the queries and their bounds."""
+        """Blocks of queries -> the parts of cells that they visit, each with the queries that ask for it and their bounds."""
 
         def visits(batches):
-            cells, low, high = boxed.value
+            cells, low, high, parts = boxed.value
             stop = chi2_quantile(confidence, directions)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids, p = np.frombuffer(batch.column("ids")[i].as_py(), np.int64), np.frombuffer(batch.column("projections")[i].as_py()).reshape(-1, directions)
+                    ids, p, v = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in (("ids", np.int64), ("projections", float), ("vectors", float)))
+                    p, v = p.reshape(len(ids), -1), v.reshape(len(ids), -1)
                     away = np.stack([(np.maximum(0, np.maximum(low - x, x - high)) ** 2).sum(axis=1) for x in p])
                     order = np.argsort(away, axis=1, kind="stable")
                     at_first = np.zeros(away.shape, bool)
@@ -223,27 +231,28 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
                     else:
                         bound, go = np.full(len(ids), np.inf), at_first
                     hit = np.flatnonzero(go.any(axis=0))
+                    ask = [np.flatnonzero(go[:, h]) for h in hit]
+                    some = lambda x: pa.array([x[a].tobytes() for a in ask], pa.binary())  # noqa: B023, E731
                     yield pa.record_batch({
-                        "cell": pa.array(cells[hit], pa.int32()), "q_ids": pa.array([ids.tobytes()] * len(hit), pa.binary()), "q_vectors": pa.array([batch.column("vectors")[i].as_py()] * len(hit), pa.binary()),
-                        "q_projections": pa.array([batch.column("projections")[i].as_py()] * len(hit), pa.binary()), "bounds": pa.array([bound.tobytes()] * len(hit), pa.binary()),
-                        "ask": pa.array([np.flatnonzero(go[:, h]).astype(np.int32).tobytes() for h in hit], pa.binary()),
+                        "cell": pa.array(cells[hit], pa.int32()), "parts": pa.array(parts[hit], pa.int32()), "q_ids": some(ids), "q_vectors": some(v), "q_projections": some(p), "bounds": some(bound),
                     })
 
         return visits
 
-    visited = "cell int, q_ids binary, q_vectors binary, q_projections binary, bounds binary, ask binary"
-    found, pair = "query_id long, vec_id long, score double", ["q_ids", "q_vectors", "q_projections", "bounds", "ask", "ids", "vectors", "projections"]
+    visited = "cell int, parts int, q_ids binary, q_vectors binary, q_projections binary, bounds binary"
+    found, pair = "query_id long, vec_id long, score double", ["q_ids", "q_vectors", "q_projections", "bounds", "ids", "vectors", "projections"]
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def top(hits: DataFrame) -> DataFrame:
-        return hits.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def meet(visits: DataFrame) -> DataFrame:
-        return visits.join(blocks.select("cell", "ids", "vectors", "projections"), "cell").select(pair).mapInArrow(_search(k, confidence, shared), found)
+        visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return visits.join(blocks.select("cell", "part", "ids", "vectors", "projections"), ["cell", "part"]).select(pair).mapInArrow(_search(k, confidence, shared), found)
 
     near = saved(top(meet(asked.mapInArrow(visit(False), visited))), "ann_first")
     kth = near.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k)
-    squares = _valid(queries, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + F.lit(common["square"])).alias("length"))
+    squares = asking.select(F.col("id").alias("query_id"), (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) + F.lit(common["square"])).alias("length"))
     far = kth.join(squares, "query_id").select("query_id", F.greatest(F.lit(0.0), F.col("length") - 2 * F.col("score")).alias("far"))
     placed = far.join(asked.select("cell", "part", F.explode("members").alias("query_id")), "query_id").groupBy("cell", "part").agg(F.collect_list("query_id").alias("known"), F.collect_list("far").alias("far"))
     second = meet(asked.join(placed, ["cell", "part"], "left").select("ids", "vectors", "projections", "known", "far").mapInArrow(visit(True), visited))
