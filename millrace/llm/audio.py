@@ -6,27 +6,41 @@ Bytes are kept as the samples of a mono 8-bit PCM WAV file; features are compute
 - log-mel filterbanks over overlapped Hann windows, as tensors of one fixed shape (frames, bands), each with its time span;
 - segments by energy with hysteresis: a segment begins at the upper threshold and ends below the lower one.
 
-Texts become files in one pass, the files are a table of the shared folder, and features are a second pass over it: no shuffle.
+Texts become files in one pass, and the files are a table of the shared folder. Features are a second pass over it, which
+stores the tensors in Parquet files of the shared folder, as a column of Arrow's fixed-shape tensor type beside their spans;
+each document's row names the file and the row group that it wrote, so files of lost attempts are never read. A third pass
+reads tensors back. Nothing is shuffled. Arithmetic is in double precision, and tensors hold fixed-point numbers, so that
+equal texts have equal values on unlike executors too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, text_bytes
+from .common import pieces, saved, shared_dir, text_bytes
 
 RATE, UP, DOWN = 16_000, 1, 2
 WINDOW, HOP, FFT, BANDS = 200, 80, 256, 40
 #: Frames of one tensor; payloads are padded to a multiple of BLOCK bytes.
 FRAMES, BLOCK = 64, 576
+#: Steps of a tensor's values in one unit of the natural logarithm, and the type that holds them.
+LEVELS = 64
+TENSOR = pa.fixed_shape_tensor(pa.int16(), (FRAMES, BANDS))
+_SPAN = pa.struct([("start", pa.float64()), ("stop", pa.float64())])
+_SEGMENT = pa.struct([("start", pa.float64()), ("stop", pa.float64()), ("energy", pa.float64())])
+#: Seconds between two frames.
+SECONDS = HOP / (RATE * UP / DOWN)
 
 
 def wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -59,16 +73,16 @@ def _phases(up: int, down: int, taps: int = 16) -> np.ndarray:
     cut = min(1.0, up / down)
     h = cut * np.sinc(cut * t) * np.where(np.abs(t) <= taps, 0.5 + 0.5 * np.cos(np.pi * t / (taps + 1)), 0)
     rows = h.reshape(-1, up).T[:, ::-1]
-    return np.ascontiguousarray(rows / rows.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.ascontiguousarray(rows / rows.sum(axis=1, keepdims=True))
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     """x at up / down times its rate; edges are held."""
     h = _phases(up, down)
     width = h.shape[1]
-    padded = np.concatenate([np.full(width // 2, x[:1]), x, np.full(width, x[-1:])]).astype(np.float32)
+    padded = np.concatenate([np.full(width // 2, x[:1]), x, np.full(width, x[-1:])])
     n = -(-len(x) * up // down)
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
     for first in range(min(up, n)):
         at = np.arange(first, n, up, dtype=np.int64) * down
@@ -86,10 +100,10 @@ def _mel(rate: int) -> np.ndarray:
     f = np.arange(FFT // 2 + 1) * rate / FFT
     rise = (f[:, None] - edge[None, :-2]) / (edge[1:-1] - edge[:-2])
     fall = (edge[None, 2:] - f[:, None]) / (edge[2:] - edge[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.maximum(0, np.minimum(rise, fall))
 
 
-_HANN = np.hanning(WINDOW).astype(np.float32)
+_HANN = np.hanning(WINDOW)
 
 
 def log_mel(x: np.ndarray, rate: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +111,11 @@ def log_mel(x: np.ndarray, rate: int, step: int = 2048) -> tuple[np.ndarray, np.
     if len(x) < WINDOW:
         x = np.pad(x, (0, WINDOW - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
-    mel, energy, bank = np.empty((len(frames), BANDS), np.float32), np.empty(len(frames), np.float32), _mel(rate)
+    mel, energy, bank = np.empty((len(frames), BANDS)), np.empty(len(frames)), _mel(rate)
     for a in range(0, len(frames), step):
         part = frames[a : a + step] * _HANN
-        power = np.abs(np.fft.rfft(part, FFT, axis=1)).astype(np.float32) ** 2
-        mel[a : a + step] = np.log(power @ bank + np.float32(1e-6))
+        power = np.abs(np.fft.rfft(part, FFT, axis=1)) ** 2
+        mel[a : a + step] = np.log(power @ bank + 1e-6)
         energy[a : a + step] = 10 * np.log10(np.einsum("ij,ij->i", part, part) / WINDOW + 1e-10)
     return mel, energy
 
@@ -117,17 +131,16 @@ def segments(energy: np.ndarray, low: float = 40, high: float = 60) -> list[tupl
 
 
 def tensors(mel: np.ndarray) -> np.ndarray:
-    """Consecutive tensors of shape (FRAMES, BANDS); the last is filled up with its lowest value."""
+    """Consecutive tensors of shape (FRAMES, BANDS) in LEVELS steps; the last is filled up with its lowest value."""
     n = -(-len(mel) // FRAMES)
-    out = np.full((n * FRAMES, BANDS), mel.min(), np.float32)
+    out = np.full((n * FRAMES, BANDS), mel.min())
     out[: len(mel)] = mel
-    return out.reshape(n, FRAMES, BANDS)
+    return np.round(out * LEVELS).astype(np.int16).reshape(n, FRAMES, BANDS)
 
 
-def as_tensor_array(column: pa.Array) -> pa.Array:
-    """A column of flat tensors as Arrow's fixed-shape tensor type, without a copy of the values."""
-    flat = pa.FixedSizeListArray.from_arrays(pa.concat_arrays([column.flatten()]).cast(pa.float32()), FRAMES * BANDS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, BANDS)), flat)
+def spans(frames: int) -> list[dict[str, float]]:
+    """Start and stop in seconds of each tensor of so many frames."""
+    return [{"start": k * SECONDS, "stop": min(frames, k + FRAMES) * SECONDS} for k in range(0, frames, FRAMES)]
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,36 +161,92 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return saved(texts.mapInArrow(encode, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col), "audio_media")
 
 
-def audio_features(media: DataFrame, id_col: str = "doc_id", with_tensors: bool = False) -> DataFrame:
-    """Features of each stored file: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, frames,
-    mel_crc32 (of the tensors' values), segments (array of start, stop in seconds, mean energy in decibels); with tensors also
-    `tensors` (array of flat FRAMES x BANDS tensors) and `spans` (start and stop of each in seconds).
+def audio_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Features of each stored file, a kept table: id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    frames, segments (array of start, stop in seconds, mean energy in decibels), and where its tensors are stored: path,
+    row_group, place (the how manieth document of the group), n_tensors.
 
     Equal files have equal features. Every row stays a row; an empty table gives an empty table.
     """
-    kind = media.schema[id_col].dataType.simpleString()
-    at, span = HOP / (RATE * UP / DOWN), pa.struct([("start", pa.float64()), ("stop", pa.float64())])
-    segment = pa.struct([("start", pa.float64()), ("stop", pa.float64()), ("energy", pa.float64())])
+    kind, folder = media.schema[id_col].dataType.simpleString(), f"{shared_dir(media.sparkSession)}/tensors-{uuid.uuid4().hex}"
+    kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("segments", pa.list_(_SEGMENT))]
+    stored = pa.schema([("doc", pa.int32()), ("span", _SPAN), ("mel", TENSOR)])
 
     def features(batches):
+        writer, sink, path, group = None, None, "", 0
+        try:
+            for batch in batches:
+                for piece in pieces(batch, 2):
+                    rows, parts, at = [], [], []
+                    for raw in piece.column(2):
+                        data = raw.as_py()
+                        payload, rate = samples_of(data)
+                        mel, energy = log_mel(resample((np.frombuffer(payload, np.uint8) - 128.0) / 128), rate * UP // DOWN)
+                        found = [{"start": a * SECONDS, "stop": b * SECONDS, "energy": float(energy[a:b].mean())} for a, b in segments(energy)]
+                        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), len(mel), found))
+                        parts.append(tensors(mel))
+                        at += spans(len(mel))
+                    if writer is None:
+                        where, base = fs.FileSystem.from_uri(folder)
+                        where.create_dir(base, recursive=True)
+                        name, group = f"{uuid.uuid4().hex}.parquet", 0
+                        path, sink = f"{folder}/{name}", where.open_output_stream(f"{base}/{name}")
+                        writer = pq.ParquetWriter(sink, stored, compression="zstd", use_dictionary=False)
+                    n = [len(p) for p in parts]
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(parts).ravel()), FRAMES * BANDS)
+                    own = [pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)), pa.array(at, _SPAN), pa.ExtensionArray.from_storage(TENSOR, flat)]
+                    writer.write_table(pa.Table.from_arrays(own, schema=stored), row_group_size=1 << 30)
+                    out = {"id": piece.column(0), "n_bytes": piece.column(1)} | {k: pa.array(c, t) for (k, t), c in zip(kinds, zip(*rows, strict=True), strict=True)}
+                    yield pa.record_batch(out | {"path": pa.array([path] * len(n)), "row_group": pa.array([group] * len(n), pa.int32()), "place": pa.array(range(len(n)), pa.int32()), "n_tensors": pa.array(n, pa.int32())})
+                    group += 1
+        finally:
+            if writer is not None:
+                writer.close()
+                sink.close()
+
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, segments array<struct<start:double,stop:double,energy:double>>"
+    out = media.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", "media").mapInArrow(features, f"{schema}, path string, row_group int, place int, n_tensors int")
+    return saved(out.withColumnRenamed("id", id_col), "audio_features")
+
+
+def _stored(batch: pa.RecordBatch):
+    """Of each row the tensors (an Arrow array of the fixed-shape type) and their spans, read from its file; a row group is read once for rows that follow one another."""
+    file, table, at = None, None, (None, None)
+    for path, group, place in zip(*(batch.column(c).to_pylist() for c in ("path", "row_group", "place")), strict=True):
+        if path != at[0]:
+            where, name = fs.FileSystem.from_uri(path)
+            file, at = pq.ParquetFile(where.open_input_file(name)), (path, None)
+        if group != at[1]:
+            table, at = file.read_row_group(group).combine_chunks(), (path, group)
+            doc = table["doc"].to_numpy()
+        a, b = np.searchsorted(doc, [place, place + 1])
+        own = table.slice(a, b - a)
+        yield own["mel"].combine_chunks(), own["span"].combine_chunks()
+
+
+def stored_tensors(features: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each stored tensor of audio_features: id_col, nth (from 0), start, stop (seconds), mel (array of FRAMES x BANDS short, row by row, LEVELS steps to one)."""
+    kind = features.schema[id_col].dataType.simpleString()
+
+    def read(batches):
         for batch in batches:
-            for piece in pieces(batch, 2):
-                rows = []
-                for raw in piece.column(2):
-                    data = raw.as_py()
-                    payload, rate = samples_of(data)
-                    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-                    mel, energy = log_mel(resample(x), rate * UP // DOWN)
-                    parts = tensors(mel)
-                    found = [{"start": a * at, "stop": b * at, "energy": float(energy[a:b].mean())} for a, b in segments(energy)]
-                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), len(mel), zlib.crc32(np.round(parts * 64).astype("<i4").tobytes()), found]
-                    if with_tensors:
-                        row += [[p.ravel() for p in parts], [{"start": k * FRAMES * at, "stop": min(len(mel), (k + 1) * FRAMES) * at} for k in range(len(parts))]]
-                    rows.append(row)
-                kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("frames", pa.int64()), ("mel_crc32", pa.int64()), ("segments", pa.list_(segment))]
-                kinds += [("tensors", pa.list_(pa.list_(pa.float32()))), ("spans", pa.list_(span))] * with_tensors
-                yield pa.record_batch({"id": piece.column(0), "n_bytes": piece.column(1)} | {k: pa.array(c, t) for (k, t), c in zip(kinds, zip(*rows, strict=True), strict=True)})
-
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, mel_crc32 long, segments array<struct<start:double,stop:double,energy:double>>"
-    schema += ", tensors array<array<float>>, spans array<struct<start:double,stop:double>>" * with_tensors
-    return media.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", "media").mapInArrow(features, schema).withColumnRenamed("id", id_col)
+            for i, (mel, span) in enumerate(_stored(batch)):
+                yield pa.record_batch({
+                    "id": batch.column(0).take(pa.array([i] * len(mel), pa.int32())), "nth": pa.array(range(len(mel)), pa.int32()), "start": span.field("start"), "stop": span.field("stop"),
+                    "mel": mel.storage.cast(pa.list_(pa.int16())),
+                })
+
+    rows = features.select(F.col(f"`{id_col}`").alias("id"), "path", "row_group", "place")
+    return rows.mapInArrow(read, f"id {kind}, nth int, start double, stop double, mel array<short>").withColumnRenamed("id", id_col)
+
+
+def with_digests(features: DataFrame) -> DataFrame:
+    """audio_features and mel_crc32 (long, of the little-endian values of the row's tensors as they are stored) and n_spans (int, how many spans are stored with them)."""
+
+    def read(batches):
+        for batch in batches:
+            found = [(zlib.crc32(mel.storage.flatten().to_numpy().astype("<i2").tobytes()), len(span)) for mel, span in _stored(batch)]
+            yield batch.append_column("mel_crc32", pa.array([c for c, _ in found], pa.int64())).append_column("n_spans", pa.array([n for _, n in found], pa.int32()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema)
+    return features.mapInArrow(read, f"{schema}, mel_crc32 long, n_spans int")

@@ -78,9 +78,9 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .audio import audio_features, store_media
+    from .audio import audio_features, store_media, with_digests
 
-    out = audio_features(store_media(_table(spark, sf_dir, "documents")))
+    out = with_digests(audio_features(store_media(_table(spark, sf_dir, "documents"))))
     loudest = F.coalesce(F.array_max(F.transform("segments", lambda s: s["energy"])), F.lit(-100.0))
     feature = F.format_string("frames=%d segments=%d loudest=%.3f mel=%08x", "frames", F.size("segments"), loudest, "mel_crc32")
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -446,19 +446,53 @@ def test_automata():
 
 
 def test_audio(docs, rows, none):
-    out = audio.audio_features(audio.store_media(docs), with_tensors=True).orderBy("doc_id").collect()
-    for r, (_i, text, *_) in zip(out, sorted(rows), strict=True):
+    kept = audio.audio_features(audio.store_media(docs))
+    out = audio.with_digests(kept).orderBy("doc_id").collect()
+    parts = {}
+    for r in sorted(audio.stored_tensors(kept).collect(), key=lambda r: (r["doc_id"], r["nth"])):
+        parts.setdefault(r["doc_id"], []).append(r)
+    for r, (i, text, *_) in zip(out, sorted(rows), strict=True):
         raw = (text or "").encode()
         size = max(1, -(-len(raw) // 576)) * 576
         payload = raw + b"\xff" * (size - len(raw))
         media = audio.wav(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-        assert len(r["tensors"]) == len(r["spans"]) == -(-r["frames"] // 64) and all(len(t) == 64 * 40 for t in r["tensors"])
-    assert audio.audio_features(audio.store_media(none)).count() == 0
-    import pyarrow as pa
-
-    assert audio.as_tensor_array(pa.array([t for r in out for t in r["tensors"]], pa.list_(pa.float32()))).type.shape == [64, 40]
+        own = parts[i]
+        assert len(own) == r["n_tensors"] == r["n_spans"] == -(-r["frames"] // 64) and all(len(t["mel"]) == 64 * 40 for t in own)
+        assert own[0]["start"] == 0 and all(a["stop"] == b["start"] for a, b in zip(own, own[1:], strict=False)) and abs(own[-1]["stop"] - r["frames"] * 0.01) < 1e-9
+        assert zlib.crc32(np.array([t["mel"] for t in own], "<i2").tobytes()) == r["mel_crc32"]
+    same = {}
+    for r in out:
+        same.setdefault(r["payload_sha256"], set()).add((r["mel_crc32"], str(r["segments"])))
+    assert all(len(x) == 1 for x in same.values()) and len(same) < len(out)
+    assert audio.with_digests(audio.audio_features(audio.store_media(none))).count() == 0
+
+
+def test_tensors_are_stored_as_such(docs):
+    import pyarrow.parquet as pq
+
+    path = audio.audio_features(audio.store_media(docs)).first()["path"]
+    kind = pq.read_schema(path.removeprefix("file://")).field("mel").type
+    assert kind == audio.TENSOR and kind.shape == [64, 40]
+
+
+def test_log_mel_against_the_sums():
+    """Windows, discrete Fourier sums and triangles written out."""
+    x = np.sin(np.arange(1000) * 0.3) + np.sin(np.arange(1000) * 1.1)
+    mel, energy = audio.log_mel(x, 8000)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top, low = (2595 * np.log10(1 + f / 700) for f in (4000, 20))
+    edge = [hz(low + (top - low) * k / 41) for k in range(42)]
+    assert len(mel) == (1000 - 200) // 80 + 1
+    for frame in (0, 7):
+        part = [x[80 * frame + n] * (0.5 - 0.5 * np.cos(2 * np.pi * n / 199)) for n in range(200)]
+        power = [abs(sum(part[n] * np.exp(-2j * np.pi * k * n / 256) for n in range(200))) ** 2 for k in range(129)]
+        for band in (0, 10, 39):
+            weight = lambda f: max(0.0, min((f - edge[band]) / (edge[band + 1] - edge[band]), (edge[band + 2] - f) / (edge[band + 2] - edge[band + 1])))  # noqa: B023, E731
+            assert abs(mel[frame, band] - np.log(sum(weight(k * 8000 / 256) * p for k, p in enumerate(power)) + 1e-6)) < 1e-6
+        assert abs(energy[frame] - 10 * np.log10(sum(v * v for v in part) / 200 + 1e-10)) < 1e-6
+    assert (audio.tensors(mel)[0, : len(mel)] == np.round(mel * 64)).all()
 
 
 def test_resampling_keeps_low_and_drops_high():
