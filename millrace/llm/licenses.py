@@ -5,6 +5,9 @@ A template is license wording with two kinds of marked regions: <<optional>> ...
 accepted if the mandatory wording matches exactly. To find stretches, the longest run of plain words that no acceptance can
 do without is looked up in the text; the automaton runs from the places that can lie before it.
 
+Two kinds of templates come with it: the whole wording of short licenses, from grant to disclaimer, so that a text with other
+conditions is another license; and notices, the statements by which a text says that it is under a license.
+
 Beside that, plain phrases are counted at each place where their words stand consecutively. Words are stretches of ASCII
 letters, digits and bytes above 127, with A-Z lower-cased. All of it is one pass over whole texts, without a shuffle.
 """
@@ -24,24 +27,68 @@ from .common import Words, pieces, text_bytes
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Notices and license openings, by label.
-TEMPLATES = {
-    "mit": [
-        "<<optional>>this <<any 4>> is<</optional>> <<optional>>released<</optional>> <<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<any 8>> to deal in the software without restriction",
-    ],
+_BSD = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+<<any 1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+<<any 1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+{more}
+this software is provided by <<any 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+in no event shall <<any 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage
+"""
+_GPL = """
+this <<any 4>> is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
+either version {n} of the license or at your option any later version
+<<optional>>this <<any 4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+see the gnu general public license for more details<</optional>>
+"""
+
+#: The whole wording of licenses, by label.
+LICENSES = {
+    "mit": """
+permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>>the software<</optional>> to deal in the software without restriction
+including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+in no event shall <<any 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software
+""",
+    "bsd-2": _BSD.format(more=""),
+    "bsd-3": _BSD.format(more="<<any 1>> neither the name of <<any 12>> nor the names of <<any 2>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "isc": """
+permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+the software is provided as is and <<any 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+in no event shall <<any 8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software
+""",
+    "zlib": """
+this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+<<any 1>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+<<any 1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+<<any 1>> this notice may not be removed or altered from any source distribution
+""",
+}
+
+#: Notices by label.
+NOTICES = {
+    "mit": ["<<optional>>this <<any 4>> is<</optional>> <<optional>>released<</optional>> <<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license"],
     "apache-2": [
         "<<optional>>this <<any 4>> is<</optional>> <<optional>>licensed<</optional>> <<optional>>under<</optional>> <<optional>>the<</optional>> apache license version 2 <<optional>>0<</optional>>",
-        "licensed under the apache license version 2 0 <<optional>>the license<</optional>> you may not use this <<any 3>> except in compliance with the license",
+        """
+licensed under the apache license version 2 0 <<optional>>the license<</optional>> you may not use this <<any 3>> except in compliance with the license
+you may obtain a copy of the license at <<any 1>> www apache org licenses license 2 0
+unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license
+""",
     ],
     "cc-by-nc": ["<<optional>>licensed<</optional>> <<optional>>under<</optional>> cc by nc <<optional>>sa<</optional>> <<optional>>4 0<</optional>>", "creative commons attribution noncommercial <<optional>>4 0<</optional>> <<optional>>international<</optional>> <<optional>>license<</optional>>"],
     "cc-by": ["licensed under cc by 4 0", "creative commons attribution 4 0 <<optional>>international<</optional>> license"],
-    "gpl-2": ["<<optional>>this <<any 4>> is licensed under the<</optional>> gnu general public license version 2"],
-    "gpl-3": ["<<optional>>this <<any 4>> is licensed under the<</optional>> gnu general public license version 3", "either version 3 of the license or at your option any later version"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "gpl-2": ["<<optional>>this <<any 4>> is licensed under the<</optional>> gnu general public license version 2", _GPL.format(n=2)],
+    "gpl-3": ["<<optional>>this <<any 4>> is licensed under the<</optional>> gnu general public license version 3", _GPL.format(n=3)],
 }
 
+TEMPLATES = {label: [*([LICENSES[label]] if label in LICENSES else []), *NOTICES.get(label, [])] for label in {**LICENSES, **NOTICES}}
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _SPACED = bytes(b + 32 if 65 <= b <= 90 else b if _ALNUM[b] else 32 for b in range(256))
@@ -67,8 +114,7 @@ class Automaton:
     def compile(cls, template: str) -> Automaton:
         a, opened, state, run, runs = cls(), [], 0, [], []
         low = high = 0
-        for mark, count, word in re.findall(r"<<(optional|/optional|any)\s*(\d*)>>|<</optional>>|([^\s<>]+)", template.replace("<</optional>>", "<</optional>> ").replace("<</optional>>", "<</optional>>")):
-            closing = not mark and not word
+        for mark, count, word in re.findall(r"<<(/?optional|any)\s*(\d*)>>|([^\s<>]+)", template):
             if word:
                 for w in words_of(word.encode()):
                     a.word.setdefault(state, {}).setdefault(w, set()).add(state + 1)
@@ -82,7 +128,7 @@ class Automaton:
                     state, a.fixed = state + 1, a.fixed + 1
                 continue
             run = []
-            if closing or mark == "/optional":
+            if mark == "/optional":
                 a.free.setdefault(opened.pop(), set()).add(state)
             elif mark == "optional":
                 opened.append(state)

@@ -414,22 +414,42 @@ def test_quality(spark, none):
 # -- licenses
 
 
+def as_pattern(template):
+    """The template as a regular expression over words that are joined by spaces."""
+    out = ""
+    for part in re.findall(r"<</?optional>>|<<any \d+>>|[^\s<>]+", template):
+        out += {"<<optional>>": "(?:", "<</optional>>": ")?"}.get(part) or (f"(?: [^ ]+){{0,{part[6:-2]}}}" if part[0] == "<" else " " + re.escape(part))
+    return re.compile(out + "(?= |$)")
+
+
 def test_licenses(spark):
+    r = random.Random(3)
+    whole = {label: re.sub("<<any (\\d+)>>", lambda m: "THE AUTHORS," if int(m[1]) > 1 else "1.", re.sub("<</?optional>>", "", t)) for label, t in licenses.LICENSES.items()}
     texts = [
-        None, "", "Released under the MIT License. Under the MIT license", "Apache License, Version 2.0 and CC BY-NC 4.0", "under the mit\n\nlicense é",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of that software", "This work is licensed under the GNU General Public License, version 3.", "mit license under the",
+        None, "", "Released under the MIT License. Under the MIT license", "Apache License, Version 2.0 and CC BY-NC 4.0", "under the mit\n\nlicense é", "mit license under the",
+        "This work is licensed under the GNU General Public License, version 3.", whole["mit"].upper(), whole["bsd-2"], whole["bsd-3"], whole["isc"], whole["zlib"], whole["mit"].replace("substantial", "some"), whole["bsd-3"].replace("neither the name", "the name"),
     ]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("labels", F.lit(1))
+    for _ in range(40):
+        w = [x for label in r.sample(sorted(whole), 2) for x in [*whole[label].split(), "and", "then"]]
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = "other"
+        texts.append(r.choice(["\n", " ", ", "]).join(w))
+    df = spark.createDataFrame([(i, t) for i, t in [*enumerate(texts), (0, None), (9, texts[9])]], "doc_id long, text string").withColumn("labels", F.lit(1))
     out = licenses.license_scan(df).orderBy("doc_id").collect()
+    assert len(out) == len(texts) + 2 and out[0]["doc_id"] == out[1]["doc_id"]
+    rows = {x["doc_id"]: x for x in out}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for r, text in zip(out, texts, strict=True):
-        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    patterns = [(label, as_pattern(t)) for label, many in licenses.TEMPLATES.items() for t in many]
+    for i, text in enumerate(texts):
+        x, w = rows[i], word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
-        assert (r["first_word"], r["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
-        assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
-    assert [r["labels"] for r in out[5:8]] == ["mit", "", "gpl-3"]
+        assert (x["n_words"], x["n_base"], x["base_labels"]) == (len(w), len(places), ",".join(sorted({y for _, y in places})))
+        assert (x["first_word"], x["last_word"]) == (min((k for k, _ in places), default=None), max((k for k, _ in places), default=None))
+        accepted = {label for label, p in patterns if p.search("".join(" " + y for y in w))}
+        assert x["labels"] == ",".join(sorted(accepted | {y for _, y in places})), text
+        assert 0 <= x["score"] <= 1 and (x["score"] > 0) == bool(accepted)
+    assert [rows[i]["labels"] for i in range(5, 14)] == ["", "gpl-3", "mit", "bsd-2", "bsd-3", "isc", "zlib", "", ""]
+    assert licenses.license_scan(df.limit(0)).count() == 0
 
 
 def test_automata():
