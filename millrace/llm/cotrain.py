@@ -2,11 +2,14 @@
 
 Two views of a document: its text content (which words and marks it has) and its page metadata (language, source, size,
 and the shape of its lines and characters). A logistic classifier for each view is trained on a bounded sample of
-labelled rows. Over some rounds each gives the other its most confident pseudo-labels for a bounded pool of unlabelled
-documents. Held-out labels calibrate both views and weigh them into one probability, by which all documents are scored.
-
-Good means a label quality = 1 and toxic = 0, so the classifier rejects junk and toxic text. The samples are bounded by
-`labelled` and `pool` rows, chosen by a hash of the id; scoring reads every whole text, in one pass without a shuffle.
+labelled documents. Labels are dealt to folds: classifiers trained without a fold score it, and by those scores both views are
+calibrated and weighed into one probability. In each round both views score all unlabelled documents, in one pass over the
+corpus; each gives the other those that it is most confident of by its calibrated probability, as pseudo-labels that weigh
+less than labels, and both are trained and calibrated anew.
+
+Good means a label quality = 1 and toxic = 0, so the classifier rejects junk and toxic text. Documents with equal text and
+metadata are one document here, so a group of copies is one label. What is fitted on is bounded by `labelled` documents,
+chosen by a hash, and by `pseudo` documents for each view and round, the most confident of all; scoring reads every text.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, pieces, text_bytes
+from .common import WHITE, Words, forget, pieces, saved, text_bytes
 
 #: Buckets that words are hashed to; buckets of the metadata's categories.
 WIDTH, KINDS = 1 << 17, 64
@@ -61,15 +64,9 @@ def meta_view(buf: np.ndarray, offsets: np.ndarray, lang: pa.Array, source: pa.A
     return out
 
 
-def _fit(score, gradient, size: int, y: np.ndarray, l2: float, steps: int = 120, rate: float = 0.1) -> np.ndarray:
-    """Logistic weights by gradient steps with adaptive rates; classes weigh the same in sum."""
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    for t in range(1, steps + 1):
-        g = gradient((1 / (1 + np.exp(-np.clip(score(w), -30, 30))) - y) * weight) + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w
+def _weights(y: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """What each document weighs: its trust, and both classes the same in sum."""
+    return trust * np.where(y > 0, 0.5 / max((trust * y).sum(), 1e-9), 0.5 / max((trust * (1 - y)).sum(), 1e-9))
 
 
 @dataclass
@@ -77,21 +74,26 @@ class TextModel:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray) -> TextModel:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, trust: np.ndarray, steps: int = 60, rate: float = 0.2, l2: float = 1e-4) -> TextModel:
         """Presence of a bucket, scaled by how much more often one class has it, then logistic weights."""
         doc, bucket = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-        good = np.bincount(bucket, weights=y[doc], minlength=WIDTH)
-        bad = np.bincount(bucket, minlength=WIDTH) - good
-        ratio = np.log((good + 1) / (y.sum() + 2)) - np.log((bad + 1) / ((1 - y).sum() + 2))
-        ratio[good + bad < 4] = 0
+        good, bad = (np.bincount(bucket, weights=(trust * c)[doc], minlength=WIDTH) for c in (y, 1 - y))
+        ratio = np.log((good + 1) / ((trust * y).sum() + 2)) - np.log((bad + 1) / ((trust * (1 - y)).sum() + 2))
+        ratio[good + bad < min(4, len(rows) / 20)] = 0
+        tells = ratio[bucket] != 0
+        doc, bucket = doc[tells], bucket[tells]
         use, slot = np.unique(bucket, return_inverse=True)
-        scale = ratio[use]
-        value = scale[slot]
-        score = lambda w: np.bincount(doc, weights=w[slot] * value, minlength=len(rows)) + w[-1]
-        gradient = lambda g: np.append(np.bincount(slot, weights=g[doc] * value, minlength=len(use)), g.sum())
-        w = _fit(score, gradient, len(use) + 1, y, 1e-4)
+        value = ratio[use][slot]
+        weight = _weights(y, trust)
+        w, m, v = np.zeros(len(use) + 1), 0.0, 0.0
+        for t in range(1, steps + 1):  # gradient steps with adaptive rates
+            odds = np.bincount(doc, weights=w[slot] * value, minlength=len(rows)) + w[-1]
+            off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) * weight
+            g = np.append(np.bincount(slot, weights=off[doc] * value, minlength=len(use)), off.sum()) + l2 * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         out = np.zeros(WIDTH + 1)
-        out[use], out[-1] = w[:-1] * scale, w[-1]
+        out[use], out[-1] = w[:-1] * ratio[use], w[-1]
         return cls(out)
 
     def score(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
@@ -113,83 +115,95 @@ class MetaModel:
         return np.hstack([s, s**2, x[:, _SHAPE:], np.ones((len(x), 1))])
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray) -> MetaModel:
+    def fit(cls, x: np.ndarray, y: np.ndarray, trust: np.ndarray) -> MetaModel:
+        x = np.asarray(x)
         mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         mean[_SHAPE:], spread[_SHAPE:] = 0, 1
         z = cls._wide(np.clip((x - mean) / spread, -6, 6))
-        return cls(mean, spread, _fit(lambda w: z @ w, lambda g: z.T @ g, z.shape[1], y, 1e-3, 200))
+        return cls(mean, spread, _newton(z, y, _weights(y, trust), 1e-3))
 
     def of(self, x: np.ndarray) -> np.ndarray:
         return self._wide(np.clip((x - self.mean) / self.spread, -6, 6)) @ self.weights
 
 
+def _squashed(score: np.ndarray) -> np.ndarray:
+    """A long text has a large score either way, which would bend a straight line of log-odds."""
+    return np.arcsinh(score)
+
+
 @dataclass
 class Model:
-    """Two views, the calibration (slope, offset) of each, and how their log-odds are weighed: text, metadata, offset."""
+    """Two views, the calibration (slope, offset) of each one's squashed score, and how their log-odds are weighed: text, metadata, offset."""
 
     text: TextModel
     meta: MetaModel
     calibration: list[tuple[float, float]]
     mixing: np.ndarray
 
+    def odds(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both views' scores as calibrated log-odds."""
+        return tuple(np.clip(p * _squashed(x) + q, -30, 30) for (p, q), x in zip(self.calibration, (a, b), strict=True))
+
     def combine(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        (p, q), (r, s) = self.calibration
-        a, b = np.clip(p * a + q, -30, 30), np.clip(r * b + s, -30, 30)
+        """Probabilities of good by text, by metadata, by both."""
+        a, b = self.odds(a, b)
         both = np.clip(self.mixing[0] * a + self.mixing[1] * b + self.mixing[2], -30, 30)
         return tuple(1 / (1 + np.exp(-x)) for x in (a, b, both))
 
 
-def _platt(columns: list[np.ndarray], y: np.ndarray, l2: float) -> np.ndarray:
-    """Logistic weights of a few columns and an offset, by Newton's steps; classes by their true frequency."""
-    x = np.column_stack([*columns, np.ones(len(y))])
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 25) -> np.ndarray:
+    """Logistic weights of a few columns, by Newton's steps."""
     w = np.zeros(x.shape[1])
-    for _ in range(25):
+    for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x.T * (p * (1 - p) + 1e-9)) @ x + l2 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + l2 * w)
+        h = (x.T * (weight * (p * (1 - p) + 1e-9))) @ x + l2 * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + l2 * w)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
     return w
 
 
-def co_train(rows: list[np.ndarray], meta: np.ndarray, y: np.ndarray, rounds: int = 3, share: float = 0.1, sure: float = 0.9) -> Model | None:
-    """A model from documents' views and labels y (1 good, 0 bad, -1 unknown). None if a class has fewer than two labels."""
-    known = np.flatnonzero(y >= 0)
-    if min((y[known] == 1).sum(), (y[known] == 0).sum()) < 2:
-        return None
-    held = np.zeros(len(y), bool)
-    for c in (0, 1):
-        held[known[y[known] == c][1::4]] = True
-    base = np.flatnonzero((y >= 0) & ~held)
-    pool = np.flatnonzero(y < 0)
-    own = [{int(i): int(y[i]) for i in base} for _ in range(2)]  # labels by which each view is trained
+def _platt(columns: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Logistic weights of scores and an offset; classes by their true frequency."""
+    return _newton(np.column_stack([*columns, np.ones(len(y))]), y, np.ones(len(y)), 1e-3)
 
-    def fit():
-        at = [np.array(list(o)) for o in own]
-        return TextModel.fit([rows[i] for i in at[0]], np.array(list(own[0].values()), float)), MetaModel.fit(meta[at[1]], np.array(list(own[1].values()), float))
 
-    text, page = fit()
-    for _ in range(rounds):
-        if not len(pool):
-            break
-        left = [np.array([i for i in pool if int(i) not in o], np.int64) for o in own]
-        for giver, taker in ((0, 1), (1, 0)):
-            if not len(left[taker]):
-                continue
-            s = text.of([rows[i] for i in left[taker]]) if giver == 0 else page.of(meta[left[taker]])
-            p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            good = y[base].mean()
-            for label, score, most in ((1, p, share * good), (0, 1 - p, share * (1 - good))):
-                best = np.argsort(-score, kind="stable")[: max(1, round(most * len(pool)))]
-                own[taker] |= {int(left[taker][i]): label for i in best if score[i] >= sure}
-        text, page = fit()
-    h = np.flatnonzero(held)
-    a, b = text.of([rows[i] for i in h]), page.of(meta[h])
-    calibration = [tuple(_platt([x], y[h], 1e-3)) for x in (a, b)]
-    mixing = _platt([np.clip(p * x + q, -30, 30) for (p, q), x in zip(calibration, (a, b), strict=True)], y[h], 1e-3)
-    return Model(text, page, calibration, mixing)
+def _models(views: dict[int, tuple[np.ndarray, np.ndarray]], labels: dict[int, int], given: list[dict[int, int]], trust: float) -> tuple[TextModel, MetaModel]:
+    """Both views' classifiers, each trained on the labels (key -> 1 or 0) and on its own pseudo-labels, which weigh `trust` each."""
+    out = []
+    for kind, own, of in ((TextModel, given[0], 0), (MetaModel, given[1], 1)):
+        told = labels | own
+        out.append(kind.fit([views[k][of] for k in told], np.array(list(told.values()), float), np.array([trust if k in own else 1.0 for k in told])))
+    return tuple(out)
+
+
+def _folds(labels: dict[int, int], n: int) -> list[list[int]]:
+    """The keys dealt to n folds, each class evenly."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    for c in (0, 1):
+        for i, k in enumerate(k for k, label in labels.items() if label == c):
+            out[i % n].append(k)
+    return [f for f in out if f]
+
+
+def fitted(views, labels: dict[int, int], given: list[dict[int, int]], trust: float, folds: int) -> Model:
+    """The model of all labels and pseudo-labels. Each fold of the labels is scored by classifiers that were trained without it, so calibration sees no label twice."""
+    a, b, y = [], [], []
+    for fold in _folds(labels, folds):
+        out = set(fold)
+        text, page = _models(views, {k: v for k, v in labels.items() if k not in out}, given, trust)
+        a.append(text.of([views[k][0] for k in fold]))
+        b.append(page.of(np.array([views[k][1] for k in fold])))
+        y += [labels[k] for k in fold]
+    scores, y = (np.concatenate(a), np.concatenate(b)), np.array(y, float)
+    model = Model(*_models(views, labels, given, trust), [tuple(_platt([_squashed(x)], y)) for x in scores], np.zeros(3))
+    model.mixing = _platt(list(model.odds(*scores)), y)
+    return model
 
 
 def _views(batches):
-    """doc_id, label, text, lang, source -> doc_id, label, buckets, meta."""
+    """key, label, text, lang, source -> key, label, buckets, meta."""
     for batch in batches:
         for piece in pieces(batch, 2):
             buf, offsets = text_bytes(piece.column(2))
@@ -197,24 +211,74 @@ def _views(batches):
             at = np.searchsorted(doc, np.arange(len(offsets)))
             meta = meta_view(buf, offsets, piece.column(3), piece.column(4))
             yield pa.record_batch({
-                "doc_id": piece.column(0), "label": piece.column(1), "buckets": pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
+                "key": piece.column(0), "label": piece.column(1), "buckets": pa.array([bucket[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary()),
                 "meta": pa.array([m.tobytes() for m in meta], pa.binary()),
             })
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pool: int = 8_000, rounds: int = 3) -> Model | None:
-    """Co-train on at most `labelled` labelled and `pool` unlabelled documents, the first by a hash of their id."""
+def _seen(keyed: DataFrame, some: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """key -> label, buckets, meta of the documents in `some` (key, label: a bounded number), one row for each key, in order of key."""
+    one = keyed.join(F.broadcast(some), "key").dropDuplicates(["key"]).select("key", "label", "text", "lang", "source")
+    rows = one.mapInArrow(_views, "key long, label int, buckets binary, meta binary").collect()
+    return {r["key"]: (r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["meta"], np.float32).astype(np.float64)) for r in sorted(rows)}
+
+
+def _scored(keyed: DataFrame, model: Model) -> DataFrame:
+    """key, a, b: both views' calibrated log-odds of each distinct document."""
+    shared = keyed.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches):
+        m = shared.value
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                buf, offsets = text_bytes(piece.column(1))
+                a, b = m.text.score(*text_view(buf, offsets), piece.num_rows), m.meta.of(meta_view(buf, offsets, piece.column(2), piece.column(3)))
+                yield pa.record_batch({"key": piece.column(0), **dict(zip("ab", map(pa.array, m.odds(a, b)), strict=True))})
+
+    rows = keyed.select("key", "text", "lang", "source").mapInArrow(scored, "key long, a double, b double")
+    return rows.groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+
+
+def confident(scores: DataFrame, share: float, most: int, sure: float, taken: list[set[int]]) -> list[dict[int, int]]:
+    """What each view gets from the other: key -> label of the at most `most` documents that the giver is surest of, over `sure`, without those taken.
+
+    scores: key, a, b (calibrated log-odds of the text view and of the metadata view). share: that of good ones among them.
+    """
+    out: list[dict[int, int]] = [{}, {}]
+    least = float(np.log(sure / (1 - sure)))
+    for taker, giver in ((0, "b"), (1, "a")):
+        for label, odds, n in ((1, F.col(giver), round(most * share)), (0, -F.col(giver), most - round(most * share))):
+            best = scores.where(odds >= least).orderBy(odds.desc(), F.xxhash64("key"), "key").limit(n + len(taken[taker])).select("key")
+            new = [r["key"] for r in best.collect() if r["key"] not in taken[taker] and r["key"] not in out[taker]]
+            out[taker] |= dict.fromkeys(new[:n], label)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8_000, pseudo: int = 2_000, rounds: int = 2, sure: float = 0.95, trust: float = 0.25, folds: int = 3) -> Model | None:
+    """Co-train on at most `labelled` labelled documents, the first by a hash, and `pseudo` others for each view and round. None if a class has fewer than two labels."""
     told = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int") * (1 - F.coalesce("toxic", F.lit(0))).cast("int")).alias("label"))
-    base = docs.select("doc_id", "text", *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")])
-    ids = base.select("doc_id").where("doc_id is not null").distinct()
-    some = told.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    other = ids.join(told, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).withColumn("label", F.lit(-1))
-    chosen = base.join(F.broadcast(some.unionByName(other)), "doc_id").select("doc_id", "label", "text", "lang", "source")
-    seen = sorted(chosen.mapInArrow(_views, "doc_id long, label int, buckets binary, meta binary").collect(), key=lambda r: (r["doc_id"], bytes(r["buckets"])))
-    if not seen:
+    keyed = docs.select("doc_id", "text", *[F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")])
+    keyed = keyed.withColumn("key", F.xxhash64("text", "lang", "source"))
+    known = saved(keyed.select("doc_id", "key").join(told, "doc_id").groupBy("key").agg(F.min("label").alias("label")), "quality_labels")
+    seen = _seen(keyed, known.orderBy(F.xxhash64("key"), "key").limit(labelled))
+    y = {k: label for k, (label, _, _) in seen.items()}
+    if min(sum(v == c for v in y.values()) for c in (0, 1)) < 2:
         return None
-    rows = [np.frombuffer(r["buckets"], np.int32) for r in seen]
-    return co_train(rows, np.array([np.frombuffer(r["meta"], np.float32) for r in seen], np.float64), np.array([r["label"] for r in seen]), rounds)
+    views = {k: x[1:] for k, x in seen.items()}
+    given: list[dict[int, int]] = [{}, {}]
+    model = fitted(views, y, given, trust, folds)
+    for _ in range(rounds):
+        scores = saved(_scored(keyed, model).join(known.select("key"), "key", "left_anti"), "quality_scores")
+        new = confident(scores, float(np.mean(list(y.values()))), pseudo, sure, [set(g) for g in given])
+        forget(scores)
+        if not any(new):
+            break
+        if fetch := [(k, 0) for k in sorted({*new[0], *new[1]} - views.keys())]:
+            views |= {k: x[1:] for k, x in _seen(keyed, docs.sparkSession.createDataFrame(fetch, "key long, label int")).items()}
+        given = [g | n for g, n in zip(given, new, strict=True)]
+        model = fitted(views, y, given, trust, folds)
+    forget(known)
+    return model
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **bounds) -> DataFrame:

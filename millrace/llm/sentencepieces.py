@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three: the normaliser (spaces become the mark U+2581, one may be put in front), the
-pieces (an arc for each piece, from the place where it begins to the place where it ends), and the byte fallback (a character
-that no piece has becomes the pieces of its UTF-8 bytes). It is composed with an input lazily, place by place, and the
-shortest path in the tropical semiring (minimum of sums) is the encoding.
+Three transducers are compiled from a model. The normaliser has a state for what was read before (nothing, a word, a space)
+and arcs that put out the mark U+2581 for spaces, one in front, or nothing. The pieces are a trie of arcs, one for each
+character, with the piece at its last one. The byte fallback has an arc for each of the 256 bytes, to that byte's piece; it
+takes the characters that no piece has. They are composed with an input lazily, place by place, and the shortest path in
+the tropical semiring (minimum of sums) is the encoding.
 
 A unigram model's arcs weigh minus the piece's score. A BPE model's weights belong to pairs: a sequence of pieces is what
 merging gives if and only if merging each two neighbours' text gives just these two. So the arc of a piece weighs 0 after a
 piece that it may follow and infinity after any other; pairs are compiled when they first come up. One path is finite.
 
 If no piece has the mark but at its head, stretches from one run of marks to the next can't share a piece, and the path of a text
-is that of its stretches; each distinct one is composed once and remembered, up to a bound.
+is that of its stretches; each distinct short one is composed once and remembered, up to a bound.
 """
 
 from __future__ import annotations
@@ -27,11 +28,43 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 MARK = "▁"
-#: Stretches, and pairs, that a Python worker remembers at most.
-REMEMBERED, PAIRS = 700_000, 2_000_000
+#: Stretches, and pairs, that a Python worker remembers at most, and the characters of the longest stretch.
+REMEMBERED, PAIRS, LONGEST = 700_000, 2_000_000, 64
 _loaded: dict[str, Transducer] = {}
 
 
+class Normaliser:
+    """Arcs from a state by whether a space is read: what is put out before it, whether it is put out itself, the next state."""
+
+    START, WORD, SPACE = range(3)
+
+    def __init__(self, prefix: bool, squeeze: bool):
+        front = MARK if prefix else ""
+        if squeeze:  # spaces are put out once a word follows them
+            self.arcs = {
+                (self.START, True): ("", False, self.START), (self.START, False): (front, True, self.WORD), (self.WORD, True): ("", False, self.SPACE),
+                (self.WORD, False): ("", True, self.WORD), (self.SPACE, True): ("", False, self.SPACE), (self.SPACE, False): (MARK, True, self.WORD),
+            }
+        else:
+            self.arcs = {(s, space): ((front if s == self.START else "") + MARK * space, not space, self.WORD) for s in (self.START, self.WORD) for space in (True, False)}
+        loop = {space: self.arcs[self.WORD, space] for space in (True, False)}
+        #: A text whose arcs after the first all stay in one state is rewritten character by character at once.
+        self.table = {ord(" "): loop[True][0]} if loop[True][2] == loop[False][2] == self.WORD and not loop[False][0] else None
+
+    def __call__(self, text: str) -> str:
+        """What the only path of a text puts out."""
+        if not text:
+            return ""
+        out, state = [], self.START
+        for i, c in enumerate(text):
+            if state == self.WORD and self.table is not None:
+                out.append(text[i:].translate(self.table))
+                break
+            before, itself, state = self.arcs[state, c == " "]
+            out.append(before + c * itself)
+        return "".join(out)
+
+
 class Transducer:
     """Compiled from a SentencePiece model (unigram or BPE, identity normalisation)."""
 
@@ -42,24 +75,35 @@ class Transducer:
         m.ParseFromString(model)
         if m.normalizer_spec.precompiled_charsmap:
             raise ValueError("only identity normalisation is compiled")
-        self.prefix, self.squeeze = m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces
+        self.prefix = m.normalizer_spec.add_dummy_prefix
+        self.normalise = Normaliser(self.prefix, m.normalizer_spec.remove_extra_whitespaces)
         self.merging = m.trainer_spec.model_type == proto.TrainerSpec.BPE
-        normal = {1, 4}  # pieces of the kinds normal and user-defined stand for their text
-        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in normal}
-        self.score = [p.score for p in m.pieces]
+        self.compile({p.piece: (i, p.score) for i, p in enumerate(m.pieces) if p.type in (1, 4)})  # normal and user-defined ones stand for their text
         self.unknown = next((i for i, p in enumerate(m.pieces) if p.type == 2), 0)
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
-        self.text = [p.piece for p in m.pieces]
-        self.arcs: dict[str, int] = {}  # each beginning of a piece; its id where the piece ends there, else -1
-        for piece, i in self.ids.items():
-            for k in range(1, len(piece)):
-                self.arcs.setdefault(piece[:k], -1)
-            self.arcs[piece] = i
         self.bytes_of = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else p.piece.replace(MARK, " ").encode() for p in m.pieces]
-        self.apart = all(MARK not in p.lstrip(MARK) for p in self.ids)
-        self.lines_apart = not any("\n" in p for p in self.ids)
+        self.apart = self.merging and all(MARK not in p.lstrip(MARK) for p in self.ids)
+        feed = "" if any("\n" in p for p in self.ids) else "\n"  # one that no piece has stands alone
+        self.stretches = re.compile(f"{MARK}+[^{MARK}{feed}]*|[^{MARK}{feed}]+" + (f"|{feed}" if feed else ""))
+
+    def compile(self, pieces: dict[str, tuple[int, float]]) -> None:
+        """The pieces' arcs: next[node] maps a character to a node, piece[node] is the id of the piece that ends there, or -1."""
+        self.ids = {p: i for p, (i, _) in pieces.items()}
+        self.score, self.text = {i: s for i, s in pieces.values()}, {i: p for p, i in self.ids.items()}
+        self.next: list[dict[str, int]] = [{}]
+        self.piece = [-1]
+        for text, i in self.ids.items():
+            node = 0
+            for c in text:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.piece.append(-1)
+                node = self.next[node][c]
+            self.piece[node] = i
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.fallen: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -68,14 +112,11 @@ class Transducer:
                 _loaded[path] = cls(f.read())
         return _loaded[path]
 
-    # -- the normaliser
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (" " * bool(text and self.prefix) + text).replace(" ", MARK)
-
-    # -- the pieces' arcs
+    def fallback(self, c: str) -> tuple[int, ...]:
+        """The pieces of a character's bytes: the path of its UTF-8 form through the 256 arcs of the fallback. Without byte pieces, the unknown piece."""
+        if c not in self.fallen:
+            self.fallen[c] = tuple(self.byte[b] for b in c.encode()) if self.byte else (self.unknown,)
+        return self.fallen[c]
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a text: the best-scored two neighbours first, the leftmost of equals."""
@@ -99,19 +140,23 @@ class Transducer:
 
     def compose(self, text: str) -> bytes:
         """The ids on the shortest path of a normalised text, 32 bits each."""
-        n, arcs, merging, score, pairs = len(text), self.arcs, self.merging, self.score, self.pairs
+        n, arcs, ends, merging, score, pairs = len(text), self.next, self.piece, self.merging, self.score, self.pairs
         cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
         last = [-1] * (n + 1)  # the piece that the best path to a place ends with; -1 after a fallback
         for i in range(n):
             now, before = cost[i], last[i]
             if now == np.inf:
                 continue
+            node, alone = 0, True  # alone: no piece is this character
             for j in range(i + 1, n + 1):
-                k = arcs.get(text[i:j])
-                if k is None:
+                node = arcs[node].get(text[j - 1])
+                if node is None:
                     break  # no piece begins so
+                k = ends[node]
                 if k < 0:
                     continue
+                if j == i + 1:
+                    alone = False
                 if not merging:
                     if now - score[k] < cost[j]:
                         cost[j], back[j], last[j] = now - score[k], i, k
@@ -125,18 +170,15 @@ class Transducer:
                         if not ok:
                             continue
                     cost[j], back[j], last[j] = 0.0, i, k
-            if arcs.get(text[i], -1) < 0 and now + 100 * (not merging) < cost[i + 1]:
+            if alone and now + 100 * (not merging) < cost[i + 1]:
                 cost[i + 1], back[i + 1], last[i + 1] = now + 100 * (not merging), i, -1
         out: list[int] = []
         j = n
         while j:
             i = back[j]
-            if last[j] >= 0:
-                out.append(last[j])
-            elif self.byte:
-                out += [self.byte[b] for b in reversed(text[i:j].encode())]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            own = (last[j],) if last[j] >= 0 else self.fallback(text[i:j])
+            if own != (self.unknown,) or not out or out[-1] != self.unknown:  # unknown ones in a row are one
+                out += own[::-1]
             j = i
         return np.array(out[::-1], "<i4").tobytes()
 
@@ -144,26 +186,20 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit values."""
-        if not text:
-            return b""
-        if not (self.apart and self.merging):
-            return self.compose(self.normalise(text))
-        known = self.known
-        if MARK in text or "  " in text or text[0] == " " or self.squeeze or not self.lines_apart:
-            parts = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", self.normalise(text))
-        else:
-            feed = "\n" in text
-            text = (f"{MARK}" if self.prefix else "") + text.replace(" ", f" {MARK}")
-            parts = (text.replace("\n", " \n ") if feed else text).split(" ")
+        text = self.normalise(text)
+        if not self.apart:
+            return self.compose(text)
+        known, parts = self.known, self.stretches.findall(text)
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
+            long: dict[str, bytes] = {}
             for p in parts:
-                if p not in known:
+                if p not in known and p not in long:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[p] = self.compose(p)
-            return b"".join([known[p] if p in known else self.compose(p) for p in parts])
+                    (known if len(p) <= LONGEST else long)[p] = self.compose(p)
+            return b"".join([known[p] if p in known else long[p] if p in long else self.compose(p) for p in parts])
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """The text of ids: pieces' text and bytes in order, less the space that was put in front."""

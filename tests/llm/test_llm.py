@@ -339,11 +339,20 @@ def test_sentencepieces_of_tables(docs, none, rows):
     assert sentencepieces.round_trip(none, path).count() == 0
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_normaliser(prefix, squeeze):
+    n, r = sentencepieces.Normaliser(prefix, squeeze), random.Random(5)
+    for text in ["", " ", "a", " a", "a ", *("".join(r.choice("ab  \n") for _ in range(r.randrange(12))) for _ in range(300))]:
+        plain = re.sub(" +", " ", text).strip(" ") if squeeze else text
+        assert n(text) == ((" " if prefix and plain else "") + plain).replace(" ", sentencepieces.MARK), text
+
+
 def test_unigram_paths_are_shortest():
     """A unigram model by hand: the path of least sum among all segmentations."""
     t = object.__new__(sentencepieces.Transducer)
-    t.ids, t.score, t.byte, t.unknown, t.merging, t.pairs = {"a": 0, "b": 1, "ab": 2, "aba": 3}, [-1.0, -1.5, -2.0, -4.1], {}, 9, False, {}
-    t.text, t.arcs = list(t.ids), {"a": 0, "b": 1, "ab": 2, "aba": 3}
+    t.byte, t.unknown, t.merging = {}, 9, False
+    t.compile({"a": (0, -1.0), "b": (1, -1.5), "ab": (2, -2.0), "aba": (3, -4.1)})
 
     def best(text):
         if not text:
@@ -351,7 +360,7 @@ def test_unigram_paths_are_shortest():
         return min(best(text[len(p) :]) - t.score[i] for p, i in t.ids.items() if text.startswith(p))
 
     for text in ("ab", "aba", "abab", "aabba", "bbaabab"):
-        ids = np.frombuffer(t.compose(text), "<i4")
+        ids = np.frombuffer(t.compose(text), "<i4").tolist()
         assert "".join(t.text[i] for i in ids) == text and abs(sum(-t.score[i] for i in ids) - best(text)) < 1e-9
 
 
@@ -411,6 +420,28 @@ def test_quality(spark, none):
     assert cotrain.score_quality(df.limit(0), labels).count() == 0
 
 
+def test_quality_of_held_out_labels(spark):
+    """Trained on half of the labels; the other half tells how good it is. Repeated rows are no further labels."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one = docs.where("doc_id % 2 = 1").limit(1)
+    docs = docs.unionByName(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy"))
+    kept = {r["doc_id"]: r["keep"] for r in cotrain.score_quality(docs, labels.where("doc_id % 2 = 1")).select("doc_id", "keep").collect()}
+    told = labels.where("doc_id % 2 = 0").collect()
+    good = [kept[r["doc_id"]] for r in told if r["quality"] == 1 and r["toxic"] == 0]
+    bad = [kept[r["doc_id"]] for r in told if r["quality"] == 0 or r["toxic"] == 1]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.15 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+
+
+def test_confident_ones_are_the_surest_of_all(spark):
+    r = random.Random(7)
+    rows = [(k, r.gauss(0, 4), r.gauss(0, 4)) for k in range(500)]
+    got = cotrain.confident(spark.createDataFrame(rows, "key long, a double, b double"), 0.75, 40, 0.9, [{1, 2}, {3}])
+    for taker, giver, taken in ((0, 2, {1, 2}), (1, 1, {3})):
+        left = sorted((x for x in rows if x[0] not in taken), key=lambda x: -x[giver])
+        assert got[taker] == {x[0]: 1 for x in left[:30]} | {x[0]: 0 for x in left[:-11:-1]}
+
+
 # -- licenses
 
 
