@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Lines, Words, forget, free_name, pieces, replacing, saved, spans, text_bytes
 
+#: Bytes of marks for a shuffle partition up to which they are hashed for the join with the texts, which are then not sorted.
+HASHED = 64 << 20
 _NULL_ID = -(2**63)
 _NOT = np.uint64(2**64 - 1)
 _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("hash", pa.int64())])
@@ -89,8 +91,8 @@ def _positions(min_lines: int, min_words: int | None):
 
 def repeated(positions: DataFrame) -> DataFrame:
     """The positions whose fingerprint stands somewhere else too."""
-    again = positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    return positions.join(again, "fingerprint", "left_semi")
+    again = saved(positions.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line_fingerprints")
+    return positions.join(again, "fingerprint", "left_semi")  # with a table, so that a common fingerprint can be split
 
 
 def _marked(batches):
@@ -124,12 +126,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     around = kept.select("d", "t", "fingerprint", F.explode("windows").alias("w")).select("d", "t", "fingerprint", "w.*")
     first = around.groupBy("fingerprint", "hash").agg(F.min(F.struct("d", "t", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = saved(first, "line_first")
     later = around.join(first, ["fingerprint", "hash"]).where("not (d = first.d and t = first.t and start = first.start)")
     runs = later.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))  # no more than the document has windows
     gone = saved(runs.mapInArrow(_marked, "d long, t long, gone array<boolean>"), "line_marks")
-    forget(kept)
+    forget(kept, first)
 
-    out = keyed.join(gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(mark)), [d, t], "left")
+    size = gone.agg(F.sum(F.size("gone") + 40)).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = gone.select(F.col("d").alias(d), F.col("t").alias(t), F.col("gone").alias(mark)).hint("shuffle_hash" if size <= HASHED * parts else "merge")
+    out = keyed.join(marks, [d, t], "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.get(mark, i), F.lit(False))), "\n")
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_removed = F.coalesce(F.size(F.filter(mark, lambda x: x)), F.lit(0)).cast("long")
