@@ -62,7 +62,7 @@ def issue_replay(spark, d):
 @query("""WITH s AS (SELECT o_custkey AS p, o_orderdate AS t, o_orderstatus <> 'P' AS active FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1),
 turn AS (SELECT p, t, active, lead(t) OVER (PARTITION BY p ORDER BY t) AS till FROM (SELECT *, lag(active) OVER (PARTITION BY p ORDER BY t) AS was FROM s) WHERE was IS NULL OR was <> active),
 a AS (SELECT p, t AS a, till AS b FROM turn WHERE active),
-q AS (SELECT o_custkey AS p, o_orderdate AS t, o_orderpriority AS parent FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1),
+q AS (SELECT o_custkey AS p, o_orderdate AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS parent FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1),
 z AS (SELECT p, min(a) AS t FROM a GROUP BY p),
 all_q AS (SELECT p, t, parent FROM q UNION ALL SELECT z.p, z.t, NULL FROM z LEFT JOIN (SELECT p, min(t) AS m FROM q GROUP BY p) m USING (p) WHERE m.m IS NULL OR z.t < m.m),
 ch AS (SELECT p, parent, t AS c, lead(t) OVER (PARTITION BY p ORDER BY t) AS d FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY t) AS n, lag(parent) OVER (PARTITION BY p ORDER BY t) AS was FROM all_q) WHERE n = 1 OR was IS DISTINCT FROM parent)
@@ -71,7 +71,8 @@ def org_edges(spark, d):
     o = table(spark, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp"))
     one = lambda df, v: df.groupBy(F.col("o_custkey").alias("person_id"), "at").agg(F.min_by(v, "o_orderkey").alias("v"))
     status = one(o.withColumn("active", F.col("o_orderstatus") != "P"), "active").withColumnRenamed("v", "active")
-    parents = one(o.where("o_orderkey % 3 = 0"), "o_orderpriority").withColumnRenamed("v", "parent_id")
+    named = o.withColumn("parent", F.struct(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("id")))
+    parents = one(named, "parent").select("person_id", "at", F.col("v.id").alias("parent_id"))
     return identity.org_edges(status, parents)
 
 
@@ -103,12 +104,12 @@ def department_cohorts(spark, d):
     return people.cohorts(staff, who)
 
 
-@query("""WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_orderpriority AS tier, CAST(CAST(o_totalprice / 200000 AS BIGINT) * 10 AS DOUBLE) AS price FROM orders WHERE o_custkey % 10 = 0),
+@query("""WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS m, o_orderpriority AS tier, CAST(CAST(o_totalprice / 200000 AS BIGINT) * 10 AS DOUBLE) AS price FROM orders),
 s AS (SELECT m, min(price) AS one FROM p GROUP BY m HAVING count(DISTINCT price) = 1), t AS (SELECT m, tier, min(price) AS own FROM p GROUP BY 1, 2 HAVING count(DISTINCT price) = 1)
 SELECT m AS period_month, tier, count(*) AS seats, round(max(coalesce(one, own)), 4) AS price FROM (SELECT DISTINCT m, tier FROM p) LEFT JOIN s USING (m) LEFT JOIN t USING (m, tier) GROUP BY 1, 2""")
 def seat_prices(spark, d):
     price = (F.expr("bround(o_totalprice / 200000)").cast("long") * 10).cast("double")
-    p = table(spark, d, "orders").where("o_custkey % 10 = 0").select(F.lit("t").alias("tenant_id"), F.date_format("o_orderdate", "yyyy-MM").alias("period_month"), F.col("o_orderpriority").alias("tier"), price.alias("price"))
+    p = table(spark, d, "orders").select(F.lit("t").alias("tenant_id"), F.date_format("o_orderdate", "yyyy-MM").alias("period_month"), F.col("o_orderpriority").alias("tier"), price.alias("price"))
     out = people.seat_prices(p.select("tenant_id", "period_month", "tier").distinct(), p)
     return _rounded(out.groupBy("period_month", "tier").agg(F.count("*").alias("seats"), F.max("price").alias("price")))
 

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Path patterns of the file categories, tried in this order.
-FILE_CATEGORIES = {
-    "vendored": r"(^|/)(vendor|node_modules|third_party|dist|build)/|(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|Cargo\.lock|poetry\.lock)$|\.min\.(js|css)$",
-    "test": r"(^|/)(tests?|__tests__|spec|e2e)/|(_test|\.test|\.spec)\.[A-Za-z0-9]+$|(^|/)test_[^/]*$",
-    "docs": r"(^|/)docs?/|\.(md|mdx|rst|adoc|txt)$",
-    "config": r"\.(ya?ml|toml|ini|cfg|conf|env|properties|tf)$|(^|/)(Dockerfile|Makefile)$|(^|/)\.[^/]+$",
-}
+#: What makes a path vendored or generated: folders, endings, names of files that tools write.
+VENDORED_FOLDERS = ["node_modules", "bower_components", "vendor", "third_party", "Pods", ".venv", "site-packages", "Carthage", "dist", "build", "out", "target", "bin", "obj", ".next", ".nuxt", "__pycache__", "__generated__", "generated", "gen", "coverage"]
+VENDORED_ENDINGS = [".min.js", ".min.css", ".pb", ".pb.go", ".g.dart", ".g.cs", ".designer.cs", ".d.ts"]
+LOCK_FILES = ["go.sum", "Cargo.lock", "composer.lock", "Gemfile.lock", "pnpm-lock.yaml", "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "poetry.lock", "Pipfile.lock", "packages.lock.json", "gradle.lockfile", "mix.lock", "flake.lock"]
+#: Endings of documents and of settings, and what categories are called.
+DOCS_ENDINGS, CONFIG_ENDINGS = [".md", ".rst", ".adoc"], [".lock", ".yml", ".yaml", ".toml", ".cfg", ".ini"]
+CATEGORY_NAMES = {"code": "Code", "test": "Tests", "config": "Configuration", "docs": "Documentation", "vendored": "Vendored / Generated"}
+#: Names of issue types that are bugs, and of those that are known not to be.
+BUG_TYPES = ["bug", "defect", "regression", "exception", "cosmetics", "usability problem", "performance problem"]
+OTHER_TYPES = ["task", "sub-task", "subtask", "story", "user story", "epic", "improvement", "feature", "new feature", "meeting"]
 
 
 def file_category(path: Column) -> Column:
-    """The first category whose pattern the path has, else code."""
-    out = None
-    for name, pattern in FILE_CATEGORIES.items():
-        out = F.when(path.rlike(f"(?i){pattern}"), name) if out is None else out.when(path.rlike(f"(?i){pattern}"), name)
-    return out.otherwise("code")
+    """vendored, test, docs, config or code: the first that a path is, whatever the case of its letters."""
+    any_of = lambda words: "(" + "|".join(re.escape(w) for w in words) + ")"
+    has = lambda pattern: path.rlike(f"(?i){pattern}")
+    vendored = has(rf"(^|/){any_of(VENDORED_FOLDERS)}/") | has(rf"{any_of(VENDORED_ENDINGS)}$") | has(r"\.generated\.") | has(rf"(^|/){any_of(LOCK_FILES)}$")
+    test = has(r"\.(spec|test)\.") | has("__tests__/") | has("(^|/)tests?/")
+    docs = has(rf"{any_of(DOCS_ENDINGS)}$") | has("(^|/)docs/")
+    return F.when(vendored, "vendored").when(test, "test").when(docs, "docs").when(has(rf"{any_of(CONFIG_ENDINGS)}$"), "config").otherwise("code")
+
+
+def issue_kind(name: Column) -> Column:
+    """bug, other or unknown, by the most stable name that an issue type has."""
+    normal = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    return F.when(normal.isin(BUG_TYPES), "bug").when(normal.isin(OTHER_TYPES), "other").otherwise("unknown")
 
 
 def file_extension(path: Column) -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dimensions import UNKNOWN, UNKNOWN_LABEL, dimension, dimensions
-from ..functions.text import file_category
+from ..functions.text import CATEGORY_NAMES, file_category, lookup
 from ..operators.dedup import first_by_content, unique_mode
 from . import evidence, measure
 
 COMMIT = ["tenant_id", "source_id", "project_key", "repo_slug", "commit_hash"]
 PULL = ["tenant_id", "source_id", "project_key", "repo_slug", "pr_id"]
-#: What change types are called.
+#: What forges and change types are called.
+SOURCES = {"github": "GitHub", "gitlab": "GitLab", "bitbucket_cloud": "Bitbucket Cloud"}
 CHANGES = {"added": "Added", "modified": "Modified", "renamed": "Renamed", "deleted": "Deleted"}
 
 
@@ -26,7 +27,7 @@ def _place() -> list[Column]:
     return [
         dimension("repository", F.concat(_text("source_id"), F.lit(":"), _text("project_key"), F.lit("/"), _text("repo_slug")), F.when(none, _text("repo_slug")).otherwise(F.concat_ws("/", "project_key", "repo_slug"))),
         dimension("project", F.when(none, UNKNOWN).otherwise(F.concat(_text("source_id"), F.lit(":"), "project_key")), F.when(none, UNKNOWN_LABEL).otherwise(F.col("project_key"))),
-        dimension("source", F.regexp_replace("data_source", "^insight_", "")),
+        dimension("source", F.col("data_source"), lookup(F.col("data_source"), SOURCES)),
     ]
 
 
@@ -85,7 +86,7 @@ def git_evidence(commits: DataFrame, changes: DataFrame, pulls: DataFrame, links
     files = unique.select(*COMMIT, "lines_added", "lines_removed", file_category(F.col("file_path")).alias("category"), ext.alias("ext"), ext_label.alias("ext_label"), kind.alias("kind"), kind_label.alias("kind_label"))
     keys = [*COMMIT, "category", "ext", "ext_label", "kind", "kind_label"]
     files = files.groupBy(*keys).agg(F.sum("lines_added").alias("added"), F.sum("lines_removed").alias("removed")).join(own.select(*COMMIT, "entity_id", "metric_date", "observed_at", "data_source"), COMMIT)
-    by_file = dimensions(dimension("category", F.col("category"), F.initcap("category")), dimension("file_extension", F.col("ext"), F.col("ext_label")), dimension("change_type", F.col("kind"), F.col("kind_label")), *_place())
+    by_file = dimensions(dimension("category", F.col("category"), lookup(F.col("category"), CATEGORY_NAMES)), dimension("file_extension", F.col("ext"), F.col("ext_label")), dimension("change_type", F.col("kind"), F.col("kind_label")), *_place())
     of_files = evidence(files, "git", [measure("lines_added", F.col("added")), measure("lines_removed", F.col("removed")), measure("code_lines_added", F.col("added"), F.col("category") == "code")], F.concat_ws(":", "data_source", "commit_hash", "category", "ext", "kind"), F.col("commit_hash"), by_file)
     return of_commits.unionByName(active).unionByName(of_files).unionByName(pull_evidence(pull_authors(pulls, links, commits)))
 
@@ -102,3 +103,23 @@ def pull_evidence(pulls: DataFrame) -> DataFrame:
     created = evidence(at("created_on"), "git", [measure("pr_created", F.lit(1)), measure("pr_created_merged", F.lit(1), merged), measure("pr_change_size", size, size > 0)], rid, label, dims)
     closed = evidence(at("closed_on"), "git", [measure("pr_merged", F.lit(1), merged), measure("pr_cycle_hours", hours)], rid, label, dims)
     return created.unionByName(closed)
+
+
+def pull_facts(pulls: DataFrame) -> DataFrame:
+    """Pull requests with state_norm, person_key (the author's address, else name, in lower case) and cycle_time_h; impossible times are null."""
+    state, who = F.lower("state"), F.when(_text("author_email") != "", F.lower("author_email")).otherwise(F.lower("author_name"))
+    hours = (F.unix_seconds("closed_on") - F.unix_seconds("created_on")) / 3600.0
+    return pulls.withColumns({"state_norm": state, "person_key": who, "cycle_time_h": F.when((state == "merged") & (F.col("closed_on") >= F.col("created_on")), hours)})
+
+
+def review_facts(reviews: DataFrame) -> DataFrame:
+    """Reviews with the reviewer's name in lower case as person_key."""
+    return reviews.withColumn("person_key", F.lower("reviewer_name"))
+
+
+def file_change_facts(changes: DataFrame, commits: DataFrame) -> DataFrame:
+    """Changed files with their category (tests are `spec` here, documents count as code) and their commit's person, time, week and kind; those without a commit go."""
+    kind = file_category(F.col("file_path"))
+    by_name = F.when(kind == "vendored", "vendored").when(F.col("file_path").rlike(r"(?i)(\.spec\.|\.test\.|__tests__/|/tests?/)"), "spec").when(F.lower("file_path").rlike(r"\.(lock|ya?ml|toml|cfg|ini)$"), "config").otherwise("code")
+    own = commits.select(*COMMIT, "person_key", F.col("date").alias("committed_at"), F.date_trunc("week", "date").cast("date").alias("week"), "is_merge_commit")
+    return changes.withColumn("file_category", by_name).join(own, COMMIT)

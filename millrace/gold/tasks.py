@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dimensions import UNKNOWN, dimension, dimensions
+from ..functions.text import issue_kind
 from ..operators.history import bitemporal_latest
 from ..operators.sequences import by_day
 from . import evidence, measure
 
-ISSUE = ["insight_source_id", "issue_id"]
-FIELD = ["insight_source_id", "data_source", "field_id"]
+ISSUE = ["source_instance_id", "issue_id"]
+FIELD = ["source_instance_id", "data_source", "field_id"]
 #: Units that are time; days after which work counts as stale and within which a close counts as reopened; the largest estimate in percent that is one.
 TIME_UNITS, STALE_DAYS, REOPEN_DAYS, LARGEST_ESTIMATE = ["seconds", "minutes", "hours", "days", "man_days"], 14, 14, 200
 
@@ -32,8 +33,8 @@ def issue_state(history: DataFrame, roles: DataFrame, users: DataFrame, statuses
     history: FIELD, issue_id, id_readable, title, event_at, event_kind, delta_action, value_ids, value_displays, version.
     """
     scale = F.when(F.col("value_unit").isin(TIME_UNITS), F.coalesce("unit_multiplier", F.lit(1.0)))
-    h = history.join(F.broadcast(roles), FIELD, "left").where("role is not null or event_kind = 'synthetic_initial'").withColumn("scale", scale).withColumn("first_id", F.get("value_ids", F.lit(0))).withColumn("first_text", F.get("value_displays", F.lit(0)))
-    h = h.join(F.broadcast(statuses.select("insight_source_id", F.col("status_id").alias("first_id"), F.col("status_category").alias("category"))), ["insight_source_id", "first_id"], "left")
+    h = history.join(roles, FIELD, "left").where("role is not null or event_kind = 'synthetic_initial'").withColumn("scale", scale).withColumn("first_id", F.get("value_ids", F.lit(0))).withColumn("first_text", F.get("value_displays", F.lit(0)))
+    h = h.join(statuses.select("source_instance_id", F.col("status_id").alias("first_id"), F.col("status_category").alias("category")), ["source_instance_id", "first_id"], "left")
     order = F.struct("event_at", "version")
 
     def last(role: str, value: str) -> Column:
@@ -47,23 +48,23 @@ def issue_state(history: DataFrame, roles: DataFrame, users: DataFrame, statuses
         F.max_by("id_readable", order).alias("id_readable"), F.max_by("title", order).alias("title"), F.max(F.when(status, F.col("event_at"))).alias("last_status_event_at"),
         F.max(F.when(status & (F.col("category") == "done"), F.col("event_at"))).alias("final_close_at"), F.min("data_source").alias("data_source"),
     )
-    people = users.where("email like '%@%'").select("tenant_id", "insight_source_id", "user_id", F.lower("email").alias("entity_id"))
-    out = p.join(people, ["insight_source_id", "user_id"]).join(F.broadcast(statuses.select("insight_source_id", "status_id", "status_category")), ["insight_source_id", "status_id"], "left")
-    kinds = types.select("insight_source_id", "issue_type_id", "issue_type_name", "untranslated_name", "issue_kind")
-    out = out.join(F.broadcast(kinds), ["insight_source_id", "issue_type_id"], "left").withColumn("issue_kind", F.coalesce("issue_kind", F.lit("unknown")))
+    people = users.where("email like '%@%'").select("tenant_id", "source_instance_id", "user_id", F.lower("email").alias("entity_id"))
+    out = p.join(people, ["source_instance_id", "user_id"]).join(statuses.select("source_instance_id", "status_id", "status_category"), ["source_instance_id", "status_id"], "left")
+    kinds = types.select("source_instance_id", "issue_type_id", "issue_type_name", "untranslated_name", issue_kind(F.coalesce("untranslated_name", "issue_type_name")).alias("issue_kind"))
+    out = out.join(kinds, ["source_instance_id", "issue_type_id"], "left").withColumn("issue_kind", F.coalesce("issue_kind", F.lit("unknown")))
     named = F.nullif("issue_type", F.lit(""))
     return out.withColumn("issue_type_key", F.coalesce("untranslated_name", "issue_type_name", named)).withColumn("issue_type_name", F.coalesce("issue_type_name", named))
 
 
 def status_spans(history: DataFrame, roles: DataFrame, state: DataFrame, statuses: DataFrame, as_of: Column) -> DataFrame:
     """ISSUE, interval_start, interval_end, status_category, duration_seconds. The last span ends with the final close of a done issue, else now."""
-    status = F.broadcast(roles.where("role = 'status'").select(*FIELD))
+    status = roles.where("role = 'status'").select(*FIELD)
     e = history.join(status, FIELD, "left_semi").where("delta_action = 'set'").select(*ISSUE, "event_at", F.get("value_ids", F.lit(0)).alias("status_id"))
     own = state.select(*ISSUE, F.col("created_at"), F.col("status_category").alias("now_category"), "final_close_at")
     w = Window.partitionBy(*ISSUE).orderBy("event_at", "status_id")
     last = F.when(F.col("now_category") == "done", F.coalesce("final_close_at", "event_at")).otherwise(as_of)
     s = e.withColumn("next_at", F.lead("event_at").over(w)).join(own, ISSUE).withColumn("interval_end", F.coalesce("next_at", last)).withColumnRenamed("event_at", "interval_start")
-    s = s.join(F.broadcast(statuses.select("insight_source_id", "status_id", "status_category")), ["insight_source_id", "status_id"], "left")
+    s = s.join(statuses.select("source_instance_id", "status_id", "status_category"), ["source_instance_id", "status_id"], "left")
     sane = (F.col("interval_end") >= F.col("interval_start")) & (F.col("interval_end") <= as_of + F.expr("INTERVAL 1 DAY")) & (F.col("created_at").isNull() | (F.col("interval_start") >= F.col("created_at")))
     return s.where(sane).select(*ISSUE, "interval_start", "interval_end", "status_category", (F.unix_seconds("interval_end") - F.unix_seconds("interval_start")).cast("double").alias("duration_seconds"))
 
@@ -73,8 +74,8 @@ def worklog_flow(spans: DataFrame, state: DataFrame, worklogs: DataFrame, users:
     who = ["tenant_id", "entity_id", "metric_date"]
     p = by_day(spans.where("status_category = 'in_progress'").join(state.select(*ISSUE, "tenant_id", "entity_id"), ISSUE), "interval_start", "interval_end")
     p = p.groupBy("tenant_id", "entity_id", F.col("day").alias("metric_date")).agg(F.sum("seconds").alias("in_progress_seconds"))
-    people = users.where("email like '%@%'").select("tenant_id", "insight_source_id", F.col("user_id").alias("author_id"), F.lower("email").alias("entity_id"))
-    w = worklogs.where("work_date is not null").join(people, ["insight_source_id", "author_id"]).groupBy("tenant_id", "entity_id", F.to_date("work_date").alias("metric_date")).agg(F.sum(F.coalesce("duration_seconds", F.lit(0))).cast("double").alias("worklog_seconds"))
+    people = users.where("email like '%@%'").select("tenant_id", "source_instance_id", F.col("user_id").alias("author_id"), F.lower("email").alias("entity_id"))
+    w = worklogs.where("work_date is not null").join(people, ["source_instance_id", "author_id"]).groupBy("tenant_id", "entity_id", F.to_date("work_date").alias("metric_date")).agg(F.sum(F.coalesce("duration_seconds", F.lit(0))).cast("double").alias("worklog_seconds"))
     return p.join(w, who, "full_outer").fillna(0.0, ["in_progress_seconds", "worklog_seconds"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +19,12 @@ def subtree(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     the checkpoint folder where there is one, so that plans don't grow with the depth.
     """
     keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    seen = front = keep(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())
-    depth = 0
-    while (max_depth is None or depth < max_depth) and not front.isEmpty():
-        depth += 1
-        reached = front.join(edges, front["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
-        front = keep(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        seen = keep(seen.unionByName(front))
-    return seen
+    rounds = [keep(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct())]
+    while (max_depth is None or len(rounds) <= max_depth) and not rounds[-1].isEmpty():
+        reached = rounds[-1].join(edges, rounds[-1]["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, rounds).select("root", "node")
+        rounds.append(keep(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(len(rounds)))))
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def visible(edges: DataFrame, viewers: DataFrame, grants: DataFrame, everyone: DataFrame | None = None) -> DataFrame:

@@ -119,7 +119,7 @@ def issue_state(history: DataFrame, status_category: DataFrame) -> DataFrame:
 
     history is that of the status field, from replay; status_category: status_id, status_category.
     """
-    h = history.where("event_kind = 'changelog' or event_kind = 'synthetic_initial'").withColumn("status_id", F.get("value", F.lit(0))["id"]).join(F.broadcast(status_category), "status_id", "left")
+    h = history.where("event_kind = 'changelog' or event_kind = 'synthetic_initial'").withColumn("status_id", F.get("value", F.lit(0))["id"]).join(status_category, "status_id", "left")
     order = F.struct("event_at", F.coalesce("event_id", F.lit("")))
     out = h.groupBy("issue_id").agg(
         F.min(F.when(F.col("event_kind") == "synthetic_initial", F.col("event_at"))).alias("created_at"), F.max_by("status_id", order).alias("status_id"), F.max_by("status_category", order).alias("status_category"),

@@ -44,10 +44,26 @@ def cumulative_steps(df: DataFrame, keys: list[str], order: str, reading: str, f
 
 
 def next_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, days: int, out: str) -> DataFrame:
-    """left with the first time of right on the same key that comes after left_time and within so many days, else null."""
-    within = (F.col(right_time) > F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {days} DAY"))
-    first = left.join(right.select(*keys, right_time), keys).where(within).groupBy(*left.columns).agg(F.min(right_time).alias(out))
-    return left.join(first, left.columns, "left")
+    """left with the first time of right on the same key that comes after left_time and within so many days, else null.
+
+    Both sides' rows are put in one order by time, and each takes the next of right's times: as many rows as both have, no pairs.
+    """
+    own = left.select(*keys, F.col(left_time).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__l"), F.lit(None).cast("timestamp").alias("__r"))
+    other = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("__t"), F.lit(None).cast(own.schema["__l"].dataType).alias("__l"), F.col(right_time).cast("timestamp").alias("__r"))
+    after = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("__t").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
+    found = own.unionByName(other).withColumn("__r", F.min("__r").over(after)).where("__l is not null")
+    soon = F.when(F.col("__r") <= F.col("__t").cast("timestamp") + F.expr(f"INTERVAL {days} DAY"), F.col("__r"))
+    return found.select("__l.*", soon.alias(out))
+
+
+def overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Rows whose half-open interval [start, end) begins before an earlier one of its key has ended: with covered_until, the latest end before it.
+
+    An open end is null, and covers all that comes after.
+    """
+    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("covered_until", F.max(end).over(before)).withColumn("__open", F.max(F.col(end).isNull()).over(before))
+    return out.where((F.col("covered_until") > F.col(start)) | F.col("__open")).withColumn("covered_until", F.when(~F.col("__open"), F.col("covered_until"))).drop("__open")
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:

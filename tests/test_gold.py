@@ -24,11 +24,11 @@ def by_measure(df):
 
 @pytest.fixture(scope="module")
 def repository(spark):
-    c = lambda h, when, added, removed, email="a@x", merge=False: ("t", "s", "p", "r", h, "insight_github", email, when, merge, added, removed)
+    c = lambda h, when, added, removed, email="a@x", merge=False: ("t", "s", "p", "r", h, "github", email, when, merge, added, removed)
     commits = spark.createDataFrame([c("c1", at(1, 5), 100, 0), c("c2", at(2, 5), 100, 0), c("c3", at(2, 6), 8, 3), c("c4", at(2, 7), None, None), c("m", at(2, 8), 9, 9, merge=True), c("c1", at(1, 5), 100, 0), c("c5", at(2, 9), 5, 0, " B@x ")], "tenant_id string, source_id string, project_key string, repo_slug string, commit_hash string, data_source string, author_email string, date timestamp, is_merge_commit boolean, lines_added long, lines_removed long")
-    f = lambda h, path, pre, post, added, removed: ("t", "s", "p", "r", h, "insight_github", path, path.rsplit(".", 1)[-1], "Modified", pre, post, added, removed)
+    f = lambda h, path, pre, post, added, removed: ("t", "s", "p", "r", h, "github", path, path.rsplit(".", 1)[-1], "Modified", pre, post, added, removed)
     changes = spark.createDataFrame([f("c1", "src/a.py", "0", "1", 100, 0), f("c2", "src/a.py", "0", "1", 100, 0), f("c3", "src/b.py", None, None, 8, 3), f("c5", "src/b.py", "", None, 5, 0)], "tenant_id string, source_id string, project_key string, repo_slug string, commit_hash string, data_source string, file_path string, file_extension string, change_type string, pre_image_oid string, post_image_oid string, lines_added long, lines_removed long")
-    p = lambda i, email, state, made, closed: ("t", "s", "p", "r", i, i, "insight_github", email, state, "main", made, closed, 3, 4)
+    p = lambda i, email, state, made, closed: ("t", "s", "p", "r", i, i, "github", email, state, "main", made, closed, 3, 4)
     pulls = spark.createDataFrame([p(1, "A@x", "MERGED", at(1, 5), at(1, 6)), p(2, "", "MERGED", at(2, 5), at(2, 4)), p(3, "", "OPEN", at(2, 5), None)], "tenant_id string, source_id string, project_key string, repo_slug string, pr_id int, pr_number int, data_source string, author_email string, state string, destination_branch string, created_on timestamp, closed_on timestamp, lines_added long, lines_removed long")
     links = spark.createDataFrame([("t", "s", "p", "r", i, h) for i, h in ((2, "c5"), (3, "c3"), (3, "c5"))], "tenant_id string, source_id string, project_key string, repo_slug string, pr_id int, commit_hash string")
     return commits, changes, pulls, links
@@ -78,17 +78,17 @@ def tracker(spark):
         ev("status", at(3, 5 + r), "3", "Done")
     rows.append(("j", "jira", "status", "i5", "K-5", "T5", at(3, 12), "changelog", "set", ["2"], ["Doing"], 9))
     rows.append(("j", "jira", "status", "i5", "K-5", "T5", at(3, 14), "changelog", "set", ["3"], ["Done"], 10))
-    history = spark.createDataFrame(rows, "insight_source_id string, data_source string, field_id string, issue_id string, id_readable string, title string, event_at timestamp, event_kind string, delta_action string, value_ids array<string>, value_displays array<string>, version long")
+    history = spark.createDataFrame(rows, "source_instance_id string, data_source string, field_id string, issue_id string, id_readable string, title string, event_at timestamp, event_kind string, delta_action string, value_ids array<string>, value_displays array<string>, version long")
     names = {"status": "status", "assignee": "assignee", "type": "issuetype", "due": "duedate", "est": "estimate", "spent": "spent", "other": "ignored"}
-    defaults = spark.createDataFrame([("j", "jira", f, role, "points" if f == "spent" else "hours", 3600.0) for f, role in names.items()], "insight_source_id string, data_source string, field_id string, role string, value_unit string, unit_multiplier double")
-    authored = spark.createDataFrame([("j", "jira", "spent", "spent", "hours", 3600.0, at(1, 1), at(1, 2)), ("j", "jira", "spent", "ignored", "hours", 3600.0, at(1, 1), at(1, 1)), ("j", "jira", "est", "ignored", "hours", 1.0, at(9, 1), at(1, 1))], "insight_source_id string, data_source string, field_id string, role string, value_unit string, unit_multiplier double, valid_from timestamp, recorded_at timestamp")
+    defaults = spark.createDataFrame([("j", "jira", f, role, "points" if f == "spent" else "hours", 3600.0) for f, role in names.items()], "source_instance_id string, data_source string, field_id string, role string, value_unit string, unit_multiplier double")
+    authored = spark.createDataFrame([("j", "jira", "spent", "spent", "hours", 3600.0, at(1, 1), at(1, 2)), ("j", "jira", "spent", "ignored", "hours", 3600.0, at(1, 1), at(1, 1)), ("j", "jira", "est", "ignored", "hours", 1.0, at(9, 1), at(1, 1))], "source_instance_id string, data_source string, field_id string, role string, value_unit string, unit_multiplier double, valid_from timestamp, recorded_at timestamp")
     roles = tasks.field_roles(authored, defaults, now())
-    users = spark.createDataFrame([("t", "j", f"u{r}", f"P{r}@x") for r in range(1, 6)] + [("t", "j", "bot", "none")], "tenant_id string, insight_source_id string, user_id string, email string")
-    statuses = spark.createDataFrame([("j", "1", "todo"), ("j", "2", "in_progress"), ("j", "3", "done")], "insight_source_id string, status_id string, status_category string")
-    types = spark.createDataFrame([("j", "b", "Fehler", "Bug", "bug"), ("j", "s", "Story", None, "other")], "insight_source_id string, issue_type_id string, issue_type_name string, untranslated_name string, issue_kind string")
+    users = spark.createDataFrame([("t", "j", f"u{r}", f"P{r}@x") for r in range(1, 6)] + [("t", "j", "bot", "none")], "tenant_id string, source_instance_id string, user_id string, email string")
+    statuses = spark.createDataFrame([("j", "1", "todo"), ("j", "2", "in_progress"), ("j", "3", "done")], "source_instance_id string, status_id string, status_category string")
+    types = spark.createDataFrame([("j", "b", "Fehler", "Bug", "bug"), ("j", "s", "Story", None, "other")], "source_instance_id string, issue_type_id string, issue_type_name string, untranslated_name string, issue_kind string")
     state = tasks.issue_state(history, roles, users, statuses, types)
     spans = tasks.status_spans(history, roles, state, statuses, now())
-    worklogs = spark.createDataFrame([("j", "u1", dt.date(2026, 3, 2), 3600), ("j", "u1", dt.date(2026, 3, 30), 60), ("j", "u1", None, 60)], "insight_source_id string, author_id string, work_date date, duration_seconds int")
+    worklogs = spark.createDataFrame([("j", "u1", dt.date(2026, 3, 2), 3600), ("j", "u1", dt.date(2026, 3, 30), 60), ("j", "u1", None, 60)], "source_instance_id string, author_id string, work_date date, duration_seconds int")
     flow = tasks.worklog_flow(spans, state, worklogs, users)
     return roles, state, spans, flow
 

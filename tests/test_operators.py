@@ -300,7 +300,8 @@ def test_who_an_address_is(spark):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert [one(T.file_extension(F.lit(p))) for p in ("a/b.Tar.GZ", ".env", "Makefile", "x/.a.b")] == ["gz", "", "", "b"]
-    assert [one(T.file_category(F.lit(p))) for p in ("vendor/x_test.go", "src/a_test.go", "docs/a.py", "a/b.yaml", "src/a.py")] == ["vendored", "test", "docs", "config", "code"]
+    assert [one(T.file_category(F.lit(p))) for p in ("vendor/x_test.go", "src/a_test.go", "a/tests/b.go", "docs/a.py", "a/b.yaml", "src/a.py", "target/a.py", "x/.VENV/a.py", "Gemfile.lock", "a.d.ts", "x.generated.js", "my.lock")] == ["vendored", "code", "test", "docs", "config", "code", "vendored", "vendored", "vendored", "vendored", "vendored", "config"]
+    assert [one(T.issue_kind(F.lit(n))) for n in (" Bug ", "User Story", "chore", None)] == ["bug", "other", "unknown", "unknown"]
     assert [one(T.duration_seconds(F.lit(p))) for p in ("PT1H30M45.5S", "PT2M", "")] == [5445.5, 120.0, 0.0]
     assert [one(T.csv_safe(F.lit(p))) for p in ("=1", " a", "a=1", "@x")] == ["'=1", "' a", "a=1", "'@x"]
     assert one(T.segment_match(F.lit("my-git-hub"), "git_hub")) and not one(T.segment_match(F.lit("legit"), "git"))
