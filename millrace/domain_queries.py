@@ -78,7 +78,7 @@ def org_edges(spark, d):
 
 @query("""WITH c AS (SELECT 'r' || (o_orderkey % 3) AS repo, CAST(o_orderkey AS VARCHAR) AS h, o_orderdate AS t, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_totalprice AS BIGINT) END AS added FROM orders),
 f AS (SELECT repo, h, t, l_partkey || '#' || l_linenumber AS path, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_suppkey AS VARCHAR) END AS oid, CAST(l_extendedprice AS BIGINT) AS lines, l_linenumber AS n FROM lineitem JOIN c ON h = CAST(l_orderkey AS VARCHAR)),
-u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY repo, path, oid, CASE WHEN oid IS NULL THEN h ELSE '' END ORDER BY t, h, n) = 1),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY repo, path, oid, CASE WHEN oid IS NULL THEN h ELSE '' END ORDER BY t, h, lines) = 1),
 s AS (SELECT h, sum(lines) AS total FROM f GROUP BY h), w AS (SELECT h, sum(lines) AS own FROM u GROUP BY h)
 SELECT h AS commit_hash, CAST(CASE WHEN added IS NOT NULL THEN greatest(0, added - (coalesce(total, 0) - coalesce(own, 0))) END AS VARCHAR) AS size FROM c LEFT JOIN s USING (h) LEFT JOIN w USING (h)""")
 def commit_sizes(spark, d):

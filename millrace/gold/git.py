@@ -49,7 +49,7 @@ def unique_changes(changes: DataFrame, commits: DataFrame) -> DataFrame:
     unknown = (_text("pre_image_oid") == "") & (_text("post_image_oid") == "")
     c = c.withColumn("__kind", F.lower("change_type")).withColumn("__own", F.when(unknown, F.col("commit_hash")).otherwise(""))
     content = ["tenant_id", "data_source", "project_key", "repo_slug", "file_path", "__kind", "pre_image_oid", "post_image_oid", "__own"]
-    return first_by_content(c, content, ["observed_at", "commit_hash"]).drop("__kind", "__own", "observed_at")
+    return first_by_content(c, content, ["observed_at", "commit_hash", "lines_added", "lines_removed"]).drop("__kind", "__own", "observed_at")
 
 
 def commit_sizes(commits: DataFrame, changes: DataFrame, unique: DataFrame) -> DataFrame:
