@@ -324,13 +324,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely_ones = in_groups(blocks.join(sig, "id"), groups).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
     likely_ones = saved(likely_ones.distinct(), "minhash_likely")
     if not likely_ones.isEmpty():
-        again = open_.join(likely_ones, ["key", "id"])
+        again = saved(open_.join(likely_ones, ["key", "id"]), "minhash_again")
         blocks, groups = _in_blocks(again, F.col("n_shingles") * 8 + 4 * BINS + 64)
         sets = sets_of(again.select("id"))
         spread = blocks.drop("n_shingles").join(sig, "id").join(sets, "id")
         more = saved(in_groups(spread, groups).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
         label = components(links.unionByName(more))
-        forget(sets)
+        forget(sets, again)
     forget(open_, crowded, likely_ones)
 
     named = classes.select("key_a", "key_b", "id").join(label, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("component_id"))
