@@ -256,19 +256,21 @@ def _across(threshold: float, hundredths: int):
     return across
 
 
-def _in_blocks(rows: DataFrame, size) -> tuple[DataFrame, int]:
+def _in_blocks(rows: DataFrame, size, beside: DataFrame) -> tuple[DataFrame, int]:
     """key, band, id, component, outside -> blocks of a bucket's members with each block of its probes, dealt to groups `g`. size: bytes of a row.
 
-    A member is once in each pair of blocks that its block is part of, so rows are as many as blocks times members.
+    A member is once in each pair of blocks that its block is part of, so rows are as many as blocks times members. `beside`
+    has what blocks need of each id; it is joined before rows are repeated, so only the grouping moves the repeated ones.
     """
     own = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("pchunks")).where("pchunks > 0")
     rows = rows.join(own, "key")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    chunk, pchunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("pchunks")).cast("int")
-    members = rows.withColumns({"chunk": chunk, "probe": F.lit(False)}).withColumn("pchunk", each("pchunks"))
-    probes = rows.where("outside").withColumns({"pchunk": pchunk, "probe": F.lit(True)}).withColumn("chunk", each("chunks"))
     total = rows.agg(F.sum(size * (F.col("pchunks") + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0] or 0
-    dealt = members.unionByName(probes).drop("chunks", "pchunks")
+    chunk, pchunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("pchunks")).cast("int")
+    place = lambda c, p, probe: F.struct(c.alias("chunk"), p.alias("pchunk"), F.lit(probe).alias("probe"))
+    each = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
+    member = each("pchunks", lambda p: place(chunk, p, False))
+    places = F.when(F.col("outside"), F.concat(member, each("chunks", lambda c: place(c, pchunk, True)))).otherwise(member)
+    dealt = rows.join(beside, "id").withColumn("place", F.explode(places)).select("*", "place.*").drop("chunks", "pchunks", "place")
     return dealt, max(1, round(total / GROUP))
 
 
@@ -320,15 +322,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def in_groups(blocks: DataFrame, groups: int):
         return blocks.groupBy(F.pmod(F.xxhash64("key", "chunk", "pchunk"), F.lit(groups)).alias("g"))
 
-    blocks, groups = _in_blocks(open_, F.lit(4 * BINS + 64))
-    likely_ones = in_groups(blocks.join(sig, "id"), groups).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
+    blocks, groups = _in_blocks(open_, F.lit(4 * BINS + 64), sig)
+    likely_ones = in_groups(blocks, groups).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
     likely_ones = saved(likely_ones.distinct(), "minhash_likely")
     if not likely_ones.isEmpty():
         again = saved(open_.join(likely_ones, ["key", "id"]), "minhash_again")
-        blocks, groups = _in_blocks(again, F.col("n_shingles") * 8 + 4 * BINS + 64)
         sets = sets_of(again.select("id"))
-        spread = blocks.drop("n_shingles").join(sig, "id").join(sets, "id")
-        more = saved(in_groups(spread, groups).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
+        blocks, groups = _in_blocks(again, F.col("n_shingles") * 8 + 4 * BINS + 64, sets.join(sig.drop("n_shingles"), "id"))
+        more = saved(in_groups(blocks, groups).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
         label = components(links.unionByName(more))
         forget(sets, again)
     forget(open_, crowded, likely_ones)
