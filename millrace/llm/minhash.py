@@ -292,7 +292,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = nodes.select("id", "sig", "more").mapInArrow(_buckets, "key long, id long, band int")
     centres = buckets.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("key", "centre")
-    crowded = saved(buckets.join(centres, "key").distinct(), "minhash_buckets")
+    # Dealt by key and id, so that the join before may split a bucket that holds a large share of the rows.
+    crowded = saved(buckets.join(centres, "key").repartition("key", "id").distinct(), "minhash_buckets")
     sig = nodes.select("id", "n_shingles", "sig", "filled")
 
     def likely(pairs: DataFrame) -> DataFrame:
