@@ -256,22 +256,23 @@ def _across(threshold: float, hundredths: int):
     return across
 
 
-def _in_blocks(rows: DataFrame, size, beside: DataFrame) -> tuple[DataFrame, int]:
-    """key, band, id, component, outside -> blocks of a bucket's members with each block of its probes, dealt to groups `g`. size: bytes of a row.
+def _chunks(members, outside) -> tuple:
+    """How many blocks a bucket's members and its probes have."""
+    return F.ceil(members / BLOCK).cast("int").alias("chunks"), F.ceil(outside / BLOCK).cast("int").alias("pchunks")
+
+
+def _in_blocks(rows: DataFrame, beside: DataFrame) -> DataFrame:
+    """key, band, id, component, outside, chunks, pchunks -> blocks of a bucket's members with each block of its probes.
 
     A member is once in each pair of blocks that its block is part of, so rows are as many as blocks times members. `beside`
     has what blocks need of each id; it is joined before rows are repeated, so only the grouping moves the repeated ones.
     """
-    own = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"), F.ceil(F.count_if("outside") / BLOCK).cast("int").alias("pchunks")).where("pchunks > 0")
-    rows = rows.join(own, "key")
-    total = rows.agg(F.sum(size * (F.col("pchunks") + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0] or 0
     chunk, pchunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("pchunks")).cast("int")
     place = lambda c, p, probe: F.struct(c.alias("chunk"), p.alias("pchunk"), F.lit(probe).alias("probe"))
     each = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
     member = each("pchunks", lambda p: place(chunk, p, False))
     places = F.when(F.col("outside"), F.concat(member, each("chunks", lambda c: place(c, pchunk, True)))).otherwise(member)
-    dealt = rows.join(beside, "id").withColumn("place", F.explode(places)).select("*", "place.*").drop("chunks", "pchunks", "place")
-    return dealt, max(1, round(total / GROUP))
+    return rows.join(beside, "id").withColumn("place", F.explode(places)).select("*", "place.*").drop("chunks", "pchunks", "place")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, text_key: str | None = None) -> DataFrame:
@@ -317,20 +318,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = crowded.join(label, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     # A bucket of two is its star, which step 4 has tested.
-    split = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
-    open_ = saved(placed.join(split.select("key", "main"), "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "minhash_open")
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
+    split = split.select("key", F.col("most.component").alias("main"), *_chunks(F.col("n"), F.col("n") - F.col("most.n")))
+    open_ = saved(placed.join(split, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "minhash_open")
 
-    def in_groups(blocks: DataFrame, groups: int):
+    def in_groups(blocks: DataFrame, total):
+        groups = max(1, round((total or 0) / GROUP))
         return blocks.groupBy(F.pmod(F.xxhash64("key", "chunk", "pchunk"), F.lit(groups)).alias("g"))
 
-    blocks, groups = _in_blocks(open_, F.lit(4 * BINS + 64), sig)
-    likely_ones = in_groups(blocks, groups).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
+    total = open_.agg(F.sum(F.lit(4 * BINS + 64) * (F.col("pchunks") + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0]
+    likely_ones = in_groups(_in_blocks(open_, sig), total).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
     likely_ones = saved(likely_ones.distinct(), "minhash_likely")
     if not likely_ones.isEmpty():
-        again = saved(open_.join(likely_ones, ["key", "id"]), "minhash_again")
+        again = saved(open_.drop("chunks", "pchunks").join(likely_ones, ["key", "id"]), "minhash_again")
+        size = F.col("n_shingles") * 8 + 4 * BINS + 64
+        own = again.groupBy("key").agg(*_chunks(F.count("*"), F.count_if("outside")), F.sum(size).alias("all"), F.sum(F.when(F.col("outside"), size).otherwise(0)).alias("probes")).where("pchunks > 0")
+        total = own.agg(F.sum(F.col("pchunks") * F.col("all") + F.col("chunks") * F.col("probes"))).first()[0]
         sets = sets_of(again.select("id"))
-        blocks, groups = _in_blocks(again, F.col("n_shingles") * 8 + 4 * BINS + 64, sets.join(sig.drop("n_shingles"), "id"))
-        more = saved(in_groups(blocks, groups).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
+        blocks = _in_blocks(again.join(own.select("key", "chunks", "pchunks"), "key"), sets.join(sig.drop("n_shingles"), "id"))
+        more = saved(in_groups(blocks, total).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
         label = components(links.unionByName(more))
         forget(sets, again)
     forget(open_, crowded, likely_ones)
