@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators over documents, pages and embeddings.
+"""Operations of a training-data pipeline: thirteen operators over documents, pages, conversations and embeddings.
 
 Nothing else in the library imports this subpackage.
 """

@@ -86,6 +86,26 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs
+
+    out = periodic_runs(_table(spark, sf_dir, "documents"), damaged=True)
+    digest = F.sha2("text", 256).alias("collapsed_sha256")
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", digest, "n_words", "n_dropped")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import audit, damaged
+
+    return audit(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_sentencepiece": op2_sentencepiece,
@@ -97,11 +117,81 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_substrings": op9_substrings,
     "op10_audio": op10_audio,
+    "op11_periodic": op11_periodic,
+    "op12_conversations": op12_conversations,
+    "op13_htmltext": op13_htmltext,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 of an ASCII string s, bit by bit.
+_CRC32 = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(unicode(s[i]) AS BIGINT) for i in range(1, length(s) + 1)],
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+
+def _edit(w: str, cost: str, label: str, line: str | None) -> str:
+    """The weight w (c: cost, l: labels, t: rows that are left) after an edit before it, which writes `line`."""
+    rows = f"{w}.t" if line is None else f"{line} || CASE WHEN {w}.t = '' THEN '' ELSE chr(10) || {w}.t END"
+    return f"CASE WHEN {w} IS NOT NULL THEN {{'c': {w}.c + {cost}, 'l': '{label}' || {w}.l, 't': {rows}}} END"
+
+
+def _least(*weights: str) -> str:
+    return f"list_min([w for w in [{', '.join(weights)}] if w IS NOT NULL])"
+
+
+def _before_row(state: int) -> str:
+    """The least weight from a state of the roles' grammar on, for the next row of x, of the weights w0 to w3 after it."""
+    role, to = ("assistant", 3) if state == 2 else ("user", 2)
+    keeps = f"CASE WHEN doomed THEN NULL WHEN initial = '{role[0]}' THEN {_edit(f'w{to}', 'cut', 'K', "role || ':' || text")}"
+    if state == 0:
+        keeps += f" WHEN initial = 's' THEN {_edit('w1', 'cut', 'K', "role || ':' || text")}"
+    reroles = f"CASE WHEN NOT doomed THEN {_edit(f'w{to}', '1 + cut', 'R', f"'{role}:' || text")} END"
+    return _least(_edit(f"w{state}", "2", "D", None), f"{keeps} END", reroles)
+
+
+def _inserted(state: int, then: str) -> str:
+    return _edit(then, "5", "I", "'assistant:'" if state == 2 else "'user:'")
+
+
+_CONVERSATIONS = rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32} % 20 AS f
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations)),
+d AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, (SELECT unnest([1, 2]) AS copy) WHERE f <> 0 AND (copy = 1 OR f = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+p AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS two FROM o),
+x AS (SELECT *, last = '' OR nth > 1 AS doomed, CASE WHEN last IN ('.', '!', '?') THEN 0 ELSE 5 END AS cut FROM p),
+n AS (
+  SELECT conv_id, count(*) AS n_turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (last = '') AS blank,
+    count(*) FILTER (last <> '' AND nth > 1) AS duplicate, count(*) FILTER (NOT doomed AND cut > 0) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM x GROUP BY conv_id),
+e AS (SELECT {{'c': 0, 'l': '', 't': ''}} AS w),
+r(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT conv_id, n_turns + 1, w, {{'c': 10, 'l': 'II', 't': 'user:' || chr(10) || 'assistant:'}}, {{'c': 5, 'l': 'I', 't': 'assistant:'}}, w FROM n, e
+  UNION ALL
+  SELECT conv_id, i, {_least('w0', _inserted(0, 'e2'))}, {_least('w1', _inserted(1, 'e2'))}, {_least('w2', _inserted(2, 'e3'))}, {_least('w3', _inserted(3, 'e2'))}
+  FROM (SELECT *, {_least('w2', _inserted(2, 'w3'))} AS e2, {_least('w3', _inserted(3, 'w2'))} AS e3 FROM (
+    SELECT x.conv_id, x.i, {', '.join(f'{_before_row(g)} AS w{g}' for g in range(4))} FROM r JOIN x ON x.conv_id IS NOT DISTINCT FROM r.conv_id AND x.i = r.i - 1)))
+SELECT a.conv_id, coalesce(n_turns, 0) AS n_turns, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(w0.c, 0) AS BIGINT) AS cost, coalesce(w0.l, '') AS audit, sha256(coalesce(w0.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = 1"""
+
+_HTML = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '\s+', ' ', 'g') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(replace(body, '<br>', ' '), '</?(p|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS body FROM a),
+c AS (
+  SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+    for x in string_split(body, chr(10))] AS blocks FROM b),
+d AS (SELECT page_id, url, array_to_string([x for x in blocks if x <> ''], chr(10)) AS text FROM c)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM d"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversations": _CONVERSATIONS,
+    "op13_htmltext": _HTML,
     "op3_warc": """
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
 h AS (SELECT payload_digest, max(page_id) AS holder FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
