@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import analogs as A
 from .gold import git, people, totals
 from .operators import identity, issues
 from .queries import _rounded, query
-from .runtime import table
+from .runtime import shared_dir, table
+from .streaming import replay
 
 _ACCOUNTS = """a AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'BUILDING' THEN 'hr' ELSE 'git' END AS source_type, CASE WHEN c_custkey % 5 <> 0 THEN 'P' || (c_custkey % 40) || '@x' END AS latest_email,
   c_acctbal < 0 AS is_closed, c_custkey % 11 <> 0 AS has_id, CASE WHEN c_custkey % 30 = 0 THEN 'X' WHEN c_custkey % 6 = 0 THEN 'B' || (c_custkey % 4) END AS bound_to,
@@ -45,18 +48,40 @@ s AS (SELECT x.user_id, x.event_id, f.b, coalesce((SELECT arg_max(y.event_type,
 SELECT user_id, event_id, coalesce(string_agg(b, ',' ORDER BY b) FILTER (WHERE present), '') AS labels FROM s GROUP BY 1, 2""")
 def issue_replay(spark, d):
     """Clicks add a label to a user's set, errors remove one; at the end none is left. What was there at first follows."""
+    changes = _label_changes(spark, d)
+    heads = changes.groupBy("issue_id").agg(F.min("event_at").alias("created_at"), F.lit("u").alias("reporter_id"))
+    current = heads.select("issue_id", F.lit("labels").alias("field_id"), F.array().cast(issues.VALUES).alias("value"))
+    return _labels(issues.replay(heads, current, changes).where("event_kind = 'changelog'"))
+
+
+def _label_changes(spark, d):
     b = (F.get_json_object("props", "$.k").try_cast("long") % 5).cast("string")
     value, none = F.array(F.struct(b.alias("id"), b.alias("display"))), F.array().cast(issues.VALUES)
-    e = A.events(spark, d).where("event_type in ('click', 'error')")
     click = F.col("event_type") == "click"
-    changes = e.select(
+    return A.events(spark, d).where("event_type in ('click', 'error')").select(
         F.col("user_id").cast("string").alias("issue_id"), F.lit("labels").alias("field_id"), F.col("ts").alias("event_at"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), F.lit("u").alias("author_id"),
         F.when(click, "add").otherwise("remove").alias("kind"), F.lit(True).alias("multi"), F.when(click, none).otherwise(value).alias("before"), F.when(click, value).otherwise(none).alias("after"),
     )
-    heads = changes.groupBy("issue_id").agg(F.min("event_at").alias("created_at"), F.lit("u").alias("reporter_id"))
-    current = heads.select("issue_id", F.lit("labels").alias("field_id"), none.alias("value"))
-    out = issues.replay(heads, current, changes).where("event_kind = 'changelog'")
-    return out.select(F.col("issue_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.array_join(F.array_sort(F.transform("value", lambda x: x["id"])), ",").alias("labels"))
+
+
+def _labels(history):
+    listed = F.array_join(F.array_sort(F.transform("value", lambda x: x["id"])), ",")
+    return history.select(F.col("issue_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), listed.alias("labels"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS VARCHAR) AS label FROM events WHERE event_type IN ('click', 'error')),
+s AS (SELECT a.user_id, a.event_id, b.label, arg_max(b.event_type, struct_pack(t := b.ts, i := b.event_id)) AS last FROM e a JOIN e b ON b.user_id = a.user_id AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id <= a.event_id)) GROUP BY 1, 2, 3)
+SELECT user_id, event_id, coalesce(string_agg(label, ',' ORDER BY label) FILTER (last = 'click'), '') AS labels FROM s GROUP BY 1, 2""")
+def issue_replay_stream(spark, d):
+    """The same changes as a stream of files in no order, from empty sets: they come out sorted, once a last event has moved the watermark."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    changes = _label_changes(spark, d)
+    changes.repartition(3).write.parquet(f"{base}/in")
+    end = changes.agg(F.max("event_at").alias("m")).select(*[(F.col("m") + F.expr("INTERVAL 20000 DAYS") if c == "event_at" else F.lit(None).cast(t) if c in ("before", "after") else F.lit("-1").cast(t) if t == "string" else F.lit(True)).alias(c) for c, t in changes.dtypes])
+    end.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    replay.write_history(stream, f"{base}/out", f"{base}/checkpoint", lateness="10000 days").awaitTermination()
+    return _labels(spark.read.parquet(f"{base}/out"))
 
 
 @query("""WITH s AS (SELECT o_custkey AS p, o_orderdate AS t, o_orderstatus <> 'P' AS active FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) = 1),

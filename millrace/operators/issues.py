@@ -1,47 +1,25 @@
 """Issue histories: change events replayed against the current state, and what follows from them.
 
 An event is a row issue_id, field_id, event_at, event_id, author_id, kind, multi, before, after: kind is set, snapshot, add
-or remove, multi tells whether the field holds several values, before and after are arrays of struct<id, display>. All of
-it is array functions over one field's events of one issue, so it stays in the JVM.
+or remove, multi tells whether the field holds several values, before and after are arrays of struct<id, display>. States are
+kept as the intervals in which values stay in a field, found by windows; all of it stays in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import saved
+
 VALUES = "array<struct<id:string,display:string>>"
 SEPARATOR = ", "
 
 
-def _without(state: Column, value: Column) -> Column:
-    return F.filter(state, lambda x: x["id"] != value["id"])
-
-
-def _with(state: Column, value: Column) -> Column:
-    return F.when(F.exists(state, lambda x: x["id"] == value["id"]), state).otherwise(F.concat(state, F.array(value)))
-
-
 def _none() -> Column:
     return F.array().cast(VALUES)
 
 
-def forward(state: Column, e: Column) -> Column:
-    """The state after an event."""
-    one, gone = F.get(e["after"], F.lit(0)), F.get(e["before"], F.lit(0))
-    added = F.when(e["multi"], _with(state, one)).otherwise(F.array(one))
-    removed = F.when(e["multi"], _without(state, gone)).otherwise(_none())
-    return F.when(e["kind"] == "add", added).when(e["kind"] == "remove", removed).otherwise(e["after"]).cast(VALUES)
-
-
-def backward(state: Column, e: Column) -> Column:
-    """The state before an event."""
-    one, gone = F.get(e["after"], F.lit(0)), F.get(e["before"], F.lit(0))
-    added = F.when(e["multi"], _without(state, one)).otherwise(_none())
-    removed = F.when(e["multi"], _with(state, gone)).otherwise(_none())
-    return F.when(e["kind"] == "add", added).when(e["kind"] == "remove", removed).otherwise(e["before"]).cast(VALUES)
-
-
 def parse_items(items: DataFrame) -> DataFrame:
     """Events of changelog items: from_id, from_text, to_id, to_text and multi become kind, before and after.
 
@@ -63,20 +41,85 @@ def parse_items(items: DataFrame) -> DataFrame:
     return out.withColumn("after", F.when(lists, listed("to_id", "to_text")).otherwise(pair("to_id", "to_text")).cast(VALUES)).drop("from_id", "from_text", "to_id", "to_text")
 
 
-def _timelines(events: DataFrame) -> DataFrame:
-    fields = ["event_at", "event_id", "author_id", "kind", "multi", "before", "after"]
-    return events.groupBy("issue_id", "field_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"))
+LINE = ["issue_id", "field_id"]
+#: Positions of a timeline that one row is repeated over at once.
+_BLOCK = 4096
 
 
-def _states(initial: Column, events: Column) -> Column:
-    """An entry for each event with the state that it leaves."""
-    start = F.struct(initial.cast(VALUES).alias("state"), F.array().cast(f"array<{VALUES}>").alias("all"))
+def _numbered(events: DataFrame) -> DataFrame:
+    """events with pos, their place in the timeline from 1, and whether it is the last one."""
+    line = Window.partitionBy(*LINE).orderBy("event_at", "event_id", "author_id", "kind", "multi", "before", "after")
+    return events.withColumns({"pos": F.row_number().over(line).cast("long"), "last": F.lead(F.lit(False), 1, True).over(line)})
 
-    def step(acc, e):
-        s = forward(acc["state"], e)
-        return F.struct(s.alias("state"), F.concat(acc["all"], F.array(s)).alias("all"))
 
-    return F.aggregate(events, start, step, lambda acc: acc["all"])
+def _first(values: str) -> Column:
+    return F.filter(F.slice(values, 1, 1), lambda x: x.isNotNull())
+
+
+def _changes(numbered: DataFrame, back: bool = False) -> DataFrame:
+    """issue_id, field_id, pos, reset, put, gone of events: what each puts in and takes out, after all else has gone if it resets. back: of undoing them, in that order.
+
+    Whatever a field with one value gets replaces it, and adding or removing is undone there to nothing.
+    """
+    old, new, puts, takes = ("after", "before", "remove", "add") if back else ("before", "after", "add", "remove")
+    whole = F.col("kind").isin("set", "snapshot")
+    single = F.when((F.col("kind") == puts) & F.lit(not back), _first(new)).otherwise(_none())
+    put = F.when(whole, F.col(new)).when(~F.col("multi"), single).when(F.col("kind") == puts, _first(new)).otherwise(_none())
+    gone = F.when(~whole & F.col("multi") & (F.col("kind") == takes), F.get(old, F.lit(0))["id"])
+    return numbered.select(*LINE, (-F.col("pos") if back else F.col("pos")).alias("pos"), (whole | ~F.col("multi")).alias("reset"), put.cast(VALUES).alias("put"), gone.alias("gone"))
+
+
+def memberships(changes: DataFrame) -> DataFrame:
+    """Timelines as intervals: issue_id, field_id, id, display, since, place, until for each stay of a value in a field.
+
+    changes: issue_id, field_id, pos, reset, put, gone. A value stays from the change `since` that put it in, at `place` among
+    those of that change, until the first one that takes it out or resets the field (null: to this day); putting it in
+    again meanwhile changes nothing. A value's last change before a position tells whether it is there, so all is two windows
+    over as many rows as there are values put in and taken out, whatever the size of the sets.
+    """
+    line = Window.partitionBy(*LINE).orderBy("pos")
+    later = Window.partitionBy(*LINE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = changes.withColumn("epoch", F.sum(F.col("reset").cast("long")).over(line)).withColumn("over", F.min(F.when(F.col("reset"), F.col("pos"))).over(later))
+    keys = [*LINE, "epoch", "pos", "over", "reset"]
+    put = rows.select(*keys, F.posexplode("put").alias("place", "x")).select(*keys, "place", "x.id", "x.display", F.lit(True).alias("here"))
+    gone = rows.where("gone is not null").select(*keys, F.lit(0).alias("place"), F.col("gone").alias("id"), F.lit(None).cast("string").alias("display"), F.lit(False).alias("here"))
+    own = Window.partitionBy(*LINE, "epoch", "id")
+    after = own.orderBy(F.desc("pos"), F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = put.unionByName(gone).withColumn("was", F.lag("here").over(own.orderBy("pos", "place"))).withColumn("out", F.min(F.when(~F.col("here"), F.col("pos"))).over(after))
+    starts = F.col("here") & (F.col("reset") | F.col("was").isNull() | ~F.col("was"))
+    return rows.where(starts).select(*LINE, "id", "display", F.col("pos").alias("since"), "place", F.coalesce("out", "over").alias("until"))
+
+
+def _values(members: DataFrame, *keys: str) -> DataFrame:
+    """keys and value: the members of each key as one list, in the order in which they came in."""
+    listed = F.array_sort(F.collect_list(F.struct("since", "place", "id", "display")))
+    return members.groupBy(*keys).agg(F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["display"].alias("display"))).cast(VALUES).alias("value"))
+
+
+def _base(values: DataFrame, pos: Column) -> DataFrame:
+    """The change that a timeline begins with, of issue_id, field_id, value."""
+    return values.select(*LINE, pos.cast("long").alias("pos"), F.lit(True).alias("reset"), F.coalesce(F.col("value").cast(VALUES), _none()).alias("put"), F.lit(None).cast("string").alias("gone"))
+
+
+def _history(numbered: DataFrame, start: DataFrame) -> DataFrame:
+    """Events with the state after each, from a first state (issue_id, field_id, value) on: as many rows as all states have values."""
+    ends = numbered.where("last").select(*LINE, (F.col("pos") + 1).alias("pos"), F.lit(True).alias("reset"), _none().alias("put"), F.lit(None).cast("string").alias("gone"))
+    stays = memberships(_base(start, F.lit(0)).unionByName(_changes(numbered)).unionByName(ends))
+    spans = stays.withColumn("since_", F.greatest("since", F.lit(1).cast("long"))).withColumn("until_", F.col("until") - 1).where("since_ <= until_")
+    blocks = spans.withColumn("b", F.explode(F.sequence(F.floor(F.col("since_") / _BLOCK), F.floor(F.col("until_") / _BLOCK))))
+    inside = F.sequence(F.greatest("since_", F.col("b") * _BLOCK), F.least("until_", F.col("b") * _BLOCK + (_BLOCK - 1)))
+    states = _values(blocks.withColumn("pos", F.explode(inside)), *LINE, "pos")
+    return numbered.join(states, [*LINE, "pos"], "left").select(
+        *LINE, F.lit("changelog").alias("event_kind"), F.lit(0).alias("seq"), "event_at", "event_id", "author_id", F.col("kind").alias("delta_action"), F.coalesce("value", _none()).alias("value"),
+    )
+
+
+def initial_values(current: DataFrame, numbered: DataFrame) -> DataFrame:
+    """issue_id, field_id, value before the first event: all events undone from the current value, the last one first."""
+    far = F.lit(-(1 << 62))
+    left = memberships(_base(current, far).unionByName(_changes(numbered, back=True))).where("until is null")
+    lines = current.select(*LINE).unionByName(numbered.where("last").select(*LINE)).distinct()
+    return lines.join(_values(left, *LINE), LINE, "left").withColumn("value", F.coalesce("value", _none()))
 
 
 def replay(issues: DataFrame, current: DataFrame, events: DataFrame) -> DataFrame:
@@ -84,34 +127,25 @@ def replay(issues: DataFrame, current: DataFrame, events: DataFrame) -> DataFram
 
     issues: issue_id, created_at, reporter_id. current: issue_id, field_id, value (array) for each field. First comes the
     marker of creation (field `created`, seq 0), then the initial value of each field, found by taking its events back from
-    the current one (seq from 1, by field), then the events with the state after each.
+    the current one (seq from 1, by field), then the events with the state after each. No row holds more than one state.
     """
-    lines = current.select("issue_id", "field_id", F.col("value").cast(VALUES).alias("value")).join(_timelines(events), ["issue_id", "field_id"], "full_outer")
-    lines = lines.withColumn("events", F.coalesce("events", F.array().cast(lines.schema["events"].dataType)))
-    lines = lines.withColumn("initial", F.aggregate(F.reverse("events"), F.coalesce("value", _none()), backward)).join(issues, "issue_id")
-    order = F.array_sort(F.collect_list(F.struct("field_id", F.col("initial").alias("value"))))
-    first = lines.groupBy("issue_id", "created_at", "reporter_id").agg(order.alias("fields"))
-    marker = F.array(F.struct(F.lit("created").alias("field_id"), _none().alias("value")))
-    initial = first.select("issue_id", F.posexplode(F.concat(marker, "fields")).alias("seq", "x"), "created_at", "reporter_id").select(
-        "issue_id", F.col("x.field_id").alias("field_id"), F.lit("synthetic_initial").alias("event_kind"), "seq", F.col("created_at").alias("event_at"), F.lit(None).cast("string").alias("event_id"),
-        F.col("reporter_id").alias("author_id"), F.lit("set").alias("delta_action"), F.col("x.value").alias("value"),
-    )
-    return initial.unionByName(_changes(lines, "initial"))
-
-
-def _changes(lines: DataFrame, start: str) -> DataFrame:
-    zipped = lines.withColumn("s", _states(F.coalesce(start, _none()), F.col("events"))).select("issue_id", "field_id", F.explode(F.arrays_zip("events", "s")).alias("x"))
-    return zipped.select(
-        "issue_id", "field_id", F.lit("changelog").alias("event_kind"), F.lit(0).alias("seq"), F.col("x.events.event_at").alias("event_at"), F.col("x.events.event_id").alias("event_id"),
-        F.col("x.events.author_id").alias("author_id"), F.col("x.events.kind").alias("delta_action"), F.col("x.s").alias("value"),
+    known = issues.select("issue_id")
+    numbered = saved(_numbered(events.join(known, "issue_id", "left_semi")), "events")
+    current = current.select(*LINE, F.col("value").cast(VALUES).alias("value")).join(known, "issue_id", "left_semi")
+    start = saved(initial_values(current, numbered), "initial")
+    fields = start.withColumn("seq", F.row_number().over(Window.partitionBy("issue_id").orderBy("field_id"))).join(issues, "issue_id")
+    marker = issues.withColumns({"field_id": F.lit("created"), "value": _none(), "seq": F.lit(0)}).join(start.select("issue_id").distinct(), "issue_id", "left_semi")
+    initial = fields.unionByName(marker, allowMissingColumns=True).select(
+        *LINE, F.lit("synthetic_initial").alias("event_kind"), "seq", F.col("created_at").alias("event_at"), F.lit(None).cast("string").alias("event_id"), F.col("reporter_id").alias("author_id"), F.lit("set").alias("delta_action"), "value",
     )
+    return initial.unionByName(_history(numbered, start))
 
 
 def replay_new(last: DataFrame, events: DataFrame) -> DataFrame:
     """The events after what is known of each issue, on its last state: issue_id, field_id, value, last_event_at. No initial rows."""
     mark = last.groupBy("issue_id").agg(F.max("last_event_at").alias("mark"))
     new = events.join(mark, "issue_id").where("event_at > mark").drop("mark")
-    return _changes(_timelines(new).join(last.select("issue_id", "field_id", F.col("value").cast(VALUES).alias("known")), ["issue_id", "field_id"], "left"), "known")
+    return _history(_numbered(new), last.select(*LINE, "value"))
 
 
 def issue_state(history: DataFrame, status_category: DataFrame) -> DataFrame:

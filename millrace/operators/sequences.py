@@ -36,7 +36,7 @@ def cumulative_steps(df: DataFrame, keys: list[str], order: str, reading: str, f
 
     The steps of a period are never negative and add up to its last reading. first_from is the day before the period.
     """
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # backwards: a frame that only grows
     w = Window.partitionBy(*keys).orderBy(order)
     out = df.withColumn("corrected", F.min(reading).over(ahead)).withColumn("step", F.col("corrected") - F.coalesce(F.lag("corrected").over(w), F.lit(0)))
     before = F.lag(order).over(w) if first_from is None else F.coalesce(F.lag(order).over(w), first_from)
@@ -50,7 +50,7 @@ def next_within(left: DataFrame, right: DataFrame, keys: list[str], left_time: s
     """
     own = left.select(*keys, F.col(left_time).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__l"), F.lit(None).cast("timestamp").alias("__r"))
     other = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("__t"), F.lit(None).cast(own.schema["__l"].dataType).alias("__l"), F.col(right_time).cast("timestamp").alias("__r"))
-    after = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("__t").cast("timestamp"))).rangeBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc(F.unix_micros(F.col("__t").cast("timestamp")))).rangeBetween(Window.unboundedPreceding, -1)  # backwards: a frame that only grows
     found = own.unionByName(other).withColumn("__r", F.min("__r").over(after)).where("__l is not null")
     soon = F.when(F.col("__r") <= F.col("__t").cast("timestamp") + F.expr(f"INTERVAL {days} DAY"), F.col("__r"))
     return found.select("__l.*", soon.alias(out))
