@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import saved
+
 
 def sessionize(df: DataFrame, keys: list[str], time: str, tie: str, gap_seconds: int, session: str = "session") -> DataFrame:
     """df with the number of the session, from 1: an event opens one if it comes more than the gap after the one before."""
@@ -66,8 +68,57 @@ def overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFra
     return out.where((F.col("covered_until") > F.col(start)) | F.col("__open")).withColumn("covered_until", F.when(~F.col("__open"), F.col("covered_until"))).drop("__open")
 
 
+#: Width of the stretches of time in which interval ends are ranked, in microseconds; ranks that one row is repeated over at once.
+STRETCH, _BLOCK = 86_400_000_000, 4096
+_FAR = 1 << 62
+
+
+def _counted(points: DataFrame, probes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """points (keys, x, id) with `rank` among those of their keys, from 1; probes (keys, x, id, side, late) with `below`, the points before x, or up to x if late.
+
+    Points and probes are walked in one order within a stretch of time, from the number of points in the stretches before: a
+    key with very many is shared by many tasks.
+    """
+    rows = points.select(*keys, "x", "id", F.lit(None).cast("int").alias("side"), F.lit(1).alias("turn"))
+    rows = rows.unionByName(probes.select(*keys, "x", "id", "side", F.when(F.col("late"), 2).otherwise(0).alias("turn")))
+    rows = rows.withColumn("stretch", F.floor(F.col("x") / STRETCH)).withColumn("one", (F.col("turn") == 1).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy(*keys, "stretch").agg(F.sum("one").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    upto = Window.partitionBy(*keys, "stretch").orderBy("x", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("n", F.sum("one").over(upto)).join(stretches, [*keys, "stretch"]).withColumn("n", F.col("n") + F.col("before"))
+    return ranked.where("turn = 1").select(*keys, "id", F.col("n").alias("rank")), ranked.where("turn <> 1").select(*keys, "id", "side", F.col("n").alias("below"))
+
+
+def _starting_inside(outer: DataFrame, inner: DataFrame, keys: list[str], also_at_start: bool) -> DataFrame:
+    """Pairs (outer_id, inner_id) on a key where the inner interval begins within the outer one. Both: keys, s, e (microseconds), id."""
+    ends = F.array(F.struct(F.col("s").alias("x"), F.lit(0).alias("side"), F.lit(not also_at_start).alias("late")), F.struct(F.col("e").alias("x"), F.lit(1).alias("side"), F.lit(False).alias("late")))
+    points, probes = _counted(inner.select(*keys, F.col("s").alias("x"), "id"), outer.select(*keys, "id", F.inline(ends)), keys)
+    ranges = probes.groupBy(*keys, "id").agg((F.max(F.when(F.col("side") == 0, F.col("below"))) + 1).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("below"))).alias("hi")).where("lo <= hi")
+    blocks = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / _BLOCK), F.floor(F.col("hi") / _BLOCK))))
+    inside = F.sequence(F.greatest("lo", F.col("b") * _BLOCK), F.least("hi", F.col("b") * _BLOCK + (_BLOCK - 1)))
+    wanted = blocks.select(*keys, F.col("id").alias("outer_id"), F.explode(inside).alias("rank"))
+    return wanted.join(points.withColumnRenamed("id", "inner_id"), [*keys, "rank"]).select("outer_id", "inner_id")
+
+
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
-    """Pairs on a key whose half-open intervals overlap, with overlap_start and overlap_end. An open end is null."""
+    """Pairs on a key whose half-open intervals overlap, with overlap_start and overlap_end. An open end is null; one without a start is in no pair.
+
+    Two intervals overlap where one begins within the other. The starts of either side are ranked within their key, so those
+    inside an interval are a range of ranks, and pairs are found by key and rank: rows grow with the intervals and with the
+    pairs that there are, and no key is one task's work.
+    """
     (a, b), (c, d) = left_span, right_span
-    joined = left.join(right, keys).where(((F.col(d).isNull()) | (F.col(a) < F.col(d))) & ((F.col(b).isNull()) | (F.col(c) < F.col(b))))
-    return joined.withColumn("overlap_start", F.greatest(a, c)).withColumn("overlap_end", F.least(b, d))
+    micros = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+
+    def numbered(df: DataFrame, start: str, end: str, name: str) -> tuple[DataFrame, DataFrame]:
+        own = saved(df.where(F.col(start).isNotNull()).withColumn("__id", F.monotonically_increasing_id()), name)
+        known = own.where(" and ".join(f"`{k}` is not null" for k in keys))
+        return own, known.select(*keys, micros(start).alias("s"), F.coalesce(micros(end), F.lit(_FAR)).alias("e"), F.col("__id").alias("id"))
+
+    (l_rows, l_spans), (r_rows, r_spans) = numbered(left, a, b, "left"), numbered(right, c, d, "right")
+    pairs = _starting_inside(r_spans, l_spans, keys, True).select(F.col("inner_id").alias("__l"), F.col("outer_id").alias("__r"))
+    pairs = pairs.unionByName(_starting_inside(l_spans, r_spans, keys, False).select(F.col("outer_id").alias("__l"), F.col("inner_id").alias("__r")))
+    joined = pairs.join(l_rows.withColumnRenamed("__id", "__l"), "__l").join(r_rows.withColumnRenamed("__id", "__r").drop(*keys), "__r").drop("__l", "__r")
+    joined = joined.where(((F.col(d).isNull()) | (F.col(a) < F.col(d))) & ((F.col(b).isNull()) | (F.col(c) < F.col(b))))
+    order = [*keys, *[x for x in left.columns if x not in keys], *[x for x in right.columns if x not in keys]]
+    return joined.select(*order).withColumn("overlap_start", F.greatest(a, c)).withColumn("overlap_end", F.least(b, d))

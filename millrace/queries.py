@@ -515,8 +515,8 @@ def visible_set(spark, d):
     """All customers see themselves, and by grants their nation and all below it: how many nodes, the first and the last of them."""
     name = lambda kind, col: F.concat(F.lit(kind), F.col(col).cast("string"))
     v = table(spark, d, "customer").select(name("c", "c_custkey").alias("viewer"), name("n", "c_nationkey").alias("node"))
-    seen = hierarchy.visible(A.edges(spark, d), v.select("viewer"), v)
-    return seen.groupBy("viewer").agg(F.count("*").alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
+    numbers = hierarchy.numbering(A.edges(spark, d), v.select(F.col("viewer").alias("node")))
+    return hierarchy.visible_counts(numbers, hierarchy.visible_ranges(numbers, v.select("viewer"), v))
 
 
 @query("""WITH t AS (SELECT event_type, max(event_id) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1) SELECT e.event_id, e.event_type FROM events e LEFT JOIN t USING (event_type) WHERE mark IS NULL OR event_id > mark""")
