@@ -68,6 +68,20 @@ def overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFra
     return out.where((F.col("covered_until") > F.col(start)) | F.col("__open")).withColumn("covered_until", F.when(~F.col("__open"), F.col("covered_until"))).drop("__open")
 
 
+def running_total(df: DataFrame, order: list[str], amount: Column, total: str, place: str, ranges: int = 64) -> DataFrame:
+    """df with `total`, the sum of amount over all rows up to this one in an order (ties are broken at will), and `place`, its number from 1.
+
+    Rows are dealt to ranges in order; each is summed on its own, from what the ranges before it hold, so no task sees all.
+    """
+    own = saved(df.withColumn("__amount", amount).repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    every = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    sums = own.groupBy("__range").agg(F.sum("__amount").alias("s"), F.count("*").alias("n"))
+    before = sums.select("__range", F.coalesce(F.sum("s").over(every), F.lit(0)).alias("__s"), F.coalesce(F.sum("n").over(every), F.lit(0)).alias("__n"))
+    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = own.withColumns({total: F.sum("__amount").over(upto), place: F.row_number().over(upto)}).join(F.broadcast(before), "__range")  # `ranges` rows
+    return walked.withColumns({total: F.col(total) + F.col("__s"), place: F.col(place) + F.col("__n")}).drop("__range", "__amount", "__s", "__n")
+
+
 #: Width of the stretches of time in which interval ends are ranked, in microseconds; ranks that one row is repeated over at once.
 STRETCH, _BLOCK = 86_400_000_000, 4096
 _FAR = 1 << 62

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,6 +148,63 @@ def manager_edges(people: DataFrame) -> DataFrame:
     return people.join(by_name, "manager_dn", "left").select("email", "manager_email")
 
 
+#: Kinds of a change in what is known of who someone's manager is.
+UPSERT, DELETE = "UPSERT", "DELETE"
+
+
+def manager_inputs(history: DataFrame, users: DataFrame, since: Column | None = None, unresolved: bool = True) -> DataFrame:
+    """Changes of managers' addresses and ids: tenant_id, source_id, account_id, value_type, value, field, operation, synced_at.
+
+    history (tenant_id, source_id, entity_id, field_name, new_value, updated_at): changes of managerDn, mail and
+    userPrincipalName. users: tenant_id, source_id, id, mail, upn, dn, manager_dn, as they are now. A new manager gives address
+    and id of the one with that name; an empty one takes both back. A new address of someone goes to all that report to
+    them, and takes theirs back if none is left. A new manager whom nobody knows, or who has no address, takes back what the one
+    before gave (without `unresolved` it stays, until something else changes). With `since`, only changes after it are taken up: reports of people without
+    a change come in no join.
+    """
+    own = ["tenant_id", "source_id"]
+    if since is not None:
+        history = history.where(F.col("updated_at") > since)
+    manager = users.select(*own, F.col("dn").alias("new_value"), F.coalesce("mail", "upn").alias("address"), F.col("id").alias("manager_id")).where("new_value is not null")
+    moved = history.where("field_name = 'managerDn'").select(*own, F.col("entity_id").alias("account_id"), "new_value", "updated_at")
+    named = moved.where("new_value <> ''").join(manager, [*own, "new_value"], "left")
+    changed = history.where("field_name in ('mail', 'userPrincipalName')").select(*own, F.col("entity_id").alias("id"), "updated_at").distinct()
+    bosses = changed.join(users.select(*own, "id", "dn", F.coalesce("mail", "upn").alias("address")), [*own, "id"]).drop("id")
+    reports = bosses.join(users.select(*own, F.col("id").alias("account_id"), F.col("manager_dn").alias("dn")), [*own, "dn"]).select(*own, "account_id", "updated_at", "address").distinct()
+
+    def rows(df: DataFrame, kind: str, value: Column, field: str, operation: str) -> DataFrame:
+        return df.select(*own, "account_id", F.lit(kind).alias("value_type"), value.alias("value"), F.lit(field).alias("field"), F.lit(operation).alias("operation"), F.col("updated_at").alias("synced_at"))
+
+    none, gone = F.lit(""), moved.where("new_value = ''")
+    parts = [
+        rows(named.where("address <> ''"), "parent_email", F.col("address"), "managerDn", UPSERT), rows(named.where("manager_id <> ''"), "parent_id", F.col("manager_id"), "managerDn", UPSERT),
+        rows(gone, "parent_email", none, "managerDn", DELETE), rows(gone, "parent_id", none, "managerDn", DELETE),
+        rows(reports.where("address <> ''"), "parent_email", F.col("address"), "mail", UPSERT), rows(reports.where("coalesce(address, '') = ''"), "parent_email", none, "mail", DELETE),
+    ]
+    if unresolved:
+        parts += [rows(named.where("coalesce(address, '') = ''"), "parent_email", none, "managerDn", DELETE), rows(named.where("coalesce(manager_id, '') = ''"), "parent_id", none, "managerDn", DELETE)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def current_managers(inputs: DataFrame) -> DataFrame:
+    """tenant_id, source_id, account_id, value_type, value: the last change of each, unless it took the value back."""
+    keys = ["tenant_id", "source_id", "account_id", "value_type"]
+    return latest_by_key(inputs, keys, ["synced_at", "operation", "value"]).where(F.col("operation") == UPSERT).select(*keys, "value")
+
+
+def resynced(rows: DataFrame, windows: DataFrame, instance: Sequence[str], keys: Sequence[str], day: str, version: str, origin: str, windows_origin: str = "resync") -> DataFrame:
+    """The rows that stand after windows of days have been fetched again, whole.
+
+    windows: instance, day_from, day_to, version. A window takes the place of all that was known of its days before: rows of
+    one of its days with an earlier version are gone, come back or not. Of what is left, each key's last version stands;
+    of equal versions the one fetched again. The same window twice, with the same rows, changes nothing.
+    """
+    days = windows.select(*instance, F.explode(F.sequence("day_from", "day_to")).alias(day), F.col("version").alias("__v")).groupBy(*instance, day).agg(F.max("__v").alias("__v"))
+    left = rows.join(days, [*instance, day], "left").where(F.col("__v").isNull() | (F.col(version) >= F.col("__v"))).drop("__v")
+    again = left.withColumn("__again", (F.col(origin) == windows_origin).cast("int"))
+    return latest_by_key(again, [*instance, *keys], [version, "__again"]).select(*rows.columns)
+
+
 def over_limit(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last snapshot of each key and month, with what was used over the limit; a key without a limit has none over it."""
     last = latest_by_key(snapshots.withColumn("period_month", F.trunc("snapshot_date", "month")), [*keys, "period_month"], ["snapshot_date", "version"])

@@ -45,19 +45,26 @@ def read_serving(spark: SparkSession, path: str, date: str, date_from: str | Non
 
 
 def swap_snapshot(df: DataFrame, table: str, taken_at: str, least_share: float = 0.5) -> None:
-    """Replace a table by a full copy. The copy is written beside it and checked first: it may be neither older nor far smaller."""
+    """Replace what a name stands for by a full copy, which may be neither older nor far smaller.
+
+    The name is a view of the catalog, and the copy a table of its own: it is written and checked first, then the view is
+    replaced in one step, so there is a whole copy at any time. The table before is dropped after that.
+    """
     spark, new = df.sparkSession, f"{table}_{uuid.uuid4().hex[:8]}"
     df.withColumn("taken_at", F.lit(taken_at)).write.saveAsTable(new)
     try:
+        old_table = None
         if spark.catalog.tableExists(table):
             old = spark.table(table).agg(F.max("taken_at").alias("at"), F.count("*").alias("n")).first()
             if old["at"] is not None and old["at"] > taken_at:
                 raise StaleSnapshot(f"{table} is of {old['at']}")
             if spark.table(new).count() < least_share * old["n"]:
                 raise StaleSnapshot(f"the new {table} has lost too many rows")
-            spark.sql(f"ALTER TABLE {table} RENAME TO {new}_old")
-        spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
-        spark.sql(f"DROP TABLE IF EXISTS {new}_old")
+            shown = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+            old_table = next((p.strip("` ") for p in shown.get("View Text", "").split(" FROM ")[1:]), None)
+        spark.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM {new}")
     except Exception:
         spark.sql(f"DROP TABLE IF EXISTS {new}")
         raise
+    if old_table:
+        spark.sql(f"DROP TABLE IF EXISTS {old_table}")

@@ -322,7 +322,8 @@ def test_swap_and_serving(spark, tmp_path):
         with pytest.raises(landing.StaleSnapshot):
             landing.swap_snapshot(bad, "people_copy", when)
     assert spark.table("people_copy").count() == 8
-    spark.sql("DROP TABLE people_copy")
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("people_copy_")] == [spark.sql("DESCRIBE TABLE EXTENDED people_copy").where("col_name = 'View Text'").first()["data_type"].split()[-1]]
+    spark.sql("DROP VIEW people_copy")
     landing.write_serving(df, str(tmp_path / "s"), "d", ["k"])
     assert landing.read_serving(spark, str(tmp_path / "s"), "d", "2024-01-25").count() == 5
     drilldown.export_csv(df.select(F.lit("=x").alias("k")), str(tmp_path / "csv"), {"k": "Key"})
