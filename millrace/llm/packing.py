@@ -127,8 +127,9 @@ def _cut(path: str, end_id: int, length: int, with_ids: bool):
 def patterns(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
     """Packing patterns (lengths, longest first; how many sequences follow it) that hold histogram[n] pieces of each length n.
 
-    Lengths are placed longest first, each into the shortest pack so far. Packs with one pattern are one entry: its count
-    splits when fewer pieces come than there are packs, so the entries number at most twice the distinct lengths.
+    Lengths are placed longest first, each into the shortest pack so far. Where none has room, as many are opened as the
+    pieces left of this length fill, and take one each; the others follow into them. Packs with one pattern are one entry:
+    its count splits when fewer pieces come than there are packs, so the entries number at most three times the distinct lengths.
     """
     packs: list[tuple[int, int, int, tuple | None]] = []  # (minus the room, order, count, (lengths before, length))
     order = 0
@@ -143,7 +144,7 @@ def patterns(histogram: dict[int, int], length: int) -> list[tuple[list[int], in
                     order += 1
                 heapq.heappush(packs, (room + n, order, used, (own, n)))
             else:
-                used = left
+                used = -(-left // (length // n))
                 heapq.heappush(packs, (n - length, order, used, (None, n)))
             order += 1
             left -= used
