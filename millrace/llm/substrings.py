@@ -104,9 +104,10 @@ class _Block:
         for n, longer, answer in zip(steps, steps[1:], answers, strict=False):
             u, _, back, count = self.distinct(n, places)
             again = count > 1
-            edges = _edges(u, bits)
+            full, first = _ranges(u, bits)
             for b, mask in answer.items():
-                lo, hi = edges[b], edges[b + 1]
+                k = np.searchsorted(full, b)
+                lo, hi = first[k], first[k + 1]
                 again[lo:hi] |= np.unpackbits(np.frombuffer(mask, np.uint8), count=hi - lo).astype(bool)
             repeats = np.zeros(len(self.hashes) + longer, bool)
             repeats[places[again[back]]] = True
@@ -115,9 +116,10 @@ class _Block:
         return places
 
 
-def _edges(u: np.ndarray, bits: int) -> np.ndarray:
-    """Where each of the 2 ** bits ranges of hashes begins in the sorted u."""
-    return np.searchsorted(u, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64)).tolist() + [len(u)]
+def _ranges(u: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges (of 2 ** bits) that any hash of the sorted u is in, and where each begins in u, with the end of u after the last."""
+    full, first = np.unique(u >> np.uint64(64 - bits) if bits else np.zeros(len(u), np.uint64), return_index=True)
+    return full.astype(np.int64), np.append(first, len(u))
 
 
 def _answers_of(rows, steps: int) -> list[dict[int, bytes]]:
@@ -138,9 +140,8 @@ def _send(steps: list[int], level: int, bits: int):
                 row = {c: batch.column(c)[i] for c in names}
                 block = _Block(row["body"].as_py(), row["lens"].values.to_numpy())
                 u, first, _, _ = block.distinct(steps[level], block.candidates(steps, _answers_of(row["answers"].as_py() if level else None, level), bits))
-                edges = _edges(u, bits)
-                full = [b for b in range(1 << bits) if edges[b + 1] > edges[b]]
-                cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())  # noqa: B023, E731
+                full, at = _ranges(u, bits)
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())  # noqa: B023, E731
                 out = {
                     "bucket": pa.array(full, pa.int32()), "part": pa.array([row["part"].as_py()] * len(full), pa.int32()), "block": pa.array([row["block"].as_py()] * len(full), pa.int64()),
                     "hashes": cut(u if last else (u >> np.uint64(32 - bits)).astype(np.uint32)),
