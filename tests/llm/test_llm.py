@@ -272,6 +272,21 @@ def test_packing(docs, rows):
     assert sorted(filled) == list(range(len(filled)))
 
 
+@pytest.mark.parametrize("histogram, least", [
+    ({100: 1000}, 0.97), ({4096: 500, 100: 5000}, 0.97), ({200: 10_000, 50: 10_000}, 0.97), ({n: 30 for n in range(50, 1001)}, 0.98), ({1: 5000}, 0.6), ({4096: 3}, 1.0), ({2049: 10, 2047: 10}, 1.0), ({1366: 300, 1365: 1}, 0.66), ({}, 0.0),
+])
+def test_packing_pads_little(histogram, least):
+    found = packing.patterns(histogram, 4096)
+    placed = {}
+    for lengths, count in found:
+        assert sum(lengths) <= 4096 and count > 0
+        for n in lengths:
+            placed[n] = placed.get(n, 0) + count
+    assert placed == histogram and len(found) <= 3 * len(histogram)
+    tokens = sum(n * c for n, c in histogram.items())
+    assert tokens >= least * 4096 * sum(c for _, c in found)
+
+
 def test_tokens_of_odd_texts():
     import public_tokenizers
     import pyarrow as pa

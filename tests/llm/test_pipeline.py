@@ -73,5 +73,24 @@ def test_packing(stages):
         assert sum(n for _, n, _ in own) == own[0][2] and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, __id long, __key long, kept_id string, n_removed string, n_words string, n_lines string, keep string, component_id string, id string"
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_tables(spark, name, stage):
+    """Columns of any name, repeated rows, null ids and texts, and no rows at all."""
+    t = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, x, "en", "s", None if x is None else len(x), 1, 2, "a", "b", "c", "d", "e", "f", "g") for i, x in [(1, t), (1, t), (2, t + " more"), (None, t), (None, None), (3, None), (4, ""), (5, "a\nb\nc"), (6, "a\nb\nc"), (7, t[::-1])]]
+    docs = spark.createDataFrame(rows, CLASHES)
+    out = stage(spark, docs, SF)
+    found = out.collect()
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    if name == "packing":
+        assert sorted({r["doc_id"] for r in found}, key=str) == sorted({r[0] for r in rows}, key=str) and sum(r["start"] == 0 for r in found) == len(rows)
+    else:
+        assert out.columns == docs.columns and all(tuple(r)[5:] == rows[0][5:] for r in found)
+        assert {r["doc_id"] for r in found} >= {7} and {r["doc_id"] for r in found} <= {r[0] for r in rows}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
