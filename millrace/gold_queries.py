@@ -141,9 +141,22 @@ def _tracked(spark, d):
     return state, spans, tasks.worklog_flow(spans, state, worklogs, users)
 
 
-@query("SELECT * FROM (VALUES ('status', 'status', NULL, NULL), ('assignee', 'assignee', NULL, NULL), ('estimate', 'estimate', 'hours', 3600.0::DOUBLE)) t(field_id, role, value_unit, unit_multiplier)")
+@query("""WITH d AS (SELECT DISTINCT ['s', 't'][o_custkey % 2 + 1] AS s, 'f' || (o_custkey % 40) AS f, ['status', 'assignee', 'estimate', 'junk'][o_custkey % 4 + 1] AS role, CASE WHEN o_custkey % 4 = 2 THEN 'hours' END AS unit, CASE WHEN o_custkey % 4 = 2 THEN 3600.0::DOUBLE END AS factor FROM orders),
+a AS (SELECT ['s', 't'][o_custkey % 2 + 1] AS s, 'f' || (o_custkey % 40) AS f, ['ignored', 'status', 'due_date'][o_orderkey % 3 + 1] AS role, NULL AS unit, NULL AS factor FROM orders WHERE o_custkey % 40 < 25 AND o_orderdate <= '1997-06-01'
+  QUALIFY row_number() OVER (PARTITION BY o_custkey % 2, o_custkey % 40 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT s AS source_instance_id, f AS field_id, role, unit AS value_unit, factor AS unit_multiplier FROM (SELECT * FROM a UNION ALL SELECT * FROM d WHERE (s, f) NOT IN (SELECT s, f FROM a)) WHERE role <> 'ignored'""")
 def issue_field_roles(spark, d):
-    return _issues(spark, d)[1].select("field_id", "role", "value_unit", "unit_multiplier")
+    """The fields of two trackers: roles by their vendors, and what operators have said of some of them over time, both made of orders."""
+    o, c = table(spark, d, "orders"), F.col("o_custkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), n.cast("int") + 1)
+    field = [pick(("s", "t"), c % 2).alias("source_instance_id"), F.lit("jira").alias("data_source"), F.concat(F.lit("f"), c % 40).alias("field_id")]
+    defaults = o.select(*field, pick(("status", "assignee", "estimate", "junk"), c % 4).alias("role"), F.when(c % 4 == 2, "hours").alias("value_unit"), F.when(c % 4 == 2, 3600.0).alias("unit_multiplier")).distinct()
+    authored = o.where("o_custkey % 40 < 25").select(
+        *field, pick(("ignored", "status", "due_date"), F.col("o_orderkey") % 3).alias("role"), F.lit(None).cast("string").alias("value_unit"), F.lit(None).cast("double").alias("unit_multiplier"), F.col("o_orderdate").cast("timestamp").alias("valid_from"),
+        F.timestamp_seconds(F.col("o_orderkey")).alias("recorded_at"),
+    )
+    roles = tasks.field_roles(authored, defaults, F.lit("1997-06-01").cast("timestamp"))
+    return roles.select("source_instance_id", "field_id", "role", "value_unit", "unit_multiplier")
 
 
 @query(f"WITH {_STATE} SELECT CAST(i AS VARCHAR) AS issue_id, entity AS entity_id, status AS status_id, cat AS status_category, CAST(est * 3600 AS DOUBLE) AS time_estimate_seconds, made AS created_at, moved AS last_status_event_at, closed AS final_close_at FROM state", stamps="created_at last_status_event_at final_close_at")

@@ -209,3 +209,48 @@ def over_limit(snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last snapshot of each key and month, with what was used over the limit; a key without a limit has none over it."""
     last = latest_by_key(snapshots.withColumn("period_month", F.trunc("snapshot_date", "month")), [*keys, "period_month"], ["snapshot_date", "version"])
     return last.withColumn("over_cents", F.when(F.col("limit_cents").isNotNull(), F.greatest(F.col("used_cents") - F.col("limit_cents"), F.lit(0))))
+
+
+#: The states in which a pull request is over, and the fields of an issue's snapshot that are objects with an id and a name.
+OVER = ("MERGED", "DECLINED", "SUPERSEDED")
+SNAPSHOT_FIELDS = {"status": ("id", "name"), "priority": ("id", "name"), "issuetype": ("id", "name"), "resolution": ("id", "name"), "assignee": ("accountId", "displayName"), "reporter": ("accountId", "displayName")}
+
+
+def pull_requests(requests: DataFrame, files: DataFrame, activity: DataFrame, since: Column | None = None) -> DataFrame:
+    """requests with project_key, repo_slug, closed_on, files_changed, lines_added, lines_removed and the time of their last news.
+
+    files (a row for each changed file) and activity come as streams of their own: where none of a request's files has
+    come, its sizes are null and not 0; a request has no time of its closing but that of the last update to a state in which
+    it is over. One that was superseded counts as declined. `since`: only requests with news of any of the three after it.
+    """
+    keys = ["tenant_id", "source_id", "repo_full_name", "pr_id"]
+    sizes = files.groupBy(*keys).agg(F.count("*").alias("files_changed"), F.sum("lines_added").alias("lines_added"), F.sum("lines_removed").alias("lines_removed"), F.max("extracted_at").alias("__files"))
+    over = activity.where((F.col("kind") == "update") & F.col("update_state").isin(list(OVER))).groupBy(*keys).agg(F.max("event_date").alias("__closed"), F.max("extracted_at").alias("__over"))
+    news = F.greatest("extracted_at", F.coalesce("__files", "extracted_at"), F.coalesce("__over", "extracted_at"))
+    out = latest_by_key(requests, keys, ["extracted_at"]).join(sizes, keys, "left").join(over, keys, "left").withColumn("extracted_at", news)
+    if since is not None:
+        out = out.where(F.col("extracted_at") > since)
+    parts, sized = F.split(F.coalesce("repo_full_name", F.lit("")), "/"), F.col("__files").isNotNull()
+    return out.select(
+        *keys, parts[0].alias("project_key"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("repo_slug"), F.when(F.col("state") == "SUPERSEDED", "DECLINED").otherwise(F.coalesce("state", F.lit(""))).alias("state"),
+        parse_time(F.col("created_on")).alias("created_on"), F.when(F.col("state").isin(list(OVER)), parse_time(F.col("__closed"))).alias("closed_on"), "files_changed",
+        *[F.when(sized, F.coalesce(c, F.lit(0))).alias(c) for c in ("lines_added", "lines_removed")], "extracted_at",
+    )
+
+
+def field_snapshot(issues: DataFrame) -> DataFrame:
+    """source_id, issue_id, field_id, value_ids, value_displays: what an issue's fields are in its latest row, a row for each field, empty ones too.
+
+    issues: source_id, issue_id, fields (JSON), project_key, parent_id, due_date, extracted_at. JSON is taken apart in the
+    latest row of each issue alone, in one pass.
+    """
+    i = latest_by_key(issues, ["source_id", "issue_id"], ["extracted_at"])
+    text = lambda *path: F.coalesce(F.get_json_object("fields", "$." + ".".join(path)), F.lit(""))
+    row = lambda field, ids, shown: F.struct(F.lit(field).alias("field_id"), ids.alias("value_ids"), shown.alias("value_displays"))
+    one = lambda a, b: F.when(F.coalesce(a, F.lit("")) != "", F.array(b)).otherwise(F.array().cast("array<string>"))
+    rows = [row(f, one(text(f, k), text(f, k)), one(text(f, k), text(f, v))) for f, (k, v) in SNAPSHOT_FIELDS.items()]
+    for field, column in (("project", "project_key"), ("parent", "parent_id"), ("duedate", "due_date")):
+        value = F.col(column).cast("string")
+        rows.append(row(field, one(value, value), one(value, value)))
+    labels = F.transform(F.coalesce(F.from_json(F.get_json_object("fields", "$.labels"), "array<string>"), F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    return i.select("source_id", "issue_id", F.inline(F.array(*rows, row("labels", labels, labels))))

@@ -63,9 +63,11 @@ class Metric:
     def rows(self) -> Column:
         return (F.col("source_key") == self.source_key) & F.col("measure_key").isin(list(self.measures))
 
-    def aggregate(self) -> Column:
-        """The metric's value as an aggregate; not for medians."""
+    def aggregate(self, zero: bool = False) -> Column:
+        """The metric's value as an aggregate; not for medians. zero: a sum over rows that have no value is 0, as in series and breakdowns of one metric."""
         total = F.sum(F.when(self.rows(), F.col("value")))
+        if zero and self.kind == "sum":
+            total = F.coalesce(total, F.lit(0.0))
         if self.kind == "ratio":
             under = F.sum(F.when((F.col("source_key") == self.source_key) & F.col("measure_key").isin(list(self.denominator)), F.col("value")))
             total = total * self.scale / F.nullif(under, F.lit(0.0))
@@ -107,10 +109,10 @@ class Scope:
         return out
 
 
-def evaluate(rows: DataFrame, metrics: Sequence[Metric], keys: list[str]) -> DataFrame:
+def evaluate(rows: DataFrame, metrics: Sequence[Metric], keys: list[str], zero: bool = False) -> DataFrame:
     """keys and a column for each metric: one aggregation for all that can share it, one for each median, joined on the keys."""
     plain = [m for m in metrics if m.kind != "median"]
-    parts = [rows.groupBy(*keys).agg(*[m.aggregate().alias(m.column) for m in plain])] if plain else []
+    parts = [rows.groupBy(*keys).agg(*[m.aggregate(zero).alias(m.column) for m in plain])] if plain else []
     for m in metrics:
         if m.kind == "median":
             q = exact_quantiles(rows.where(m.rows()), keys, "value", {m.column: 0.5}).drop("n")
@@ -154,7 +156,7 @@ def timeseries(observations: DataFrame, metric: Metric, grain: str, scope: Scope
             out = out.unionByName(evaluate(rows, [metric], by).withColumn("bucket", F.lit(None).cast("date")))
         return out.select(*by, "bucket", F.col(metric.column).alias("value"))
     groups = [[F.col(c) for c in [*by, "bucket"]]] + ([[F.col(c) for c in by]] if totals else [])
-    return rows.groupingSets(groups, *[F.col(c) for c in [*by, "bucket"]]).agg(metric.aggregate().alias("value")).select(*by, "bucket", "value")
+    return rows.groupingSets(groups, *[F.col(c) for c in [*by, "bucket"]]).agg(metric.aggregate(zero=True).alias("value")).select(*by, "bucket", "value")
 
 
 def densify(series: DataFrame, grain: str, date_from: str, date_to: str, keys: list[str] = ("entity_id",)) -> DataFrame:
@@ -193,7 +195,7 @@ def breakdown(observations: DataFrame, metric: Metric, by: Sequence[str], scope:
     for d in by:
         rows = rows.withColumn(f"{d}_value", value_of(F.col("dimensions"), d)).withColumn(f"{d}_label", label_of(F.col("dimensions"), d))
         keys += [f"{d}_value", f"{d}_label"]
-    return evaluate(rows, [metric], keys).select(*keys, F.col(metric.column).alias("value"))
+    return evaluate(rows, [metric], keys, zero=True).select(*keys, F.col(metric.column).alias("value"))
 
 
 def _statistics(pool: DataFrame, keys: list[str]) -> DataFrame:
@@ -219,13 +221,18 @@ def tenant_peers(observations: DataFrame, metric: Metric, scope: Scope = Scope()
 
 
 def histogram(observations: DataFrame, metric: Metric, scope: Scope = Scope(), bins: int = BINS) -> DataFrame:
-    """entity_id, bin, count, low, high: events of each entity in bins of one width between its least and largest value; one value: bin 0."""
+    """entity_id, bin, count, low, high: events of each entity in bins of one width between its least and largest value; one value: bin 0. An entity that is asked for by name and has no values has one row: bin null, count 0."""
     rows = scope.of(observations, [metric]).where(metric.rows() & F.col("value").isNotNull())
     value = metric.transform(F.col("value")) if metric.transform else F.col("value")
     rows = rows.select("entity_id", value.alias("value"))
     bounds = rows.groupBy("entity_id").agg(F.min("value").alias("low"), F.max("value").alias("high"))
     binned = rows.join(bounds, "entity_id").withColumn("bin", F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("low")) * bins / (F.col("high") - F.col("low"))))).cast("int"))
-    return binned.groupBy("entity_id", "bin", "low", "high").agg(F.count("*").alias("count")).select("entity_id", "bin", "count", "low", "high")
+    out = binned.groupBy("entity_id", "bin", "low", "high").agg(F.count("*").alias("count")).select("entity_id", "bin", "count", "low", "high")
+    if not scope.entities:
+        return out
+    named = out.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(scope.entities)], "entity_id string")
+    empty = named.join(bounds, "entity_id", "left_anti").select("entity_id", F.lit(None).cast("int").alias("bin"), F.lit(0).cast("long").alias("count"), *[F.lit(None).cast("double").alias(c) for c in ("low", "high")])
+    return out.unionByName(empty)
 
 
 def capped(df: DataFrame, cap: int = ROW_CAP) -> list:

@@ -97,3 +97,45 @@ def visibility_checks(spark, d):
     ranges = hierarchy.visible_ranges(numbers, v.select("viewer"), v)
     asked = c.select(name("c", k).alias("viewer"), F.explode(F.array(name("c", k * 7 % 150 + 1), name("n", k * 3 % 25))).alias("node"))
     return hierarchy.can_see(numbers, ranges, asked)
+
+
+@query("""WITH f AS (SELECT l_orderkey AS pr_id, count(*) AS n, sum(l_linenumber) AS a, sum(l_partkey % 100) AS r, max(l_suppkey) AS x FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1),
+c AS (SELECT l_orderkey AS pr_id, max(CAST(l_shipdate AS DATE)) AS closed, max(l_partkey) AS x FROM lineitem WHERE l_linenumber % 2 = 1 AND l_returnflag <> 'N' GROUP BY 1),
+p AS (SELECT DISTINCT ON (o_orderkey) o_orderkey AS pr_id, o_custkey % 7 AS repo, o_orderstatus AS s, o_custkey AS x FROM orders ORDER BY o_orderkey, o_custkey DESC)
+SELECT p.pr_id, 'p' || repo AS project_key, CASE WHEN repo = 3 THEN '' ELSE 'r' END AS repo_slug, CASE s WHEN 'F' THEN 'MERGED' WHEN 'O' THEN 'OPEN' ELSE 'DECLINED' END AS state, CASE WHEN s <> 'O' THEN CAST(closed AS VARCHAR) END AS closed_on,
+  n AS files_changed, CAST(a AS BIGINT) AS lines_added, CAST(r AS BIGINT) AS lines_removed, greatest(p.x, coalesce(f.x, p.x), coalesce(c.x, p.x)) AS extracted_at
+FROM p LEFT JOIN f USING (pr_id) LEFT JOIN c USING (pr_id) WHERE greatest(p.x, coalesce(f.x, p.x), coalesce(c.x, p.x)) > 20""")
+def pull_requests_with_sizes(spark, d):
+    """Orders as pull requests, their line items as changed files and as activity."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    of = lambda k: [F.lit("t").alias("tenant_id"), F.lit("s").alias("source_id"), F.col(k).alias("pr_id")]
+    repo = F.col("o_custkey") % 7
+    name = F.concat(F.lit("p"), repo, F.when(repo == 3, "").otherwise("/r"))
+    state = F.when(F.col("o_orderstatus") == "F", "MERGED").when(F.col("o_orderstatus") == "O", "OPEN").otherwise("SUPERSEDED")
+    requests = o.select(*of("o_orderkey"), name.alias("repo_full_name"), state.alias("state"), F.col("o_orderdate").cast("string").alias("created_on"), F.col("o_custkey").alias("extracted_at"))
+    names = requests.select(F.col("pr_id").alias("l_orderkey"), "repo_full_name").distinct()
+    items = li.join(names, "l_orderkey")
+    files = items.where("l_orderkey % 5 <> 0").select(*of("l_orderkey"), "repo_full_name", F.col("l_linenumber").alias("lines_added"), (F.col("l_partkey") % 100).alias("lines_removed"), F.col("l_suppkey").alias("extracted_at"))
+    kind = F.when(F.col("l_linenumber") % 2 == 1, "update").otherwise("comment")
+    activity = items.select(*of("l_orderkey"), "repo_full_name", kind.alias("kind"), F.when(F.col("l_returnflag") == "N", "OPEN").otherwise("MERGED").alias("update_state"), F.col("l_shipdate").cast("string").alias("event_date"), F.col("l_partkey").alias("extracted_at"))
+    out = staging.pull_requests(requests, files, activity, F.lit(20))
+    return out.select("pr_id", "project_key", "repo_slug", "state", F.to_date("closed_on").cast("string").alias("closed_on"), "files_changed", "lines_added", "lines_removed", "extracted_at")
+
+
+@query("""WITH i AS (SELECT o_custkey AS id, max_by(o_orderkey, o_orderkey) AS k FROM orders GROUP BY 1), o AS (SELECT id, o_orderstatus AS s, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d, k FROM i JOIN orders ON o_orderkey = k AND o_custkey = id)
+SELECT CAST(id AS VARCHAR) AS issue_id, u.f AS field_id, u.v AS value_ids, u.w AS value_displays FROM (SELECT id, unnest([
+  {'f': 'status', 'v': s, 'w': 'S' || s}, {'f': 'priority', 'v': CASE WHEN k % 3 <> 0 THEN p ELSE '' END, 'w': CASE WHEN k % 3 <> 0 THEN 'P' || p ELSE '' END}, {'f': 'issuetype', 'v': '', 'w': ''}, {'f': 'resolution', 'v': '', 'w': ''}, {'f': 'assignee', 'v': 'a' || (k % 9), 'w': ''}, {'f': 'reporter', 'v': '', 'w': ''},
+  {'f': 'project', 'v': CASE WHEN k % 2 = 0 THEN 'PR' ELSE '' END, 'w': CASE WHEN k % 2 = 0 THEN 'PR' ELSE '' END}, {'f': 'parent', 'v': '', 'w': ''}, {'f': 'duedate', 'v': CAST(d AS VARCHAR), 'w': CAST(d AS VARCHAR)},
+  {'f': 'labels', 'v': CASE WHEN k % 4 = 0 THEN '' ELSE 'x|' || (k % 4) END, 'w': CASE WHEN k % 4 = 0 THEN '' ELSE 'x|' || (k % 4) END}]) AS u FROM o)""")
+def issue_field_snapshots(spark, d):
+    """Each customer's latest order as an issue whose fields are JSON."""
+    k = F.col("o_orderkey")
+    pair = lambda a, b, x, y: F.struct(x.alias(a), y.alias(b))
+    o = table(spark, d, "orders")
+    fields = F.struct(
+        pair("id", "name", F.col("o_orderstatus"), F.concat(F.lit("S"), "o_orderstatus")).alias("status"), F.when(k % 3 != 0, pair("id", "name", F.col("o_orderpriority"), F.concat(F.lit("P"), "o_orderpriority"))).alias("priority"),
+        F.struct(F.concat(F.lit("a"), k % 9).alias("accountId")).alias("assignee"), F.when(k % 4 != 0, F.array(F.lit("x"), (k % 4).cast("string"))).alias("labels"),
+    )
+    issues = o.select(F.lit("s").alias("source_id"), F.col("o_custkey").cast("string").alias("issue_id"), F.to_json(fields).alias("fields"), F.when(k % 2 == 0, "PR").alias("project_key"), F.lit(None).cast("string").alias("parent_id"), F.to_date("o_orderdate").alias("due_date"), k.alias("extracted_at"))
+    out = staging.field_snapshot(issues)
+    return out.select("issue_id", "field_id", *[F.array_join(c, "|").alias(c) for c in ("value_ids", "value_displays")])
