@@ -103,15 +103,15 @@ def _counted(points: DataFrame, probes: DataFrame, keys: list[str]) -> tuple[Dat
     return ranked.where("turn = 1").select(*keys, "id", F.col("n").alias("rank")), ranked.where("turn <> 1").select(*keys, "id", "side", F.col("n").alias("below"))
 
 
-def _starting_inside(outer: DataFrame, inner: DataFrame, keys: list[str], also_at_start: bool) -> DataFrame:
-    """Pairs (outer_id, inner_id) on a key where the inner interval begins within the outer one. Both: keys, s, e (microseconds), id."""
-    ends = F.array(F.struct(F.col("s").alias("x"), F.lit(0).alias("side"), F.lit(not also_at_start).alias("late")), F.struct(F.col("e").alias("x"), F.lit(1).alias("side"), F.lit(False).alias("late")))
+def _starting_inside(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, outer_id, inner_id: pairs on a key where the inner interval begins within the outer one, at its very start only if not `late`. outer: keys, s, e (microseconds), id, late; inner: keys, s, id."""
+    ends = F.array(F.struct(F.col("s").alias("x"), F.lit(0).alias("side"), F.col("late")), F.struct(F.col("e").alias("x"), F.lit(1).alias("side"), F.lit(False).alias("late")))
     points, probes = _counted(inner.select(*keys, F.col("s").alias("x"), "id"), outer.select(*keys, "id", F.inline(ends)), keys)
     ranges = probes.groupBy(*keys, "id").agg((F.max(F.when(F.col("side") == 0, F.col("below"))) + 1).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("below"))).alias("hi")).where("lo <= hi")
     blocks = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / _BLOCK), F.floor(F.col("hi") / _BLOCK))))
     inside = F.sequence(F.greatest("lo", F.col("b") * _BLOCK), F.least("hi", F.col("b") * _BLOCK + (_BLOCK - 1)))
     wanted = blocks.select(*keys, F.col("id").alias("outer_id"), F.explode(inside).alias("rank"))
-    return wanted.join(points.withColumnRenamed("id", "inner_id"), [*keys, "rank"]).select("outer_id", "inner_id")
+    return wanted.join(points.withColumnRenamed("id", "inner_id"), [*keys, "rank"]).select(*keys, "outer_id", "inner_id")
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
@@ -130,8 +130,10 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tupl
         return own, known.select(*keys, micros(start).alias("s"), F.coalesce(micros(end), F.lit(_FAR)).alias("e"), F.col("__id").alias("id"))
 
     (l_rows, l_spans), (r_rows, r_spans) = numbered(left, a, b, "left"), numbered(right, c, d, "right")
-    pairs = _starting_inside(r_spans, l_spans, keys, True).select(F.col("inner_id").alias("__l"), F.col("outer_id").alias("__r"))
-    pairs = pairs.unionByName(_starting_inside(l_spans, r_spans, keys, False).select(F.col("outer_id").alias("__l"), F.col("inner_id").alias("__r")))
+    way = lambda df, left_is_inner: df.withColumn("__inner", F.lit(left_is_inner))  # noqa: E731  both ways in one pass
+    outer = way(r_spans, True).withColumn("late", F.lit(False)).unionByName(way(l_spans, False).withColumn("late", F.lit(True)))
+    found = _starting_inside(outer, way(l_spans, True).unionByName(way(r_spans, False)), [*keys, "__inner"])
+    pairs = found.select(F.when(F.col("__inner"), F.col("inner_id")).otherwise(F.col("outer_id")).alias("__l"), F.when(F.col("__inner"), F.col("outer_id")).otherwise(F.col("inner_id")).alias("__r"))
     joined = pairs.join(l_rows.withColumnRenamed("__id", "__l"), "__l").join(r_rows.withColumnRenamed("__id", "__r").drop(*keys), "__r").drop("__l", "__r")
     joined = joined.where(((F.col(d).isNull()) | (F.col(a) < F.col(d))) & ((F.col(b).isNull()) | (F.col(c) < F.col(b))))
     order = [*keys, *[x for x in left.columns if x not in keys], *[x for x in right.columns if x not in keys]]
