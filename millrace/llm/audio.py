@@ -10,7 +10,8 @@ Texts become files in one pass, and the files are a table of the shared folder.
 stores the tensors in Parquet files of the shared folder, as a column of Arrow's fixed-shape tensor type beside their spans;
 each document's row names the file and the row group that it wrote, so files of lost attempts are never read. A third pass
 reads tensors back. Nothing is shuffled. Arithmetic is in double precision, and tensors hold fixed-point numbers, so that
-equal texts have equal values on unlike executors too.
+equal texts have equal values where the CPUs add alike; sums of unlike ones
+may differ in their last bits, which rounding to a 64th makes rare and does not rule out.
 """
 
 from __future__ import annotations

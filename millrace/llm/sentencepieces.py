@@ -2,9 +2,11 @@
 
 Three transducers are compiled from a model. The normaliser has a state for what was read before (nothing, a word, a space)
 and arcs that put out the mark U+2581 for spaces, one in front, or nothing. The pieces are a trie of arcs, one for each
-character, with the piece at its last one. The byte fallback has an arc for each of the 256 bytes, to that byte's piece; it
-takes the characters that no piece has. They are composed with an input lazily, place by place, and the shortest path in
-the tropical semiring (minimum of sums) is the encoding.
+character, with the piece at its last one. The byte fallback takes a character that no piece has, by one arc, and writes its
+bytes' pieces. The normaliser is applied to the input first: it has one path, so its output stands for the composition with
+it. That output is composed with pieces and fallback lazily, place by place, and the shortest path in the tropical
+semiring (minimum of sums) is the encoding; the fallback's bytes are written when the path is read back. So neither the
+normaliser's states nor the 256 byte arcs are nodes of the lattice that is searched, which has the pieces and one fallback arc.
 
 A unigram model's arcs weigh minus the piece's score. A BPE model's weights belong to pairs: a sequence of pieces is what
 merging gives if and only if merging each two neighbours' text gives just these two. So the arc of a piece weighs 0 after a
