@@ -57,6 +57,8 @@ def page(evidence: DataFrame, pairs: list[tuple[str, str]], filters: dict[str, l
     for key, values in (filters or {}).items():
         rows = rows.where(carries(F.col("dimensions"), key, values))
     if after:
+        if after[0]:
+            rows = rows.where(F.col("metric_date") >= F.lit(after[0]).cast("date"))  # for the scan; the whole key is compared below
         rows = rows.where(F.struct(*_text_key()) > F.struct(*[F.lit(v).alias(k) for k, v in zip(KEY, after, strict=True)]))
     return rows.orderBy(*_text_key()).limit(size + 1)
 
