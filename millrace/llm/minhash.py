@@ -17,6 +17,9 @@ Two documents are linked if the Jaccard similarity of their sets of 5-word shing
    component; these meet again, in blocks of their own, with their full sets, and pairs are confirmed inside the task. A
    pair is tried in the first band alone that both share, and only links that join components are put out. No bucket is
    capped, and no task holds more than some blocks of two.
+6. Blocks against blocks are as many as the product of their numbers, and pages that share a frame and nothing else are all
+   in one bucket and never linked. So of buckets of several blocks the members that no pair can have go first, by an exact
+   bound (`_parted`): what a set has alone is in no intersection and in each union.
 """
 
 from __future__ import annotations
@@ -167,6 +170,15 @@ def _sets(batches):
             yield pa.record_batch({"id": piece.column(0).cast(pa.int64()), "elements": pa.array([s.tobytes() for s in shingle_sets(piece.column(1))], pa.binary())})
 
 
+def _exploded(batches):
+    for batch in batches:
+        for piece in pieces(batch, 2):
+            sets = shingle_sets(piece.column(2))
+            size = np.array([len(s) for s in sets])
+            ids, component = (np.repeat(piece.column(c).to_numpy(), size) for c in (0, 1))
+            yield pa.record_batch({"shingle": pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)), "id": pa.array(ids), "component": pa.array(component)})
+
+
 def _similar(x: np.ndarray, y: np.ndarray, hundredths: int) -> bool:
     if min(len(x), len(y)) * 100 < hundredths * max(len(x), len(y)):
         return False
@@ -261,18 +273,49 @@ def _chunks(members, outside) -> tuple:
     return F.ceil(members / BLOCK).cast("int").alias("chunks"), F.ceil(outside / BLOCK).cast("int").alias("pchunks")
 
 
+def _alone(shingles: DataFrame) -> DataFrame:
+    """shingle, id, component -> id, alone: how many of its shingles no other component has. Those that three ids or more have aren't counted, so that one grouping, which combines before its shuffle, is all."""
+    of = shingles.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    return of.where("n <= 2 and low = high").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _parted(rows: DataFrame, alone: DataFrame, hundredths: int) -> DataFrame:
+    """Crowded buckets (key, band, id, component, outside) and `alone` (id, alone, n_shingles) -> those rows that a pair can have, with listed, chunks, pchunks.
+
+    Let a set have `alone` shingles that no other component has, and `rest` others. Two sets of two components have at most the
+    smaller `rest` in common, so they are linked only if t * (both alone) <= (1 - t) * (smaller rest). A set with
+    2 t * alone > (1 - t) * rest is heavy: no two heavy sets are linked, nor a heavy one where even the light set with the
+    fewest alone is too much for it. So each bucket becomes two: light probes with all members, and (its key's
+    complement) heavy probes with the light members of the largest component. An id without a row in `alone` is light.
+    """
+    rated = rows.join(alone, "id", "left").withColumn("rest", F.col("n_shingles") - F.col("alone")).withColumn("alone", F.coalesce("alone", F.lit(0)))
+    rated = saved(rated.withColumn("heavy", F.coalesce(F.expr(f"{2 * hundredths} * alone > {100 - hundredths} * rest"), F.lit(False))).drop("n_shingles"), "minhash_rated")
+    fewest = rated.groupBy("key").agg(F.min(F.when(~F.col("heavy"), F.col("alone"))).alias("fewest"))
+    left = rated.join(fewest, "key").where(f"not heavy or {hundredths} * (alone + fewest) <= {100 - hundredths} * rest").drop("alone", "rest", "fewest")
+    light = left.withColumn("outside", F.expr("outside and not heavy")).withColumn("listed", F.lit(True))
+    heavy = left.where("outside = heavy").withColumn("key", F.bitwise_not("key")).withColumn("listed", ~F.col("heavy"))
+    both = light.unionByName(heavy).drop("heavy")
+    return both.join(_counted(both).select("key", "chunks", "pchunks"), "key")
+
+
+def _counted(rows: DataFrame, *more) -> DataFrame:
+    """How many blocks members and probes have, of the buckets that have both."""
+    return rows.groupBy("key").agg(*_chunks(F.count_if("listed"), F.count_if("outside")), *more).where("chunks > 0 and pchunks > 0")
+
+
 def _in_blocks(rows: DataFrame, beside: DataFrame) -> DataFrame:
-    """key, band, id, component, outside, chunks, pchunks -> blocks of a bucket's members with each block of its probes.
+    """key, band, id, component, outside, listed, chunks, pchunks -> blocks of a bucket's members with each block of its probes.
 
-    A member is once in each pair of blocks that its block is part of, so rows are as many as blocks times members. `beside`
-    has what blocks need of each id; it is joined before rows are repeated, so only the grouping moves the repeated ones.
+    Members are the rows that are listed, probes those outside. A member is once in each pair of blocks that its block is
+    part of, so rows are as many as blocks times members. `beside` has what blocks need of each id; it is joined before
+    rows are repeated, so only the grouping moves the repeated ones.
     """
     chunk, pchunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.pmod(F.xxhash64("id"), F.col("pchunks")).cast("int")
     place = lambda c, p, probe: F.struct(c.alias("chunk"), p.alias("pchunk"), F.lit(probe).alias("probe"))
     each = lambda n, to: F.transform(F.sequence(F.lit(0), F.col(n) - 1), to)
-    member = each("pchunks", lambda p: place(chunk, p, False))
-    places = F.when(F.col("outside"), F.concat(member, each("chunks", lambda c: place(c, pchunk, True)))).otherwise(member)
-    return rows.join(beside, "id").withColumn("place", F.explode(places)).select("*", "place.*").drop("chunks", "pchunks", "place")
+    member, probe = each("pchunks", lambda p: place(chunk, p, False)), each("chunks", lambda c: place(c, pchunk, True))
+    places = F.when(~F.col("listed"), probe).when(F.col("outside"), F.concat(member, probe)).otherwise(member)
+    return rows.join(beside, "id").withColumn("place", F.explode(places)).select("*", "place.*").drop("listed", "chunks", "pchunks", "place")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, text_key: str | None = None) -> DataFrame:
@@ -302,10 +345,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(hundredths) * F.greatest("n_a", "n_b"))
         return x.select("a", "b", "sig_a", "sig_b", F.greatest("filled_a", "filled_b").alias("filled")).mapInArrow(_likely(threshold), "a long, b long")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def asked(ids: DataFrame) -> DataFrame:
         ids = saved(ids.distinct(), "minhash_ids")
-        ids = F.broadcast(ids) if ids.count() <= IDS else ids
-        return saved(texts.join(ids, "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
+        return F.broadcast(ids) if ids.count() <= IDS else ids
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return saved(texts.join(asked(ids), "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
+
+    def alone_of(members: DataFrame) -> DataFrame:
+        """_alone of ids (id, component) that have one set each, with its size. Of others the sets would be taken together."""
+        members = asked(members)
+        counted = _alone(texts.join(members, "id").select("id", "component", "text").mapInArrow(_exploded, "shingle long, id long, component long"))
+        one = some.join(members, "id").groupBy("id").agg(F.min("key_a").alias("low"), F.max("key_a").alias("high"), F.min("n_shingles").alias("n_shingles")).where("low = high")
+        return saved(counted.join(one.select("id", "n_shingles"), "id"), "minhash_alone")
 
     star = crowded.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     pairs = saved(likely(star), "minhash_pairs")
@@ -320,19 +372,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A bucket of two is its star, which step 4 has tested.
     split = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1 and n > 2")
     split = split.select("key", F.col("most.component").alias("main"), *_chunks(F.col("n"), F.col("n") - F.col("most.n")))
-    open_ = saved(placed.join(split, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main"), "minhash_open")
+    open_ = saved(placed.join(split, "key").withColumn("outside", F.col("component") != F.col("main")).drop("main").withColumn("listed", F.lit(True)), "minhash_open")
+    crowd = open_.where("chunks > 1")
+    if not crowd.isEmpty():
+        alone = alone_of(crowd.select("id", "component"))
+        parted = _parted(crowd.drop("listed", "chunks", "pchunks"), alone, hundredths)
+        open_ = saved(open_.where("chunks = 1").unionByName(parted), "minhash_open")
+        forget(crowd, alone)
 
     def in_groups(blocks: DataFrame, total):
         groups = max(1, round((total or 0) / GROUP))
         return blocks.groupBy(F.pmod(F.xxhash64("key", "chunk", "pchunk"), F.lit(groups)).alias("g"))
 
-    total = open_.agg(F.sum(F.lit(4 * BINS + 64) * (F.col("pchunks") + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0]
+    total = open_.agg(F.sum(F.lit(4 * BINS + 64) * (F.when(F.col("listed"), F.col("pchunks")).otherwise(0) + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0]
     likely_ones = in_groups(_in_blocks(open_, sig), total).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
     likely_ones = saved(likely_ones.distinct(), "minhash_likely")
     if not likely_ones.isEmpty():
         again = saved(open_.drop("chunks", "pchunks").join(likely_ones, ["key", "id"]), "minhash_again")
         size = F.col("n_shingles") * 8 + 4 * BINS + 64
-        own = again.groupBy("key").agg(*_chunks(F.count("*"), F.count_if("outside")), F.sum(size).alias("all"), F.sum(F.when(F.col("outside"), size).otherwise(0)).alias("probes")).where("pchunks > 0")
+        own = _counted(again, *(F.sum(F.when(F.col(c), size).otherwise(0)).alias(to) for c, to in (("listed", "all"), ("outside", "probes"))))
         total = own.agg(F.sum(F.col("pchunks") * F.col("all") + F.col("chunks") * F.col("probes"))).first()[0]
         sets = sets_of(again.select("id"))
         blocks = _in_blocks(again.join(own.select("key", "chunks", "pchunks"), "key"), sets.join(sig.drop("n_shingles"), "id"))

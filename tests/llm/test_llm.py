@@ -151,6 +151,64 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert by_id(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == linked(rows)
 
 
+def _framed(r, frame, own):
+    """A page of `own` words of its own, most of them in one stretch, after a frame that others have too."""
+    return " ".join([*frame, *(f"o{r.randrange(10**9)}" for _ in range(own))])
+
+
+def test_near_duplicates_of_framed_pages(spark, monkeypatch):
+    """Pages of one frame: with too many words of their own for a link, with few, with near copies, shared ids, repeated rows."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    r = random.Random(12)
+    frame = [f"f{k}" for k in range(80)]
+    rows = [(k, _framed(r, frame, own)) for k, own in enumerate([20] * 30 + [10, 12] * 8 + [r.randrange(17, 40) for _ in range(30)])]
+    for k in range(12):  # families of two to four near copies that are linked with no other
+        page = _framed(r, frame, 22).split()
+        for n in range(2 + k % 3):
+            rows.append((200 + 10 * k + n, " ".join([*page[:-1], f"x{n}"])))
+    rows += [(400, rows[3][1]), (5, rows[3][1]), (6, _framed(r, frame, 20)), (7, rows[7][1])]
+    r.shuffle(rows)
+    got = {(x["doc_id"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at, unlike = {}, []  # an id of several texts has the links of each: its texts as documents of their own, then joined
+    for k, (i, text) in enumerate(rows):
+        at[k] = i
+        unlike.append((k, text))
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, _, c, _ in linked(unlike):
+        x, y = find(at[k]), find(at[c])
+        root[max(x, y)] = min(x, y)
+    assert got == {(i, find(i)) for i, _ in rows}
+    assert 60 < len({find(i) for i in root}) < len(root) - 20
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_rows_of_framed_pages_grow_with_the_pages(spark, monkeypatch, copies):
+    """Pages that share four fifths of their words and no link, alone or in pairs of near copies: no blocks against blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    made = []
+    plain = minhash._in_blocks
+
+    def counted(rows, beside):
+        made.append(plain(rows, beside).count())
+        return plain(rows, beside)
+
+    monkeypatch.setattr(minhash, "_in_blocks", counted)
+    for pages in (100, 400):
+        r, rows = random.Random(3), []
+        for k in range(pages // copies):
+            page = _framed(r, [f"f{k}" for k in range(160)], 40)
+            rows += [(copies * k + n, page if not n else f"{page} y{n}") for n in range(copies)]
+        out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({x["component_id"] for x in out}) == pages // copies
+    assert sum(made) <= 1_000
+
+
 def test_components(spark):
     """Against union-find: a long chain, a star with many leaves, a cycle, repeated and reversed links, a loop."""
     from millrace.llm.graph import components
