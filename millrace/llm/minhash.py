@@ -273,10 +273,22 @@ def _chunks(members, outside) -> tuple:
     return F.ceil(members / BLOCK).cast("int").alias("chunks"), F.ceil(outside / BLOCK).cast("int").alias("pchunks")
 
 
-def _alone(shingles: DataFrame) -> DataFrame:
-    """shingle, id, component -> id, alone: how many of its shingles no other component has. Those that three ids or more have aren't counted, so that one grouping, which combines before its shuffle, is all."""
-    of = shingles.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    return of.where("n <= 2 and low = high").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("alone"))
+def _alone(shingles: DataFrame, sets: DataFrame) -> DataFrame:
+    """shingle, id, component, and of each set (sets) id, component, key_a, n_shingles -> id, alone, n_shingles.
+
+    `alone` is a number of its shingles that no other component has: those that one or two rows have, and those that all
+    sets of the component have. The others would take a join of all shingles; without them the bound is weaker, not wrong.
+    So one grouping, which combines before its shuffle, is all. Ids of several sets give no row.
+    """
+    of = shingles.groupBy("shingle").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("component").alias("component"), F.max("component").alias("high"), F.count("*").alias("n")).where("component = high")
+    whose = F.when(F.col("n") <= 2, F.array_distinct(F.array("a", "b"))).otherwise(F.array(F.lit(None).cast("long")))
+    tally = saved(of.select("component", "n", F.explode(whose).alias("id")).groupBy("component", "n", "id").agg(F.count("*").alias("shingles")), "minhash_tally")
+    few = tally.where("id is not null").groupBy("id").agg(F.sum("shingles").alias("few"))
+    size = sets.groupBy("component").agg(F.count("*").alias("n"))
+    core = tally.where("id is null").join(size, ["component", "n"]).select("component", F.col("shingles").alias("core"))
+    one = sets.groupBy("id", "component").agg(F.min("key_a").alias("low"), F.max("key_a").alias("high"), F.min("n_shingles").alias("n_shingles")).where("low = high")
+    found = one.join(few, "id", "left").join(core, "component", "left")
+    return found.select("id", (F.coalesce("few", F.lit(0)) + F.coalesce("core", F.lit(0))).alias("alone"), "n_shingles").where("alone > 0")
 
 
 def _parted(rows: DataFrame, alone: DataFrame, hundredths: int) -> DataFrame:
@@ -353,11 +365,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return saved(texts.join(asked(ids), "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
 
     def alone_of(members: DataFrame) -> DataFrame:
-        """_alone of ids (id, component) that have one set each, with its size. Of others the sets would be taken together."""
         members = asked(members)
-        counted = _alone(texts.join(members, "id").select("id", "component", "text").mapInArrow(_exploded, "shingle long, id long, component long"))
-        one = some.join(members, "id").groupBy("id").agg(F.min("key_a").alias("low"), F.max("key_a").alias("high"), F.min("n_shingles").alias("n_shingles")).where("low = high")
-        return saved(counted.join(one.select("id", "n_shingles"), "id"), "minhash_alone")
+        shingles = texts.join(members, "id").select("id", "component", "text").mapInArrow(_exploded, "shingle long, id long, component long")
+        return saved(_alone(shingles, some.join(members, "id").select("id", "component", "key_a", "n_shingles")), "minhash_alone")
 
     star = crowded.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     pairs = saved(likely(star), "minhash_pairs")
