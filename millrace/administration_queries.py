@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import administration as admin
+from .operators import identity
 from .operators.identity import EXCLUDED
 from .queries import query
 from .runtime import table
@@ -83,3 +84,33 @@ def operator_decisions(spark, d):
     wanted = folded.select(*admin.ACCOUNT, F.concat(F.lit("B"), F.col("account_id").cast("long") % 36).alias("person_id"))
     out = admin.decide(wanted, bindings, journal, F.lit(_AT).cast("timestamp"))
     return out.select("source_type", "account_id", "person_id", "outcome", F.unix_micros("created_at").cast("string").alias("created_at"))
+
+
+_O = f"""o AS (SELECT 'P' || (o_custkey % 90) AS person_id, ['git-hub', 'hr_system', 'chat'][o_custkey % 3 + 1] AS source_type, 's' AS source_id, [{', '.join(f"'{k}'" for k in _KINDS)}][o_orderkey % 7 + 1] AS value_type,
+  CASE WHEN o_orderkey % 7 = 5 THEN CASE WHEN o_orderkey % 4 > 0 THEN 'A' || (o_custkey % 60) END WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'V' || (o_orderkey % 1000) END AS value, o_orderkey // 8 AS created_at, o_orderkey AS id FROM orders)"""
+
+
+def _observations(spark, d):
+    """An observation for each order: every third is blank, up to eight have one instant."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), n.cast("int") + 1)
+    account = F.when(k % 4 > 0, F.concat(F.lit("A"), c % 60))
+    value = F.when(k % 7 == 5, account).when(k % 3 == 0, " ").otherwise(F.concat(F.lit("V"), k % 1000))
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("P"), c % 90).alias("person_id"), pick(("git-hub", "hr_system", "chat"), c % 3).alias("source_type"), F.lit("s").alias("source_id"),
+        pick(_KINDS, k % 7).alias("value_type"), value.alias("value"), F.floor(k / 8).alias("created_at"), k.alias("id"),
+    )
+
+
+@query(f"""WITH {_O}, r AS (SELECT *, row_number() OVER (PARTITION BY source_type, source_id, value, created_at ORDER BY id DESC) AS n FROM o WHERE value_type = 'id' AND value IS NOT NULL)
+SELECT source_type, source_id, value AS account_id, person_id, created_at AS valid_from, lead(created_at) OVER (PARTITION BY source_type, source_id, value ORDER BY created_at) AS valid_to FROM r WHERE n = 1""")
+def account_persons(spark, d):
+    return identity.account_persons(_observations(spark, d))
+
+
+@query(f"""WITH {_O}, c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY person_id, source_type, source_id, value_type ORDER BY created_at DESC, id DESC) = 1),
+l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY person_id, value_type ORDER BY created_at DESC, id DESC) = 1),
+p AS (SELECT person_id, {', '.join(f"nullif(trim(max(value) FILTER (value_type = '{k}')), '') AS {k}" for k in _KINDS[:5])} FROM l WHERE value_type IN ({', '.join(f"'{k}'" for k in _KINDS[:5])}) GROUP BY 1)
+SELECT person_id, coalesce(display_name, nullif(concat_ws(' ', first_name, last_name), ''), username, email) AS label FROM p""")
+def latest_labels(spark, d):
+    return identity.labels(_observations(spark, d))

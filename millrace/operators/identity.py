@@ -134,15 +134,44 @@ def email_to_person(observations: DataFrame) -> DataFrame:
     return e.groupBy("email").agg(F.min("person_id").alias("person_id"), F.max("person_id").alias("x")).where("person_id = x").drop("x")
 
 
+def _order(observations: DataFrame) -> list[str]:
+    """What tells later observations from earlier ones; `id` decides within an instant where there is one."""
+    return ["created_at", *(c for c in ("id",) if c in observations.columns)]
+
+
+def current_values(observations: DataFrame) -> DataFrame:
+    """person_id, source_type, source_id, value_type, value, and when: the latest observation of each kind that each source has of a person, blank ones too. Repeats of an instant without an id: the greatest value."""
+    order = _order(observations)
+    best = F.max(F.struct(*order, "value")).alias("x")
+    return observations.groupBy("person_id", "source_type", "source_id", "value_type").agg(best).select("person_id", "source_type", "source_id", "value_type", "x.value", *(f"x.{c}" for c in order))
+
+
 def labels(observations: DataFrame) -> DataFrame:
-    """person_id, label: display name, else first and last name, else username, else address, of the latest observations."""
-    o = observations.where(F.col("value_type").isin("display_name", "first_name", "last_name", "username", "email") & (F.trim("value") != ""))
-    at = lambda t: F.max(F.when(F.col("value_type") == t, F.struct("created_at", "value")))["value"].alias(t)
-    p = o.groupBy("person_id").agg(*map(at, ["display_name", "first_name", "last_name", "username", "email"]))
-    full = F.nullif(F.trim(F.concat_ws(" ", "first_name", "last_name")), F.lit(""))
+    """person_id, label: display name, else first and last name, else username, else address, of the latest over all sources.
+
+    A blank value counts when the latest is looked for and leaves its kind out then, so that no value shows which its source
+    has taken back. People of whom nothing is left have a null label.
+    """
+    kinds = ["display_name", "first_name", "last_name", "username", "email"]
+    now = current_values(observations.where(F.col("value_type").isin(kinds)))
+    latest = lambda t: F.nullif(F.trim(F.max(F.when(F.col("value_type") == t, F.struct(*_order(now), "value")))["value"]), F.lit("")).alias(t)
+    p = now.groupBy("person_id").agg(*map(latest, kinds))
+    full = F.nullif(F.concat_ws(" ", "first_name", "last_name"), F.lit(""))
     return p.select("person_id", F.coalesce("display_name", full, "username", "email").alias("label"))
 
 
+def account_persons(observations: DataFrame) -> DataFrame:
+    """source_type, source_id, account_id, person_id, valid_from, valid_to: to whom each account belonged, by its `id` observations.
+
+    Of those of one instant the last by `id` counts; a period ends where the account's next one begins, also where both name
+    the same person. Null accounts have none. A window sorts the observations of one account, which can spill.
+    """
+    own = observations.where("value_type = 'id' and value is not null").withColumnRenamed("value", "account_id")
+    last = own.groupBy(*ACCOUNT, "created_at").agg(F.max_by("person_id", "id").alias("person_id"))
+    ends = F.lead("created_at").over(Window.partitionBy(*ACCOUNT).orderBy("created_at"))
+    return last.select(*ACCOUNT, "person_id", F.col("created_at").alias("valid_from"), ends.alias("valid_to"))
+
+
 def org_edges(status: DataFrame, parents: DataFrame) -> DataFrame:
     """person_id, parent_id, valid_from, valid_to: whom each person reports to, while it is active.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import administration as admin
+from millrace.operators import identity
 from millrace.operators.identity import EXCLUDED
 
 INPUT = "source_type string, source_id string, account_id string, value_type string, value string, is_delete boolean, synced_at int, version int"
@@ -103,3 +104,29 @@ def test_decisions(spark):
     for pair in (("P1", "P1"), ("P1", EXCLUDED), ("P1", "nobody")):
         with pytest.raises(admin.Refused):
             admin.merge(*pair, people, bindings, journal, at)
+
+
+OBSERVED = "person_id string, source_type string, source_id string, value_type string, value string, created_at int, id int"
+
+
+def test_labels_and_current_values(spark):
+    """Against loops: blank and null values that take a source's or all sources' value back, equal instants."""
+    r = random.Random(9)
+    kinds = ["display_name", "first_name", "last_name", "username", "email", "id"]
+    rows = [(f"p{r.randrange(12)}", r.choice("ab"), "s", r.choice(kinds), r.choice([None, "", " ", "x", "y ", "z"]), r.randrange(6), i) for i in range(250)]
+    df = spark.createDataFrame(rows, OBSERVED)
+    each = {x[:4]: x for x in sorted(rows, key=lambda x: x[5:])}
+    assert sorted(map(tuple, identity.current_values(df).collect()), key=str) == sorted(each.values(), key=str)
+    last = {(x[0], x[3]): (x[4] or "").strip() for x in sorted(rows, key=lambda x: x[5:])}
+    want = {}
+    for p in {x[0] for x in rows if x[3] != "id"}:
+        display, first, family, user, mail = (last.get((p, k), "") for k in kinds[:5])
+        want[p] = display or " ".join(filter(None, [first, family])) or user or mail or None
+    assert {x["person_id"]: x["label"] for x in identity.labels(df).collect()} == want
+    assert identity.labels(df.limit(0)).count() == 0
+
+
+def test_account_persons(spark):
+    rows = [("p", "a", "s", "id", "1", 5, 1), ("q", "a", "s", "id", "1", 5, 2), ("q", "a", "s", "id", "1", 7, 3), ("p", "a", "s", "id", "1", 9, 4), ("p", "a", "s", "id", None, 9, 5), ("p", "b", "s", "id", "1", 1, 6), ("p", "a", "s", "email", "1", 6, 7)]
+    got = {tuple(x) for x in identity.account_persons(spark.createDataFrame(rows, OBSERVED)).collect()}
+    assert got == {("a", "s", "1", "q", 5, 7), ("a", "s", "1", "q", 7, 9), ("a", "s", "1", "p", 9, None), ("b", "s", "1", "p", 1, None)}
