@@ -150,10 +150,11 @@ def labels(observations: DataFrame) -> DataFrame:
     """person_id, label: display name, else first and last name, else username, else address, of the latest over all sources.
 
     A blank value counts when the latest is looked for and leaves its kind out then, so that no value shows which its source
-    has taken back. People of whom nothing is left have a null label.
+    has taken back. People of whom nothing is left have a null label. The latest of each source's latest is the latest of
+    all, so sources need no grouping of their own here.
     """
     kinds = ["display_name", "first_name", "last_name", "username", "email"]
-    now = current_values(observations.where(F.col("value_type").isin(kinds)))
+    now = observations.where(F.col("value_type").isin(kinds))
     latest = lambda t: F.nullif(F.trim(F.max(F.when(F.col("value_type") == t, F.struct(*_order(now), "value")))["value"]), F.lit("")).alias(t)
     p = now.groupBy("person_id").agg(*map(latest, kinds))
     full = F.nullif(F.concat_ws(" ", "first_name", "last_name"), F.lit(""))
