@@ -69,6 +69,17 @@ def _weights(y: np.ndarray, trust: np.ndarray) -> np.ndarray:
     return trust * np.where(y > 0, 0.5 / max((trust * y).sum(), 1e-9), 0.5 / max((trust * (1 - y)).sum(), 1e-9))
 
 
+def _stretches(rows: list[np.ndarray], most: int = 1 << 17):
+    """Stretches of rows with about `most` entries, one row at least: the slice of rows, their sizes and their entries. What a fit in the driver computes for each entry it holds for one stretch at a time."""
+    size = np.cumsum([len(r) for r in rows])
+    first, done = 0, 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(size, done + most, "right")))
+        some = rows[first:last]
+        yield slice(first, last), np.array([len(r) for r in some]), np.concatenate(some)
+        first, done = last, size[last - 1]
+
+
 @dataclass
 class TextModel:
     weights: np.ndarray
@@ -76,20 +87,27 @@ class TextModel:
     @classmethod
     def fit(cls, rows: list[np.ndarray], y: np.ndarray, trust: np.ndarray, steps: int = 60, rate: float = 0.2, l2: float = 1e-4) -> TextModel:
         """Presence of a bucket, scaled by how much more often one class has it, then logistic weights."""
-        doc, bucket = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-        good, bad = (np.bincount(bucket, weights=(trust * c)[doc], minlength=WIDTH) for c in (y, 1 - y))
+        good, bad = np.zeros(WIDTH), np.zeros(WIDTH)
+        for some, sizes, bucket in _stretches(rows):
+            for total, c in ((good, y), (bad, 1 - y)):
+                total += np.bincount(bucket, weights=np.repeat((trust * c)[some], sizes), minlength=WIDTH)
         ratio = np.log((good + 1) / ((trust * y).sum() + 2)) - np.log((bad + 1) / ((trust * (1 - y)).sum() + 2))
         ratio[good + bad < min(4, len(rows) / 20)] = 0
-        tells = ratio[bucket] != 0
-        doc, bucket = doc[tells], bucket[tells]
-        use, slot = np.unique(bucket, return_inverse=True)
-        value = ratio[use][slot]
+        use = np.flatnonzero(ratio)
+        value, place = ratio[use], np.zeros(WIDTH, np.int32)
+        place[use] = np.arange(len(use))
+        slots = list(_stretches([place[r[ratio[r] != 0]] for r in rows]))
         weight = _weights(y, trust)
         w, m, v = np.zeros(len(use) + 1), 0.0, 0.0
         for t in range(1, steps + 1):  # gradient steps with adaptive rates
-            odds = np.bincount(doc, weights=w[slot] * value, minlength=len(rows)) + w[-1]
-            off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) * weight
-            g = np.append(np.bincount(slot, weights=off[doc] * value, minlength=len(use)), off.sum()) + l2 * w
+            scaled, g = w[:-1] * value, np.zeros(len(use) + 1)
+            for some, sizes, slot in slots:
+                odds = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=scaled[slot], minlength=len(sizes)) + w[-1]
+                off = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y[some]) * weight[some]
+                g[:-1] += np.bincount(slot, weights=np.repeat(off, sizes), minlength=len(use))
+                g[-1] += off.sum()
+            g[:-1] *= value
+            g += l2 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         out = np.zeros(WIDTH + 1)
@@ -100,7 +118,7 @@ class TextModel:
         return np.bincount(doc, weights=self.weights[bucket], minlength=n) + self.weights[-1]
 
     def of(self, rows: list[np.ndarray]) -> np.ndarray:
-        return self.score(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows), len(rows))
+        return np.concatenate([self.score(np.repeat(np.arange(len(sizes)), sizes), bucket, len(sizes)) for _, sizes, bucket in _stretches(rows)])
 
 
 @dataclass
@@ -116,7 +134,7 @@ class MetaModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, trust: np.ndarray) -> MetaModel:
-        x = np.asarray(x)
+        x = np.asarray(x, np.float64)
         mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
         mean[_SHAPE:], spread[_SHAPE:] = 0, 1
         z = cls._wide(np.clip((x - mean) / spread, -6, 6))
@@ -194,7 +212,7 @@ def fitted(views, labels: dict[int, int], given: list[dict[int, int]], trust: fl
         out = set(fold)
         text, page = _models(views, {k: v for k, v in labels.items() if k not in out}, given, trust)
         a.append(text.of([views[k][0] for k in fold]))
-        b.append(page.of(np.array([views[k][1] for k in fold])))
+        b.append(page.of(np.array([views[k][1] for k in fold], np.float64)))
         y += [labels[k] for k in fold]
     scores, y = (np.concatenate(a), np.concatenate(b)), np.array(y, float)
     model = Model(*_models(views, labels, given, trust), [tuple(_platt([_squashed(x)], y)) for x in scores], np.zeros(3))
@@ -220,7 +238,7 @@ def _seen(keyed: DataFrame, some: DataFrame) -> dict[int, tuple[int, np.ndarray,
     """key -> label, buckets, meta of the documents in `some` (key, label: a bounded number), one row for each key, in order of key."""
     one = keyed.join(F.broadcast(some), "key").dropDuplicates(["key"]).select("key", "label", "text", "lang", "source")
     rows = one.mapInArrow(_views, "key long, label int, buckets binary, meta binary").collect()
-    return {r["key"]: (r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["meta"], np.float32).astype(np.float64)) for r in sorted(rows)}
+    return {r["key"]: (r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["meta"], np.float32)) for r in sorted(rows)}
 
 
 def _scored(keyed: DataFrame, model: Model) -> DataFrame:

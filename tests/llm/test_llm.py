@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -493,6 +494,26 @@ def test_quality(spark, none):
     assert cotrain.score_quality(df.limit(0), labels).count() == 0
 
 
+def test_text_model_is_fitted_by_stretches(monkeypatch):
+    """What the driver holds for each entry while it fits is its place alone; all else is of one stretch. The weights don't depend on where stretches end."""
+    r = np.random.default_rng(9)
+    y = (r.random(3_000) < 0.7).astype(float)
+    rows = [np.unique(r.integers(0, 20_000, 800) + 3_000 * int(label)).astype(np.int32) for label in y]
+    trust = np.where(r.random(3_000) < 0.3, 0.25, 1.0)
+    tracemalloc.start()
+    model = cotrain.TextModel.fit(rows, y, trust, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(map(len, rows)), peak
+    few = [rows[0][:0], *rows[:40], rows[0][:0]]
+    told, sure = np.concatenate([[1.0], y[:40], [0.0]]), np.ones(42)
+    whole = cotrain.TextModel.fit(few, told, sure)
+    monkeypatch.setattr(cotrain._stretches, "__defaults__", (1_000,))
+    assert np.allclose(cotrain.TextModel.fit(few, told, sure).weights, whole.weights, atol=1e-9)
+    assert np.allclose(whole.of(few), [whole.weights[x].sum() + whole.weights[-1] for x in few])
+    assert len(model.of(rows)) == 3_000
+
+
 def test_quality_of_held_out_labels(spark):
     """Trained on half of the labels; the other half tells how good it is. Repeated rows are no further labels."""
     sf = "/root/testdata/sf0.1"
