@@ -76,10 +76,11 @@ def issue_replay_stream(spark, d):
     """The same changes as a stream of files in no order, from empty sets: they come out sorted, once a last event has moved the watermark."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     changes = _label_changes(spark, d)
-    changes.repartition(3).write.parquet(f"{base}/in")
+    files = max(3, spark.sparkContext.defaultParallelism)
+    changes.repartition(files).write.parquet(f"{base}/in")
     end = changes.agg(F.max("event_at").alias("m")).select(*[(F.col("m") + F.expr("INTERVAL 20000 DAYS") if c == "event_at" else F.lit(None).cast(t) if c in ("before", "after") else F.lit("-1").cast(t) if t == "string" else F.lit(True)).alias(c) for c, t in changes.dtypes])
     end.write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", (files + 2) // 2).parquet(f"{base}/in")
     replay.write_history(stream, f"{base}/out", f"{base}/checkpoint", lateness="10000 days").awaitTermination()
     return _labels(spark.read.parquet(f"{base}/out"))
 
