@@ -19,6 +19,7 @@ is that of its stretches; each distinct short one is composed once and remembere
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -50,8 +51,8 @@ class Normaliser:
         else:
             self.arcs = {(s, space): ((front if s == self.START else "") + MARK * space, not space, self.WORD) for s in (self.START, self.WORD) for space in (True, False)}
         loop = {space: self.arcs[self.WORD, space] for space in (True, False)}
-        #: A text whose arcs after the first all stay in one state is rewritten character by character at once.
-        self.table = {ord(" "): loop[True][0]} if loop[True][2] == loop[False][2] == self.WORD and not loop[False][0] else None
+        #: What stands for a space in a text whose arcs after the first all stay in one state: the rest is rewritten at once.
+        self.table = loop[True][0] if loop[True][2] == loop[False][2] == self.WORD and not loop[False][0] else None
 
     def __call__(self, text: str) -> str:
         """What the only path of a text puts out."""
@@ -60,7 +61,7 @@ class Normaliser:
         out, state = [], self.START
         for i, c in enumerate(text):
             if state == self.WORD and self.table is not None:
-                out.append(text[i:].translate(self.table))
+                out.append(text[i:].replace(" ", self.table))
                 break
             before, itself, state = self.arcs[state, c == " "]
             out.append(before + c * itself)
@@ -103,6 +104,8 @@ class Transducer:
                     self.piece.append(-1)
                 node = self.next[node][c]
             self.piece[node] = i
+        #: Each character of a piece is a piece, so merging leaves nothing but pieces and characters that no piece begins with.
+        self.whole = self.merging and all(c in self.ids for c in set("".join(self.ids)))
         self.known: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.fallen: dict[str, tuple[int, ...]] = {}
@@ -140,8 +143,60 @@ class Transducer:
             return False  # these two would merge
         return self.merged(a + b) == [a, b]
 
+    def follow(self, text: str) -> bytes | None:
+        """The ids on the finite path of a normalised text where the model merges and each character of a piece is one, 32 bits each.
+
+        The search goes by the longest arc first and comes back where no arc may follow. A place has one finite path, so it is
+        gone on from once; places beside the path are mostly never seen. None if there is no such path.
+        """
+        n, arcs, ends, pairs = len(text), self.next, self.piece, self.pairs
+        i, last, path, seen = 0, -1, [], set()  # path: place, piece before it and the arcs not tried there
+        while i < n:
+            node, ahead, open_arcs = 0, i, []
+            while ahead < n:
+                node = arcs[node].get(text[ahead])
+                if node is None:
+                    break
+                ahead += 1
+                if ends[node] >= 0:
+                    open_arcs.append((ahead, ends[node]))
+            if not open_arcs:
+                open_arcs.append((i + 1, -1))
+            while True:
+                if not open_arcs:
+                    if not path:
+                        return None
+                    i, last, open_arcs = path.pop()
+                    continue
+                j, k = open_arcs.pop()
+                if j in seen:
+                    continue
+                if last >= 0 and k >= 0:
+                    ok = pairs.get(last << 24 | k)
+                    if ok is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        ok = pairs[last << 24 | k] = self.may_follow(last, k)
+                    if not ok:
+                        continue
+                break
+            seen.add(j)
+            path.append((i, last, open_arcs))
+            i, last = j, k
+        out: list[int] = []
+        for (start, _, _), piece in zip(path, [*[p[1] for p in path[1:]], last], strict=False):
+            if piece >= 0:
+                out.append(piece)
+            else:
+                own = self.fallback(text[start])
+                if own != (self.unknown,) or not out or out[-1] != self.unknown:  # unknown ones in a row are one
+                    out += own
+        return struct.pack(f"<{len(out)}i", *out)
+
     def compose(self, text: str) -> bytes:
         """The ids on the shortest path of a normalised text, 32 bits each."""
+        if self.whole and (path := self.follow(text)) is not None:
+            return path
         n, arcs, ends, merging, score, pairs = len(text), self.next, self.piece, self.merging, self.score, self.pairs
         cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
         last = [-1] * (n + 1)  # the piece that the best path to a place ends with; -1 after a fallback

@@ -403,6 +403,34 @@ def test_sentencepieces():
         assert np.frombuffer(t.compose(t.normalise(x[:200])), "<i4").tolist() == library.encode(x[:200])
 
 
+def test_merging_path_leaves_places_beside_it():
+    """Where the longest arc is right, nothing is looked up from places within it; where it's wrong, the search comes back."""
+    import public_tokenizers
+    import sentencepiece
+
+    class Counted(list):
+        looked = 0
+
+        def __getitem__(self, k):
+            Counted.looked += 1
+            return super().__getitem__(k)
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        t = sentencepieces.Transducer(f.read())
+    t.next = Counted(t.next)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    text = "international understanding of unbelievable circumstances requires considerable transportation responsibilities notwithstanding"
+    assert np.frombuffer(t.encode(text), "<i4").tolist() == library.encode(text)
+    assert Counted.looked < 2 * len(text), Counted.looked
+    t.next = list(t.next)
+    r = random.Random(4)
+    for _ in range(500):  # no longest piece is sure to be right in these
+        x = "".join(r.choice("enrstai") for _ in range(r.randrange(40)))
+        assert np.frombuffer(t.encode(x), "<i4").tolist() == library.encode(x), x
+    assert t.encode("") == b"" and t.follow("") == b""
+
+
 def test_sentencepieces_of_tables(docs, none, rows):
     import public_tokenizers
 
