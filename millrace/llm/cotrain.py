@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Words, forget, pieces, saved, text_bytes
+from .common import WHITE, Words, forget, pieces, releasing, saved, text_bytes
 
 #: Buckets that words are hashed to; buckets of the metadata's categories.
 WIDTH, KINDS = 1 << 17, 64
@@ -237,7 +237,7 @@ def _views(batches):
 def _seen(keyed: DataFrame, some: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """key -> label, buckets, meta of the documents in `some` (key, label: a bounded number), one row for each key, in order of key."""
     one = keyed.join(F.broadcast(some), "key").dropDuplicates(["key"]).select("key", "label", "text", "lang", "source")
-    rows = one.mapInArrow(_views, "key long, label int, buckets binary, meta binary").collect()
+    rows = one.mapInArrow(releasing(_views), "key long, label int, buckets binary, meta binary").collect()
     return {r["key"]: (r["label"], np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["meta"], np.float32)) for r in sorted(rows)}
 
 
@@ -253,7 +253,7 @@ def _scored(keyed: DataFrame, model: Model) -> DataFrame:
                 a, b = m.text.score(*text_view(buf, offsets), piece.num_rows), m.meta.of(meta_view(buf, offsets, piece.column(2), piece.column(3)))
                 yield pa.record_batch({"key": piece.column(0), **dict(zip("ab", map(pa.array, m.odds(a, b)), strict=True))})
 
-    rows = keyed.select("key", "text", "lang", "source").mapInArrow(scored, "key long, a double, b double")
+    rows = keyed.select("key", "text", "lang", "source").mapInArrow(releasing(scored), "key long, a double, b double")
     return rows.groupBy("key").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
 
@@ -326,4 +326,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **
                 p = m.combine(a, b)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *(pa.array(x) for x in p), pa.array(p[2] >= threshold)], names=[*names, *result])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(releasing(score), schema)

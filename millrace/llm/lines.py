@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lines, Words, forget, free_name, pieces, replacing, saved, spans, text_bytes
+from .common import Lines, Words, forget, free_name, pieces, releasing, replacing, saved, spans, text_bytes
 
 #: Bytes of marks for a shuffle partition up to which they are hashed for the join with the texts, which are then not sorted.
 HASHED = 64 << 20
@@ -120,7 +120,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select("*", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NULL_ID)).alias(d), F.xxhash64(text).alias(t))
     texts = keyed.where(text.isNotNull()).select(F.col(d).alias("d"), F.col(t).alias("t"), text.alias("text"))
     kind = "d long, t long, fingerprint long, windows array<struct<start:int,stop:int,hash:long>>"
-    positions = saved(texts.mapInArrow(_positions(min_lines, min_words), kind), "line_positions")
+    positions = saved(texts.mapInArrow(releasing(_positions(min_lines, min_words)), kind), "line_positions")
     kept = saved(repeated(positions), "line_repeated")
     forget(positions)
 

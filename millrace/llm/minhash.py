@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, forget, mix, pieces, runs, saved, text_bytes
+from .common import Words, forget, mix, pieces, releasing, runs, saved, text_bytes
 from .graph import components
 
 BINS, ROWS, SMALL = 128, 4, 64
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     hundredths = round(100 * threshold)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"))
-    signed = saved(texts.mapInArrow(_signed, "id long, text_key long, n_shingles long, key_a long, key_b long, sig binary, filled int, more binary"), "minhash_signed")
+    signed = saved(texts.mapInArrow(releasing(_signed), "id long, text_key long, n_shingles long, key_a long, key_b long, sig binary, filled int, more binary"), "minhash_signed")
     some = signed.where("n_shingles > 0")
     first = some.groupBy("key_a", "key_b").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("filled").alias("filled"), F.first("more").alias("more"))
     classes = saved(first, "minhash_classes")
@@ -362,11 +362,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.broadcast(ids) if ids.count() <= IDS else ids
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return saved(texts.join(asked(ids), "id").select("id", "text").mapInArrow(_sets, "id long, elements binary"), "minhash_sets")
+        return saved(texts.join(asked(ids), "id").select("id", "text").mapInArrow(releasing(_sets), "id long, elements binary"), "minhash_sets")
 
     def alone_of(members: DataFrame) -> DataFrame:
         members = asked(members)
-        shingles = texts.join(members, "id").select("id", "component", "text").mapInArrow(_exploded, "shingle long, id long, component long")
+        shingles = texts.join(members, "id").select("id", "component", "text").mapInArrow(releasing(_exploded), "shingle long, id long, component long")
         return saved(_alone(shingles, some.join(members, "id").select("id", "component", "key_a", "n_shingles")), "minhash_alone")
 
     star = crowded.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets = sets_of(again.select("id"))
         blocks = _in_blocks(again.join(own.select("key", "chunks", "pchunks"), "key"), sets.join(sig.drop("n_shingles"), "id"))
         more = saved(in_groups(blocks, total).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
-        label = components(links.unionByName(more))
+        label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         forget(sets, again)
     forget(open_, crowded, likely_ones)
 

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, saved, text_bytes
+from .common import pieces, releasing, saved, text_bytes
 
-#: Distinct strings whose ids a Python worker remembers at most, and the bytes of the longest one.
-REMEMBERED, LONGEST = 600_000, 64
+#: Distinct strings whose ids a task remembers at most (about 75 MB), and the bytes of the longest one.
+REMEMBERED, LONGEST = 300_000, 64
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
@@ -37,7 +37,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class _Encoder:
-    """A tokenizer as its file has it, and the ids of the stretches that this worker has met."""
+    """A tokenizer as its file has it, and the ids of the stretches that the task at work has met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -120,8 +120,10 @@ def _cut(path: str, end_id: int, length: int, with_ids: bool):
                     "doc_tokens": pa.array(total, pa.int64()), "part": pa.array(np.full(len(sizes), part), pa.int32()), "nth": pa.array(rank),
                 }
                 yield pa.record_batch(out | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {}))
+        if path in _loaded:  # the worker outlives the task, and may do other work
+            _loaded[path].known.clear()
 
-    return cut
+    return releasing(cut)
 
 
 def patterns(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, forget, pieces, runs, saved, shared_dir, text_bytes
+from .common import Words, forget, pieces, releasing, runs, saved, shared_dir, text_bytes
 
 #: Windows that the task of one range of hashes holds at once, on average.
 RANGE = 1 << 21
@@ -66,7 +66,7 @@ def _in_blocks(docs: DataFrame, id_col: str, text_col: str):
                 })
                 k += 1
 
-    return docs.mapInArrow(blocks, "part int, block long, ids array<long>, lens array<long>, rest binary, body binary")
+    return docs.mapInArrow(releasing(blocks), "part int, block long, ids array<long>, lens array<long>, rest binary, body binary")
 
 
 def _kept_in_buckets(blocks: DataFrame) -> tuple[DataFrame, str, int]:
@@ -277,7 +277,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     steps, answers, source = levels(min_words), None, blocks
     for level in range(len(steps)):
         send, sent = _send(steps, level, bits)
-        rows = source.mapInArrow(send, sent).groupBy("bucket")
+        rows = source.mapInArrow(releasing(send), sent).groupBy("bucket")
         if level == len(steps) - 1:
             final = saved(rows.applyInArrow(_owners, "part int, block long, bucket int, reply binary, level int"), "substring_last")
         else:
@@ -285,7 +285,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = saved(rows.applyInArrow(match, answered), "substring_level")
             answers = new if answers is None else answers.unionByName(new)
             source = _with_answers(blocks, answers, n)
-    out = _with_answers(blocks, final, n).mapInArrow(_finish(text_col, names, min_words, tidy), schema)
+    out = _with_answers(blocks, final, n).mapInArrow(releasing(_finish(text_col, names, min_words, tidy)), schema)
     if answers is not None:
         forget(answers)
     spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -230,6 +230,21 @@ def test_components(spark):
     assert {(r["id"], r["component"]) for r in got} == {(i, find(i)) for x in links for i in x if x[0] != x[1]} and len(got) == len({r["id"] for r in got})
 
 
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Rounds end when stars are left; what was tested before was that a further round changes nothing."""
+    from millrace.llm import graph
+
+    written = []
+    monkeypatch.setattr(graph, "saved", lambda df, label, own=graph.saved: written.append(label) or own(df, label))
+    stars = [(7, 1), (8, 1), (1, 9), (4, 3), (5, 5)]
+    got = {(r["id"], r["component"]) for r in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {(1, 1), (7, 1), (8, 1), (9, 1), (3, 3), (4, 3)} and len(written) == 1
+    written.clear()
+    got = {(r["id"], r["component"]) for r in graph.components(spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "a long, b long")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)} and len(written) == 2  # the links and one round
+
+
 def test_near_duplicates_null_ids(spark):
     t = "one two three four five six"
     out = minhash.near_duplicates(spark.createDataFrame([(None, t), (4, t), (9, t), (None, "all alone here"), (3, None)], "doc_id long, text string")).collect()
@@ -372,6 +387,35 @@ def test_tokens_of_other_vocabularies():
         assert np.frombuffer(g, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_a_task_leaves_no_ids_behind(monkeypatch):
+    """Python workers outlive their tasks and share an executor's memory with it."""
+    import types
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["some words here", None])})
+    (out,) = packing._cut(path, 2, 4096, False)(iter([batch]))
+    assert out.column("doc_tokens").to_pylist() == [len(packing.token_ids(path, pa.array(["some words here"]))[0]) // 4 + 1, 1]
+    packing._loaded[path].known.clear()
+    list(packing._cut(path, 2, 4096, False)(iter([batch])))
+    assert not packing._loaded[path].known
+
+
+def test_kept_powers_are_bounded():
+    """A megabyte of text needs powers up to the length of a step, and its words far fewer."""
+    from millrace.llm import common
+
+    known = common._powers.__defaults__[0]
+    known.clear()
+    text = pa.array([("word " * (common.CHUNK // 5 + 1))[: common.CHUNK]])
+    words = common.Words(*common.text_bytes(text))
+    hashes = words.hashes()
+    assert len(np.unique(hashes)) <= 2 and len(np.unique(common.runs(hashes, 5))) <= 2
+    assert len(known[common._BASE][0]) <= common.CHUNK + 1 and len(known[common._STEP][0]) <= common.CHUNK // 4 + 1
+
+
 def test_patterns_hold_the_histogram():
     r = random.Random(4)
     histogram = {n: r.randrange(1, 50) for n in r.sample(range(1, 513), 200)}
