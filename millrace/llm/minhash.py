@@ -310,9 +310,17 @@ def _parted(rows: DataFrame, alone: DataFrame, hundredths: int) -> DataFrame:
     return both.join(_counted(both).select("key", "chunks", "pchunks"), "key")
 
 
-def _counted(rows: DataFrame, *more) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
     """How many blocks members and probes have, of the buckets that have both."""
-    return rows.groupBy("key").agg(*_chunks(F.count_if("listed"), F.count_if("outside")), *more).where("chunks > 0 and pchunks > 0")
+    return rows.groupBy("key").agg(*_chunks(F.count_if("listed"), F.count_if("outside"))).where("chunks > 0 and pchunks > 0")
+
+
+def _counted_again(rows: DataFrame) -> DataFrame:
+    """The rows that are left of buckets, with chunks and pchunks of what is left. A bucket of one block against one stays so: it still has members and probes, as partners are left in pairs."""
+    many = rows.where("chunks > 1 or pchunks > 1").drop("chunks", "pchunks")
+    left = saved(rows.where("chunks = 1 and pchunks = 1").unionByName(many.join(_counted(many), "key")), "minhash_left")
+    forget(rows)
+    return left
 
 
 def _in_blocks(rows: DataFrame, beside: DataFrame) -> DataFrame:
@@ -394,16 +402,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = max(1, round((total or 0) / GROUP))
         return blocks.groupBy(F.pmod(F.xxhash64("key", "chunk", "pchunk"), F.lit(groups)).alias("g"))
 
-    total = open_.agg(F.sum(F.lit(4 * BINS + 64) * (F.when(F.col("listed"), F.col("pchunks")).otherwise(0) + F.when(F.col("outside"), F.col("chunks")).otherwise(0)))).first()[0]
+    copies = F.when(F.col("listed"), F.col("pchunks")).otherwise(0) + F.when(F.col("outside"), F.col("chunks")).otherwise(0)
+    total = open_.agg(F.sum(F.lit(4 * BINS + 64) * copies)).first()[0]
     likely_ones = in_groups(_in_blocks(open_, sig), total).applyInArrow(_promising(threshold, hundredths), "key long, id long, n_shingles long")
     likely_ones = saved(likely_ones.distinct(), "minhash_likely")
     if not likely_ones.isEmpty():
-        again = saved(open_.drop("chunks", "pchunks").join(likely_ones, ["key", "id"]), "minhash_again")
-        size = F.col("n_shingles") * 8 + 4 * BINS + 64
-        own = _counted(again, *(F.sum(F.when(F.col(c), size).otherwise(0)).alias(to) for c, to in (("listed", "all"), ("outside", "probes"))))
-        total = own.agg(F.sum(F.col("pchunks") * F.col("all") + F.col("chunks") * F.col("probes"))).first()[0]
+        again = _counted_again(saved(open_.join(likely_ones, ["key", "id"]), "minhash_again"))
+        total = again.agg(F.sum((F.col("n_shingles") * 8 + 4 * BINS + 64) * copies)).first()[0]
         sets = sets_of(again.select("id"))
-        blocks = _in_blocks(again.join(own.select("key", "chunks", "pchunks"), "key"), sets.join(sig.drop("n_shingles"), "id"))
+        blocks = _in_blocks(again, sets.join(sig.drop("n_shingles"), "id"))
         more = saved(in_groups(blocks, total).applyInArrow(_across(threshold, hundredths), "a long, b long"), "minhash_links")
         label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
         forget(sets, again)

@@ -231,6 +231,14 @@ def test_components(spark):
 
 
 
+def test_buckets_of_one_block_are_not_counted_again(spark):
+    """Only what is left of larger buckets gets new numbers of blocks."""
+    kind = "key long, id long, listed boolean, outside boolean, chunks int, pchunks int"
+    rows = spark.createDataFrame([(1, 1, True, False, 1, 1), (1, 2, True, True, 1, 1), *((2, k, True, k > 1, 9, 9) for k in range(300)), (3, 1, True, False, 3, 1), (3, 2, True, True, 3, 1)], kind)
+    got = minhash._counted_again(minhash.saved(rows, "test_again"))
+    assert {(r["key"], r["chunks"], r["pchunks"]) for r in got.collect()} == {(1, 1, 1), (2, 2, 2), (3, 1, 1)} and got.count() == 304
+
+
 def test_stars_need_no_round(spark, monkeypatch):
     """Rounds end when stars are left; what was tested before was that a further round changes nothing."""
     from millrace.llm import graph
