@@ -15,8 +15,8 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import zlib
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,15 @@ REMEMBERED, LONGEST = 300_000, 64
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+#: Letters of Latin-1 beyond ASCII are byte 195 and one of these.
+_ACCENTED, _CAPITAL = np.zeros(256, bool), np.zeros(256, bool)
+_ACCENTED[128:192] = _CAPITAL[128:159] = True
+_ACCENTED[[151, 183]] = _CAPITAL[151] = False
+_BASE = np.arange(256) < 128  # what can't combine with the letter before it
+_BASE[195] = True
+#: A word that a vocabulary of bytes takes as it is, and the letters that stand for bytes there, where they aren't chr(byte).
+_SIMPLE = re.compile(rb"[a-z]*(?:\xc3[\x9f-\xb6\xb8-\xbf][a-z]*)*")
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: The normalizer and the pre-tokenizer of the vocabularies whose texts can be encoded stretch by stretch.
 _LOWERED = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,8 +54,10 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         own = json.loads(self.tokenizer.to_str())
-        first = ((own["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        first, *after = (own["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.apart = own["normalizer"] == _LOWERED and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        plain = [(p["type"], p.get("add_prefix_space"), p.get("use_regex")) for p in after] == [("ByteLevel", False, False)]
+        self.model = self.tokenizer.model if self.apart and plain and not any(t["normalized"] for t in own["added_tokens"]) else None
         self.added = [t["content"].encode() for t in own["added_tokens"]]
         self.known: dict[bytes, bytes] = {}
 
@@ -54,16 +65,39 @@ class _Encoder:
         """Ids of whole texts by the library's defaults: an added token's string in a text is that token."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def stretches(self, found: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of stretches. Simple words go to the tokenizer's model at once: the steps before it don't change them, and take most of the time."""
+        simple = [w for w in found if _SIMPLE.fullmatch(w)] if self.model else []
+        flat, at = [], [0]
+        for w in simple:
+            flat += [t.id for t in self.model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTES))]
+            at.append(4 * len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        out = dict(zip(simple, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        rest = [w for w in found if w not in out]
+        return out | dict(zip(rest, self.ids(rest), strict=True))
+
 
 _loaded: dict[str, _Encoder] = {}
 
 
+def _lowered(buf: np.ndarray) -> np.ndarray:
+    """A copy with small letters for Latin-1's capital ones, unless what comes next may combine with them: T and a diaeresis are no letter, t and one are."""
+    out, last = buf.copy(), np.append(_BASE[buf[1:]], True)  # last: by the byte, if it is a letter's last one
+    at = np.flatnonzero(buf - np.uint8(65) < 26)
+    out[at[last[at]]] += 32
+    at = np.flatnonzero(buf[:-1] == 195) + 1
+    out[at[_CAPITAL[buf[at]] & last[at]]] += 32
+    return out
+
+
 def token_ids(path: str, column: pa.Array) -> list[bytes]:
     """The little-endian 32-bit ids of each text, as Tokenizer.from_file(path).encode(text, add_special_tokens=False) has them.
 
-    A vocabulary that lower-cases, drops white space and never joins a letter to a mark after it gives the same ids for a text
-    as for its stretches between such places, one after another; there each distinct short stretch is encoded once. Texts
-    with the string of an added token, and texts of any other vocabulary, are encoded whole.
+    A vocabulary that lower-cases, drops white space and never joins a letter to a mark after it, nor a mark but the apostrophe
+    to a letter after it, gives the same ids for a text as for its stretches between such places, one after another; there each
+    distinct short stretch is encoded once. Texts with the string of an added token, and texts of any other vocabulary, are
+    encoded whole.
     """
     if path not in _loaded:
         _loaded[path] = _Encoder(path)
@@ -76,19 +110,25 @@ def token_ids(path: str, column: pa.Array) -> list[bytes]:
     if len(out) == len(ends):
         return [out[k] for k in range(len(ends))]
     known = own.known
-    cut = np.flatnonzero(_LETTER[buf[:-1]] & _MARK[buf[1:]]) + 1
-    data = np.insert(buf, cut, 32).tobytes().lower()
+    letter, mark = _LETTER[buf], _MARK[buf]
+    accented = np.flatnonzero(buf[:-1] == 195) + 1
+    before = letter.copy()
+    before[accented] = _ACCENTED[buf[accented]]
+    cut = np.flatnonzero(before[:-1] & mark[1:] | mark[:-1] & letter[1:] & (buf[:-1] != 39)) + 1
+    data = np.insert(_lowered(buf), cut, 32).tobytes()
     at = (offsets + np.searchsorted(cut, offsets)).tolist()
     texts = [() if k in out else data[a:b].split() for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
     distinct = set().union(*texts)
-    if len(known) + len(distinct) > REMEMBERED:
+    new = distinct.difference(known)
+    if len(known) + len(new) > REMEMBERED:
         known.clear()
-    new = [w for w in distinct if w not in known]
-    fresh = dict(zip(new, own.ids(new), strict=True))
-    known.update({w: i for w, i in fresh.items() if len(w) <= LONGEST})
-    long = {w: i for w, i in fresh.items() if len(w) > LONGEST}
-    here = ChainMap(known, long) if long else known
-    return [out[k] if k in out else b"".join([here[w] for w in t]) for k, t in enumerate(texts)]
+        new = distinct
+    known.update(own.stretches(list(new)))
+    ids = [out[k] if k in out else b"".join(map(known.__getitem__, t)) for k, t in enumerate(texts)]
+    for w in new:
+        if len(w) > LONGEST:
+            del known[w]
+    return ids
 
 
 def _cut(path: str, end_id: int, length: int, with_ids: bool):

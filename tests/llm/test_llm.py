@@ -384,6 +384,37 @@ def test_tokens_of_odd_texts():
         assert np.frombuffer(g, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_capitals_before_marks_that_combine():
+    """T and a diaeresis are a letter and a mark, t and a diaeresis one letter: small letters come after composition."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    r = random.Random(5)
+    alphabet = "aTtJjHÀéÊßÿŸ÷×_'.s \u0308\u030c\u0331\u0301\u1dca5Σς"
+    texts = ["T\u0308a", "J\u030c", "H\u0331.", "T", "\u0308", "ÊTÉ.Là'Ÿ", "É\u0301", *["".join(r.choice(alphabet) for _ in range(r.randrange(20))) for _ in range(3000)]]
+    for text, g in zip(texts, packing.token_ids(path, pa.array(texts)), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_simple_words_are_not_encoded_as_texts(monkeypatch):
+    """An encoding of its own costs several times a word's ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeéßñ") for _ in range(r.randrange(3, 12))) for _ in range(2000)]
+    text = " ".join(r.choice(["{}", "{},", ".{}", "({})", "{}***"]).format(r.choice([str, str.title])(w)) for w in words)
+    packing.token_ids(path, pa.array(["a"]))
+    packing._loaded[path].known.clear()
+    asked, ids = [], packing._Encoder.ids
+    monkeypatch.setattr(packing._Encoder, "ids", lambda self, texts: (asked.extend(texts), ids(self, texts))[1])
+    got = packing.token_ids(path, pa.array([text]))
+    assert len(asked) < 300, asked[:20]
+    assert got == ids(packing._loaded[path], [text.encode()])
+
+
 def test_tokens_of_other_vocabularies():
     """One that keeps case and spaces is encoded whole."""
     import public_tokenizers
